@@ -119,8 +119,8 @@ cut AS (SELECT m.*, string_split(text, chr(10)) AS ls FROM m),
 marked AS (SELECT cut.*, [length(regexp_replace(regexp_extract(x, '{_PREFIX}', 1), '[^>]', '', 'g')) FOR x IN ls] AS lvls FROM cut),
 plain AS (SELECT conv_id, turn, role, text IS NULL AS none,
   regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(range(1, len(ls) + 1),
-    i -> lvls[i] = 0 AND NOT (regexp_matches(ls[i], '{_SHOWN}') AND coalesce(lvls[i + 1], 0) > 0)), i -> ls[i]), chr(10)), '^\n+', ''), '\n+$', '') AS body,
-  CAST(len(list_filter(lvls, v -> v > 0)) AS BIGINT) AS n FROM marked)
+    lambda i: lvls[i] = 0 AND NOT (regexp_matches(ls[i], '{_SHOWN}') AND coalesce(lvls[i + 1], 0) > 0)), lambda i: ls[i]), chr(10)), '^\n+', ''), '\n+$', '') AS body,
+  CAST(len(list_filter(lvls, lambda v: v > 0)) AS BIGINT) AS n FROM marked)
 SELECT p.conv_id, coalesce(r.root, p.turn) AS thread, p.turn, p.role, CASE WHEN none THEN NULL ELSE body END AS text, q.reply_to,
   coalesce(n, 0) AS n_quoted_lines,
   '<|' || coalesce(p.role, 'user') || '|>' || chr(10) || coalesce(body, '') || chr(10) || '<|end|>' || chr(10) AS formatted
