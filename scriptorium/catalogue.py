@@ -1,6 +1,584 @@
-"""The registered queries of the document-search operators and their oracles."""
+"""The registered queries of the document-search operators, each with its SQL oracle.
+
+Documents are keyed by doc_id written as text; the table's own source column is shared by
+many documents and stands for the owner of a document where one is needed.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as T
+from scriptorium.operators import bm25, chunking, documents, fusion, manifest, vectors
+from scriptorium.plans import answers
+from scriptorium.shipping import ship_package
+from scriptorium.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, content, owner."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"), F.col("source").alias("owner"))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.split_documents(corpus(spark, sf_dir), short_cut="skip")
+
+
+# ---- text functions
+
+_TABBED = "replace(text, ' the ', chr(9) || ' the ' || '  ')"
+
+
+@registered(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(replace(replace({_TABBED}, '.' || chr(10), '.  ' || chr(10)), chr(9), '    '), '(?m)[^\S\n]+$', '', 'g'), '[^\S\n]+', ' ', 'g') AS out FROM documents"""
+)
+def t2_normalize_whitespace(spark, sf_dir):
+    raw = F.expr("replace(replace(text, ' the ', concat(chr(9), ' the ', '  ')), concat('.', chr(10)), concat('.  ', chr(10)))")
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_whitespace(raw).alias("out"))
+
+
+@registered(r"SELECT doc_id, regexp_replace(replace(text, '.' || chr(10), '.' || repeat(chr(10), 4)), '\n{3,}', repeat(chr(10), 2), 'g') AS out FROM documents")
+def t3_normalize_newlines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_newlines(F.expr("replace(text, concat('.', chr(10)), concat('.', repeat(chr(10), 4)))")).alias("out"))
+
+
+@registered("SELECT doc_id, text || 'ABC1' AS out FROM documents")
+def t1_normalize_unicode(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_unicode(F.concat("text", F.lit("ＡＢＣ①"))).alias("out"))
+
+
+@registered(
+    r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || 'ABC1', '(?m)[^\S\n]+$', '', 'g'), '[^\S\n]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS out FROM documents"""
+)
+def t4_normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.concat(F.lit("  "), "text", F.lit("ＡＢＣ①\n"))).alias("out"))
+
+
+_PDF = r"regexp_replace(regexp_replace(replace(replace(text, '. ', '.' || chr(10) || chr(10)), 'tion ', 'ti-' || chr(10) || 'on '), '-\s*\n\s*', '', 'g'), '\n\s*\n+', '<<PARA>>', 'g')"
+
+
+@registered(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({_PDF}, chr(10), ' '), '<<PARA>>', chr(10) || chr(10)), ' +', ' ', 'g'), '\n +', chr(10), 'g'), ' +\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS out FROM documents"""
+)
+def t5_normalize_pdf_text(spark, sf_dir):
+    raw = F.expr("replace(replace(text, '. ', concat('.', chr(10), chr(10))), 'tion ', concat('ti-', chr(10), 'on '))")
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_pdf_text(raw).alias("out"))
+
+
+@registered("SELECT doc_id, CAST(length(regexp_replace(text || '한국어', '[^가-힯ᄀ-ᇿ㄰-㆏]', '', 'g')) AS INT) AS ko, CAST(length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS INT) AS en FROM documents")
+def t6_count_letters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.count_korean_chars(F.concat("text", F.lit("한국어"))).alias("ko"), T.count_ascii_alpha_chars(F.col("text")).alias("en"))
+
+
+@registered(
+    """WITH c AS (SELECT doc_id, 400 * (doc_id % 3) AS ko, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS en FROM documents)
+SELECT doc_id, CASE WHEN ko + en = 0 THEN 'unknown' WHEN ko / (ko + en) >= 0.3 THEN 'ko' WHEN en / (ko + en) >= 0.3 THEN 'en' ELSE 'unknown' END AS language FROM c"""
+)
+def t7_detect_language(spark, sf_dir):
+    mixed = F.expr("concat(text, repeat('가', cast(400 * (doc_id % 3) as int)))")
+    return table(spark, sf_dir, "documents").select("doc_id", T.detect_language(mixed).alias("language"))
+
+
+_SENTENCES = r"""
+s AS (SELECT source, unnest(string_split(regexp_replace(regexp_replace(content, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '(?m)([.!?])$', '\1' || chr(1), 'g'), chr(1))) AS raw,
+      unnest(range(len(string_split(regexp_replace(regexp_replace(content, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), '(?m)([.!?])$', '\1' || chr(1), 'g'), chr(1))))) AS line_at FROM corpus),
+sentences AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY line_at) - 1 AS INT) AS pos, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS sentence FROM s WHERE regexp_replace(raw, '\s+', '', 'g') <> '')
+"""
+_CORPUS = "corpus AS (SELECT CAST(doc_id AS VARCHAR) AS source, text AS content, source AS owner FROM documents)"
+
+
+@registered(f"WITH {_CORPUS}, {_SENTENCES} SELECT source, pos, sentence FROM sentences")
+def t8_sentences(spark, sf_dir):
+    return chunking.sentences(corpus(spark, sf_dir))
+
+
+@registered(r"""SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)""")
+def t10_tokenize(spark, sf_dir):
+    tokens = T.tokenize(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"))
+
+
+@registered("SELECT doc_id, sha256(text) AS hash FROM documents")
+def t11_file_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.file_hash(F.encode("text", "UTF-8")).alias("hash"))
+
+
+@registered(
+    """SELECT item_id, 0 AS variant_no, text AS query FROM benchmark UNION ALL
+SELECT item_id, 1, split_part(text, ' ', 1) || ' one' FROM benchmark UNION ALL SELECT item_id, 2, split_part(text, ' ', 2) || ' two' FROM benchmark"""
+)
+def m1_expand_queries(spark, sf_dir):
+    one = F.concat(F.element_at(F.split("text", " "), 1), F.lit(" one"))
+    two = F.concat(F.element_at(F.split("text", " "), 2), F.lit(" two"))
+    reply = F.concat(F.lit("Sure:\n```json\n"), F.to_json(F.array(one, two)), F.lit("\n```"))
+    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), reply.alias("response"))
+    return answers.expand_queries(requests).withColumnRenamed("request_id", "item_id")
+
+
+@registered("""SELECT event_id, CAST(json_object('auth_user', '***MASKED***', 'event', event_type, 'api_key', '***MASKED***') AS VARCHAR) AS record FROM events""")
+def t13_mask_sensitive(spark, sf_dir):
+    record = F.create_map(F.lit("auth_user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_type"), F.lit("api_key"), F.col("props").cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", F.to_json(T.mask_sensitive(record)).alias("record"))
+
+
+@registered("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2 FROM embeddings")
+def t16_cosine_similarity(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+
+
+# ---- chunking
+
+_MARKS = (("\\n\\n", 2), ("\\n", 1), (". ", 2), ("? ", 2), ("! ", 2), ("。", 1), (" ", 1))
+
+
+def _cut(start: str) -> str:
+    window = f"substr(content, {start} + 1, 1000)"
+
+    def option(mark: str, size: int) -> str:
+        shown = {"\\n\\n": "chr(10) || chr(10)", "\\n": "chr(10)"}.get(mark, f"'{mark}'")
+        found = f"strpos(reverse({window}), reverse({shown}))"
+        return f"CASE WHEN {found} > 0 AND 1000 - {found} - {size} + 1 > 0 THEN {start} + 1000 - {found} + 1 END"
+
+    return f"CASE WHEN length(content) - {start} <= 1000 THEN length(content) ELSE coalesce({', '.join(option(*m) for m in _MARKS)}, {start} + 1000) END"
+
+
+def chunks_sql(skip: bool) -> str:
+    """CTEs corpus and chunks: the character splitter at 1000 and 150."""
+    onward = "cut" if skip else "start + 1"
+    return f"""RECURSIVE {_CORPUS},
+walk AS (SELECT source, content, 0 AS start, CAST({_cut("0")} AS INT) AS cut FROM corpus WHERE trim(content) <> ''
+  UNION ALL SELECT source, content, begins, CAST({_cut("begins")} AS INT) FROM (SELECT source, content, CASE WHEN cut - 150 > start THEN cut - 150 ELSE {onward} END AS begins FROM walk WHERE cut < length(content))),
+chunks AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS INT) AS chunk_index, CAST(start AS INT) AS start_char, cut AS end_char, piece AS content
+  FROM (SELECT source, start, cut, regexp_replace(substr(content, start + 1, cut - start), '^\\s+|\\s+$', '', 'g') AS piece FROM walk) WHERE piece <> '')"""
+
+
+@registered(f"WITH {chunks_sql(False)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
+def c1_split_text(spark, sf_dir):
+    return chunking.split_documents(corpus(spark, sf_dir))
+
+
+@registered(f"WITH {chunks_sql(True)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
+def c1_split_text_skip(spark, sf_dir):
+    return chunk_table(spark, sf_dir)
+
+
+@registered(f"WITH {chunks_sql(False)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
+def c13_chunk_text(spark, sf_dir):
+    return chunking.chunk_text(corpus(spark, sf_dir), 0, None)
+
+
+@registered(f"WITH {chunks_sql(True)} SELECT c.source, count(k.source) AS chunk_count FROM corpus c LEFT JOIN chunks k ON c.source = k.source GROUP BY c.source")
+def c11_chunk_counts(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    return chunking.chunk_counts(docs, chunking.split_documents(docs, short_cut="skip"))
+
+
+def _markdown(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    body = F.expr("concat('intro ', lang, chr(10), '# ', source, chr(10), chr(10), replace(substring(text, 1, 300), '#', '+'), chr(10), '### ', lang, chr(10), replace(substring(text, 301, 200), '#', '+'), chr(10), '## ', doc_id, chr(10), 'tail', chr(10), '#### end ', lang, chr(10), 'x')")
+    return docs.select(F.col("doc_id").cast("string").alias("source"), body.alias("content"))
+
+
+_MD = """md AS (SELECT CAST(doc_id AS VARCHAR) AS source, 'intro ' || lang || chr(10) AS a, '# ' || source || chr(10) || chr(10) || replace(substr(text, 1, 300), '#', '+') || chr(10) AS b,
+  '### ' || lang || chr(10) || replace(substr(text, 301, 200), '#', '+') || chr(10) AS c, '## ' || doc_id || chr(10) || 'tail' || chr(10) AS d, '#### end ' || lang || chr(10) || 'x' AS e, source AS s, lang FROM documents),
+parts AS (SELECT source, 0 AS i, 0 AS level, '' AS title, a AS raw, 0 AS begins, '' AS header_path FROM md
+  UNION ALL SELECT source, 1, 1, s, b, length(a), '# ' || s FROM md
+  UNION ALL SELECT source, 2, 3, lang, c, length(a || b), '# ' || s || ' > ### ' || lang FROM md
+  UNION ALL SELECT source, 3, 2, source, d, length(a || b || c), '# ' || s || ' > ## ' || source FROM md
+  UNION ALL SELECT source, 4, 4, 'end ' || lang, e, length(a || b || c || d), '# ' || s || ' > ## ' || source || ' > #### end ' || lang FROM md)"""
+
+
+@registered(rf"WITH {_MD} SELECT source, i AS section_idx, level, title, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content, CAST(begins AS INT) AS start_pos, CAST(begins + length(raw) AS INT) AS end_pos FROM parts")
+def c2_markdown_sections(spark, sf_dir):
+    return chunking.markdown_sections(_markdown(spark, sf_dir))
+
+
+@registered(f"WITH {_MD} SELECT source, i AS section_idx, header_path FROM parts")
+def c3_header_path(spark, sf_dir):
+    return chunking.with_header_paths(chunking.markdown_sections(_markdown(spark, sf_dir))).select("source", "section_idx", "header_path")
+
+
+@registered(rf"WITH {_MD} SELECT source, i AS chunk_index, CAST(begins AS INT) AS start_char, CAST(begins + length(raw) AS INT) AS end_char, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content, header_path FROM parts")
+def c4_split_markdown(spark, sf_dir):
+    return chunking.split_markdown(_markdown(spark, sf_dir))
+
+
+@registered()
+def c9_split_semantic(spark, sf_dir):
+    return chunking.split_semantic(corpus(spark, sf_dir), vectors.hashing_encoder(), threshold=0.2)
+
+
+@registered()
+def c10_chunk_documents(spark, sf_dir):
+    docs = corpus(spark, sf_dir).withColumn("extension", F.when(F.col("owner") == "src1", ".md").otherwise(".txt"))
+    return chunking.chunk_documents(docs).drop("owner")
+
+
+@registered(
+    r"""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS source, turn, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') AS page FROM conversations)
+SELECT source, string_agg(page, chr(10) || chr(10) ORDER BY turn) AS content FROM p WHERE page <> '' GROUP BY source"""
+)
+def c12_assemble_pdf_pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source"), F.col("turn").alias("page_num"), F.col("text").alias("page_text"))
+    return chunking.assemble_pdf_pages(pages)
+
+
+# ---- keyword search
+
+_BM25 = r"""post AS (SELECT source, chunk_index, term, count(*) AS tf FROM (SELECT source, chunk_index, unnest(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS term FROM chunks) GROUP BY ALL),
+lens AS (SELECT source, chunk_index, len(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS dl FROM chunks),
+raws AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM lens) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
+terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
+want AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS term FROM queries) GROUP BY ALL),
+scores AS (SELECT query_id, source, chunk_index, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 6) AS score
+  FROM want JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (source, chunk_index) GROUP BY ALL)"""
+_ASKED = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+
+@registered(f"WITH {chunks_sql(True)}, {_ASKED}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def k1_bm25_index(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    return bm25.term_statistics(bm25.postings(chunks), bm25.doc_lengths(chunks)).withColumn("idf", F.round("idf", 6))
+
+
+@registered(f"WITH {chunks_sql(True)}, {_ASKED}, {_BM25} SELECT query_id, source, chunk_index, score FROM scores")
+def k2_bm25_scores(spark, sf_dir):
+    return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@registered(
+    f"""WITH {chunks_sql(True)}, {_ASKED}, {_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scores)
+SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, score FROM ranked WHERE rank <= 5 AND score > 0"""
+)
+def k3_bm25_topk(spark, sf_dir):
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir), 5)
+
+
+# ---- vectors and hybrid search: one chunk per document, vector vec_id belongs to document vec_id
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), "embedding", F.col("label").cast("string").alias("user_id"))
+
+
+def _whole(spark, sf_dir):
+    """Documents that have a vector, as chunks."""
+    keyed = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    return keyed.select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("label").cast("string").alias("user_id"))
+
+
+def _vector_queries(spark, sf_dir):
+    """Every vector whose id is divisible by 20; the even ones ask within their own label."""
+    e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.when(F.col("vec_id") % 40 == 0, F.col("label").cast("string")).alias("user_id"))
+
+
+def _hybrid_queries(spark, sf_dir):
+    b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    joined = b.join(e, b["item_id"] == e["vec_id"])
+    return joined.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"), F.when(F.col("item_id") % 2 == 0, F.col("label").cast("string")).alias("user_id"))
+
+
+_NEAR = """near AS (SELECT q.query_id, v.source, v.chunk_index, round(list_dot_product(CAST(q.query_vec AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM asked q JOIN vecs v ON q.user_id IS NULL OR q.user_id = v.user_id),
+near_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM near)"""
+_VECS = "vecs AS (SELECT CAST(vec_id AS VARCHAR) AS source, 0 AS chunk_index, embedding, CAST(label AS VARCHAR) AS user_id FROM embeddings)"
+_HYBRID = f"""{_VECS}, asked AS (SELECT item_id AS query_id, text AS query, embedding AS query_vec, CASE WHEN item_id % 2 = 0 THEN CAST(label AS VARCHAR) END AS user_id FROM benchmark JOIN embeddings ON item_id = vec_id),
+queries AS (SELECT query_id, query FROM asked),
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS source, 0 AS chunk_index, text AS content, CAST(label AS VARCHAR) AS user_id FROM documents JOIN embeddings ON doc_id = vec_id),
+{_BM25}, {_NEAR},
+words AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.source, s.chunk_index) AS INT) AS rank FROM scores s JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE q.user_id IS NULL OR q.user_id = c.user_id)"""
+
+
+@registered(
+    f"""WITH {_VECS}, asked AS (SELECT vec_id AS query_id, embedding AS query_vec, CASE WHEN vec_id % 40 = 0 THEN CAST(label AS VARCHAR) END AS user_id FROM embeddings WHERE vec_id % 20 = 0), {_NEAR}
+SELECT query_id, rank, source, chunk_index, score FROM near_ranked WHERE rank <= 5"""
+)
+def v3_vector_topk(spark, sf_dir):
+    return vectors.vector_topk(_vector_queries(spark, sf_dir), _vectors(spark, sf_dir), 5)
+
+
+@registered(
+    """SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) AS missing_vectors,
+(SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)) AS orphan_vectors, (SELECT count(*) FROM embeddings WHERE len(embedding) <> 64) AS wrong_dimension"""
+)
+def v4_validate_vectors(spark, sf_dir):
+    chunks = corpus(spark, sf_dir).select("source", F.lit(0).alias("chunk_index"), "content")
+    return vectors.validate_vectors(chunks, _vectors(spark, sf_dir), 64)
+
+
+@registered()
+def v1_embed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return vectors.embed(docs, "text", vectors.hashing_encoder()).select("doc_id", "embedding")
+
+
+@registered(
+    f"""WITH {_HYBRID}, fused AS (SELECT query_id, source, chunk_index, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, source, chunk_index, rank FROM words WHERE rank <= 10 AND score > 0
+  UNION ALL SELECT query_id, source, chunk_index, rank FROM near_ranked WHERE rank <= 10) GROUP BY ALL),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM fused)
+SELECT query_id, rank, source, chunk_index, score FROM f WHERE rank <= 5"""
+)
+def f1_search_rrf(spark, sf_dir):
+    return fusion.search_rrf(_hybrid_queries(spark, sf_dir), _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
+
+
+_WEIGHTED = """kept AS (SELECT query_id, source, chunk_index, score AS near FROM near_ranked WHERE rank <= 15),
+joined AS (SELECT k.*, coalesce(s.score, 0) AS w FROM kept k LEFT JOIN scores s USING (query_id, source, chunk_index)),
+mixed AS (SELECT query_id, source, chunk_index, round(0.7 * near + 0.3 * CASE WHEN max(w) OVER q > min(w) OVER q THEN (w - min(w) OVER q) / (max(w) OVER q - min(w) OVER q) ELSE 0 END, 6) AS score FROM joined WINDOW q AS (PARTITION BY query_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM mixed WHERE score >= 0)"""
+
+
+@registered(f"WITH {_HYBRID}, {_WEIGHTED} SELECT query_id, source, chunk_index, round(score, 4) AS score FROM best WHERE rank <= 5")
+def f2_search_weighted(spark, sf_dir):
+    hits = fusion.search_weighted(_hybrid_queries(spark, sf_dir), _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
+    return hits.select("query_id", "source", "chunk_index", F.round("score", 4).alias("score"))
+
+
+@registered(f"WITH {_HYBRID} SELECT query_id, rank, source, chunk_index, score FROM words WHERE rank <= 5 AND score > 0")
+def f3_bm25_fallback(spark, sf_dir):
+    """No query has a vector, so all fall back to keywords."""
+    queries = _hybrid_queries(spark, sf_dir).withColumn("query_vec", F.lit(None).cast("array<float>"))
+    return fusion.search_weighted(queries, _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
+
+
+_VARIANTS = """hits AS (SELECT i.query_id AS request_id, 0 AS variant_no, rank, source, chunk_index, score FROM words i WHERE rank <= 10 AND score > 0
+  UNION ALL SELECT query_id, 1, rank, source, chunk_index, round(score * 5, 6) FROM near_ranked WHERE rank <= 10)"""
+
+
+def _variants(spark, sf_dir):
+    queries, chunks, vecs = _hybrid_queries(spark, sf_dir), _whole(spark, sf_dir), _vectors(spark, sf_dir)
+    words = fusion.bm25_fallback(queries, chunks, queries.select("query_id").where("false"), 10).withColumn("variant_no", F.lit(0))
+    near = vectors.vector_topk(queries, vecs, 10).withColumn("score", F.round(F.col("score") * 5, 6)).withColumn("variant_no", F.lit(1))
+    return words.unionByName(near).withColumnRenamed("query_id", "request_id")
+
+
+@registered(
+    f"""WITH {_HYBRID}, {_VARIANTS}, f AS (SELECT *, row_number() OVER (PARTITION BY request_id, source, chunk_index ORDER BY variant_no, rank) AS n FROM hits)
+SELECT request_id, variant_no, source, chunk_index, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM f WHERE n = 1"""
+)
+def m2_dedupe_first(spark, sf_dir):
+    return fusion.dedupe_first(_variants(spark, sf_dir))
+
+
+@registered(
+    f"""WITH {_HYBRID}, {_VARIANTS}, g AS (SELECT h.*, content, row_number() OVER (PARTITION BY request_id, substr(content, 1, 100) ORDER BY h.score DESC, variant_no, rank) AS n FROM hits h JOIN chunks USING (source, chunk_index)),
+r AS (SELECT request_id, variant_no, source, chunk_index, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM g WHERE n = 1) SELECT * FROM r WHERE rank <= 5"""
+)
+def m3_merge_max(spark, sf_dir):
+    hits = _variants(spark, sf_dir).join(_whole(spark, sf_dir).select("source", "chunk_index", "content"), ["source", "chunk_index"])
+    return fusion.merge_max(hits, 5).drop("content")
+
+
+@registered(
+    rf"""WITH {_HYBRID}, p AS (SELECT w.query_id, source, chunk_index, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS b
+  FROM words w JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE rank <= 15 AND score > 0),
+s AS (SELECT query_id, source, chunk_index, round(len(list_intersect(a, b)) / len(a), 6) AS score FROM p),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM s) SELECT query_id, rank, source, chunk_index, score FROM r WHERE rank <= 5"""
+)
+def m4_rerank(spark, sf_dir):
+    queries, chunks = _hybrid_queries(spark, sf_dir), _whole(spark, sf_dir)
+    hits = fusion.bm25_fallback(queries, chunks, queries.select("query_id").where("false"), 15)
+    full = hits.join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"]).join(queries.select("query_id", "query"), "query_id")
+    return fusion.rerank(full, 5).select("query_id", "rank", "source", "chunk_index", "score")
+
+
+def _answered(spark, sf_dir):
+    chunks = chunk_table(spark, sf_dir)
+    queries = benchmark_queries(spark, sf_dir)
+    hits = bm25.bm25_topk(queries, chunks, 5).join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"])
+    return queries, hits
+
+
+_TOP = f"""{chunks_sql(True)}, {_ASKED}, {_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scores),
+top AS (SELECT r.*, content FROM ranked r JOIN chunks USING (source, chunk_index) WHERE rank <= 5 AND score > 0),
+ctx AS (SELECT query_id, string_agg('--- [Chunk ' || rank || '] (Source: ' || source || ') ---' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS c FROM top GROUP BY query_id),
+prompts AS (SELECT query_id, '{answers.SYSTEM_TEXT}' || chr(10) || chr(10) || '[Context]' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || '[Question]' || chr(10) || query || chr(10) || chr(10) || '[Answer]' || chr(10) AS prompt FROM queries LEFT JOIN ctx USING (query_id))"""
+
+
+@registered(f"WITH {_TOP} SELECT query_id, prompt FROM prompts")
+def m6_build_prompts(spark, sf_dir):
+    return answers.build_prompts(*_answered(spark, sf_dir))
+
+
+@registered(f"WITH {_TOP}, n AS (SELECT query_id, count(*) AS n, sum(length(substr(content, 1, 500))) AS chars FROM top GROUP BY query_id) SELECT query_id, length(prompt) AS prompt_chars, CAST(coalesce(n, 0) AS INT) AS n_references, CAST(coalesce(chars, 0) AS BIGINT) AS reference_chars FROM prompts LEFT JOIN n USING (query_id)")
+def m7_answer_requests(spark, sf_dir):
+    out = answers.answer_requests(*_answered(spark, sf_dir))
+    chars = F.aggregate("references", F.lit(0).cast("long"), lambda acc, r: acc + F.length(r["content"]))
+    return out.select("query_id", F.length("prompt").alias("prompt_chars"), F.size("references").alias("n_references"), chars.alias("reference_chars"))
+
+
+@registered(f"WITH {chunks_sql(True)} SELECT source, chunk_index, replace(substr(content, 1, 100), chr(10), ' ') || '...' AS snippet FROM chunks")
+def p10_snippets(spark, sf_dir):
+    return chunk_table(spark, sf_dir).select("source", "chunk_index", T.snippet(F.col("content")).alias("snippet"))
+
+
+# ---- manifest, catalogue, sessions
+
+
+def _files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("hash"), F.expr("cast(length(text) / 1000 as int)").alias("chunks_count"))
+
+
+def _manifest(spark, sf_dir):
+    """As if every seventh document had changed and every eleventh were new since."""
+    files_now = _files(spark, sf_dir).withColumn("n", F.col("path").cast("long"))
+    return files_now.where("n % 11 <> 0").select("path", F.when(F.col("n") % 7 == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"), F.lit(1).alias("chunks_count"))
+
+
+_MAN = """files AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash, CAST(trunc(length(text) / 1000) AS INT) AS chunks_count, doc_id FROM documents),
+man AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE hash END AS hash, 1 AS chunks_count FROM files WHERE doc_id % 11 <> 0)"""
+
+
+@registered(f"WITH {_MAN} SELECT path, hash, chunks_count FROM files f WHERE NOT EXISTS (SELECT 1 FROM man m WHERE m.path = f.path AND m.hash = f.hash)")
+def i1_changed_files(spark, sf_dir):
+    return manifest.changed_files(_files(spark, sf_dir), _manifest(spark, sf_dir))
+
+
+@registered(f"WITH {_MAN} SELECT count(*) AS skipped FROM files f JOIN man m ON m.path = f.path AND m.hash = f.hash")
+def i1_skipped_count(spark, sf_dir):
+    return manifest.skipped_count(_files(spark, sf_dir), _manifest(spark, sf_dir))
+
+
+@registered(f"WITH {_MAN} SELECT f.path, f.hash, CASE WHEN m.hash = f.hash THEN m.chunks_count ELSE f.chunks_count END AS chunks_count FROM files f LEFT JOIN man m USING (path)")
+def i2_mark_indexed(spark, sf_dir):
+    old = _manifest(spark, sf_dir)
+    return manifest.mark_indexed(old, manifest.changed_files(_files(spark, sf_dir), old))
+
+
+@registered(f"WITH {_MAN} SELECT path, hash, chunks_count FROM man WHERE hash <> 'old'")
+def i3_remove_indexed(spark, sf_dir):
+    old = _manifest(spark, sf_dir)
+    return manifest.remove_indexed(old, old.where("hash = 'old'"))
+
+
+@registered(f"WITH {_MAN} SELECT count(*) AS indexed FROM man")
+def i4_indexed_count(spark, sf_dir):
+    return manifest.indexed_count(_manifest(spark, sf_dir))
+
+
+def _catalog(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat("source", F.lit("_"), "doc_id", F.when(F.col("lang") == "de", ".docx").when(F.col("lang") == "fr", ".MD").otherwise(".txt"))
+    return docs.select(F.col("doc_id").cast("string").alias("id"), name.alias("filename"), F.length("text").alias("filesize"), F.col("source").alias("user_id"), F.lit(1).alias("chunk_count"), F.timestamp_seconds(F.col("doc_id") % 97).alias("created_at"))
+
+
+_CAT = """cat AS (SELECT CAST(doc_id AS VARCHAR) AS id, source || '_' || doc_id || CASE lang WHEN 'de' THEN '.docx' WHEN 'fr' THEN '.MD' ELSE '.txt' END AS filename, CAST(length(text) AS INT) AS filesize, source AS user_id, 1 AS chunk_count, doc_id % 97 AS created, doc_id, lang FROM documents)"""
+
+
+@registered(f"WITH {_CAT} SELECT id, user_id, filename FROM cat WHERE NOT (doc_id % 5 = 0 AND user_id <> 'src3')")
+def i5_delete_documents(spark, sf_dir):
+    """Every fifth document is asked for, those of src3 by another user."""
+    catalog = _catalog(spark, sf_dir)
+    wanted = catalog.where("cast(id as long) % 5 = 0").select("id", F.when(F.col("user_id") == "src3", "other").otherwise(F.col("user_id")).alias("user_id"))
+    return documents.delete_documents(catalog, wanted).select("id", "user_id", "filename")
+
+
+@registered(f"WITH {_CAT} SELECT id, user_id FROM cat WHERE user_id NOT IN ('src1', 'src2')")
+def i6_delete_user_cascade(spark, sf_dir):
+    users = _catalog(spark, sf_dir).where("user_id in ('src1', 'src2')").select("user_id").distinct()
+    return documents.delete_user_cascade(_catalog(spark, sf_dir), users).select("id", "user_id")
+
+
+@registered(f"WITH {_CAT} SELECT user_id, id, filename, filesize, chunk_count, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created DESC, id) AS INT) AS place FROM cat")
+def d1_list_documents(spark, sf_dir):
+    return documents.list_documents(_catalog(spark, sf_dir)).drop("created_at")
+
+
+@registered(f"WITH {chunks_sql(True)}, n AS (SELECT source, count(*) AS n FROM chunks GROUP BY source) SELECT owner || '_' || c.source AS filename, c.source AS filepath, CAST(length(content) AS INT) AS filesize, 'text/plain' AS mimetype, coalesce(n, 0) AS chunk_count, owner AS user_id FROM corpus c LEFT JOIN n USING (source)")
+def d2_catalog_entries(spark, sf_dir):
+    docs = corpus(spark, sf_dir)
+    counts = chunking.chunk_counts(docs, chunking.split_documents(docs, short_cut="skip"))
+    return documents.catalog_entries(docs.select("source", F.concat("owner", F.lit("_"), "source").alias("filename"), F.length("content").alias("size_bytes"), F.col("owner").alias("user_id")), counts)
+
+
+@registered(f"WITH {_CAT} SELECT user_id, filename FROM cat WHERE doc_id % 3 <> 0 AND lang <> 'de'")
+def d3_dedupe_uploads(spark, sf_dir):
+    incoming = _catalog(spark, sf_dir).select("id", "user_id", "filename", files.extension_of(F.col("filename")).alias("extension"))
+    queued = incoming.where("cast(id as long) % 3 = 0")
+    return documents.dedupe_uploads(incoming, queued, files.SUPPORTED).select("user_id", "filename")
+
+
+@registered(
+    """WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS t, count(*) AS n_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE coalesce(t, 'New chat') END AS title, n_messages, last_turn FROM f"""
+)
+def d4_session_summary(spark, sf_dir):
+    return documents.session_summary(table(spark, sf_dir, "conversations"))
+
+
+@registered("WITH s AS (SELECT conv_id, max(turn) * 1000 + conv_id % 1000 AS updated_at FROM conversations GROUP BY conv_id) SELECT * FROM s ORDER BY updated_at DESC, conv_id LIMIT 50")
+def d5_recent_sessions(spark, sf_dir):
+    sessions = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("t")).select("conv_id", (F.col("t") * 1000 + F.col("conv_id") % 1000).alias("updated_at"))
+    return documents.recent_sessions(sessions, 50)
+
+
+@registered("SELECT conv_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")
+def d5_delete_sessions(spark, sf_dir):
+    messages = table(spark, sf_dir, "conversations")
+    return documents.delete_sessions(messages, messages.where("role = 'system'")).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT conv_id, conv_id || ':' || turn AS message_id, text, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_fragments FROM conversations")
+def d6_assemble_messages(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").select("conv_id", F.concat("conv_id", F.lit(":"), "turn").alias("message_id"), F.posexplode(F.split("text", " ")).alias("seq", "word"))
+    fragments = words.select("conv_id", "message_id", "seq", F.when(F.col("seq") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word")).alias("text"))
+    return documents.assemble_messages(fragments)
+
+
+@registered(f"WITH {_CAT} SELECT id, filename FROM cat WHERE contains(lower(filename), 'rc1_')")
+def p11_search_filename(spark, sf_dir):
+    return documents.search_filename(_catalog(spark, sf_dir), "RC1_").select("id", "filename")
+
+
+@registered(f"WITH {_CAT} SELECT id, doc_id || '_' || replace(replace(filename, '_', '한 '), ' ', '_') AS stored FROM cat")
+def p12_stored_filename(spark, sf_dir):
+    odd = F.replace(F.col("filename"), F.lit("_"), F.lit("한 "))
+    return _catalog(spark, sf_dir).select("id", T.stored_filename(odd, F.col("id")).alias("stored"))
+
+
+@registered(f"WITH {_CAT} SELECT id, filename FROM cat WHERE lang <> 'de'")
+def p1_filter_supported(spark, sf_dir):
+    named = _catalog(spark, sf_dir).withColumn("extension", files.extension_of(F.col("filename")))
+    return files.filter_hidden(files.filter_supported(named)).select("id", "filename")
+
+
+@registered("SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS out FROM documents")
+def s2_decode_text(spark, sf_dir):
+    raw = F.encode(F.expr("replace(text, chr(10), concat(chr(13), chr(10), chr(13)))"), "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", files.decode_text(raw).alias("out"))
+
+
+@registered(f"WITH {_MAN} SELECT path, hash, chunks_count FROM man")
+def s8_manifest_json(spark, sf_dir):
+    """Every entry goes out as JSON and is read back."""
+    one = _manifest(spark, sf_dir).select(F.to_json(F.struct(F.lit("1.0").alias("version"), F.create_map("path", F.struct("hash", "chunks_count")).alias("files"))).alias("value"))
+    return manifest.read_manifest(one)
