@@ -27,8 +27,8 @@ BLOCK_IDS = 1 << 16
 _BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, payload binary"
 
 
-def _chunks(texts: list, most: int = 1 << 22):
-    """Runs of texts of some 4 million characters together."""
+def _chunks(texts: list, most: int = 1 << 21):
+    """Runs of texts of some 2 million characters together."""
     begin = held = 0
     for k, t in enumerate(texts):
         held += len(t or "")

@@ -12,6 +12,7 @@ import json
 import re
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
 #: White space other than blank, newline, tab and carriage return, and separators that only some engines count.
@@ -62,22 +63,36 @@ class PieceEncoder:
     def _piece_text(self, key: str) -> str:
         return key if self.kind == "words" or key[0] == "\n" else " " + key
 
-    def _learn(self, keys: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters alone, encoded as one text and cut at its words."""
+        lead = "" if self.kind == "words" else " "
+        one = self.tokenizer.encode_batch([lead + " ".join(words)], add_special_tokens=False)[0]
+        cuts = (np.flatnonzero(np.diff(np.array(one.word_ids))) + 1) * self.width
+        if len(cuts) + 1 != len(words):
+            return self._encode([self._piece_text(w) for w in words])
+        ids = array(self.code, one.ids).tobytes()
+        bounds = [0, *cuts.tolist(), len(ids)]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _learn(self, keys: set[str]) -> None:
+        cache = self.cache
+        words: dict[str, None] = {}
+        other: dict[str, str] = {}
         parts: dict[str, tuple[str, str]] = {}
-        todo: dict[str, str] = {}
         for key in keys:
             base = key.rstrip(_TRAIL)
-            if base and len(base) < len(key) and base[-1].isalpha():
+            if not base.isalpha():
+                other[key] = self._piece_text(key)
+                continue
+            words[base] = None
+            if len(base) < len(key):
                 parts[key] = (base, key[len(base) :])
-                todo[base] = self._piece_text(base)
-                todo["\0" + key[len(base) :]] = key[len(base) :]
-            else:
-                todo[key] = self._piece_text(key)
-        cache = self.cache
-        names = [k for k in todo if k not in cache]
-        for i in range(0, len(names), 4096):
-            chunk = names[i : i + 4096]
-            cache.update(zip(chunk, self._encode([todo[k] for k in chunk])))
+                other["\0" + key[len(base) :]] = key[len(base) :]
+        for known, encode in ((list(words), self._encode_words), (list(other), lambda names: self._encode([other[k] for k in names]))):
+            names = [k for k in known if k not in cache]
+            for i in range(0, len(names), 4096):
+                chunk = names[i : i + 4096]
+                cache.update(zip(chunk, encode(chunk)))
         for key, (base, trail) in parts.items():
             cache[key] = cache[base] + cache["\0" + trail]
 
@@ -86,11 +101,13 @@ class PieceEncoder:
         gc.disable()
         try:
             split = [self._pieces(t) if t else [] for t in texts]
-            if len(self.cache) > _MOST_PIECES:
-                self.cache.clear()
-            missing = set().union(*[s for s in split if s]) - self.cache.keys()
+            cache = self.cache
+            if len(cache) > _MOST_PIECES:
+                here = {p for s in split if s for p in s}
+                self.cache = cache = {p: cache[p] for p in here if p in cache}
+            missing = {p for s in split if s for p in s if p not in cache}
             if missing:
-                self._learn(sorted(missing))
+                self._learn(missing)
             whole = [k for k, s in enumerate(split) if s is None]
             out = [b"" if s is None else b"".join(map(self.cache.__getitem__, s)) for s in split]
             if self.kind == "spaced":
