@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned blocks of lines go from the later document."""
     ship_package(spark)
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_lines(docs, counted=False)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     window. Rows repeat as they come. Items without an id count as one called "null".
     """
     sets = benchmark_sets(benchmark.fillna({"item_id": "null"}) if dict(benchmark.dtypes)["item_id"] == "string" else benchmark, window)
-    schema = f"doc_id long, text string, n_words long, hit_spans array<struct<`from`: bigint, `to`: bigint>>, n_hit long, items array<string>"
+    schema = "doc_id long, text string, n_words long, hit_spans array<struct<`from`: bigint, `to`: bigint>>, n_hit long, items array<string>"
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(lambda it: _scan(it, sets), schema)
 
@@ -149,6 +149,11 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, whole rows and columns, without those that are contaminated."""
     sets = benchmark_sets(benchmark, window)
-    extra = "n_words long, hit_spans array<struct<`from`: bigint, `to`: bigint>>, n_hit long, items array<string>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
-    return docs.mapInArrow(lambda it: _scan(it, sets), schema).where(~contaminated()).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(_scan(iter([batch.select(["text"])]), sets))
+            n_hit, n_words = (found.column(c).to_numpy() for c in ("n_hit", "n_words"))
+            yield batch.filter(pa.array((n_hit == 0) | (n_hit * 20 < n_words)))
+
+    return docs.mapInArrow(run, docs.schema)

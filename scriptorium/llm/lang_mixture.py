@@ -62,8 +62,9 @@ class Languages:
         counts = np.full((SLOTS, len(self.names)), 0.5)
         where = {name: k for k, name in enumerate(self.names)}
         np.add.at(counts, (rows["slot"].to_numpy(dtype=np.int64), rows["lang"].map(where).to_numpy(dtype=np.int64)), rows["n"].to_numpy(dtype=float))
-        logs = np.log(counts / counts.sum(axis=0))
-        self.table = (logs - logs.mean(axis=1, keepdims=True)).astype(np.float32)
+        self.table = np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        if self.names:
+            self.table -= self.table.mean(axis=1, keepdims=True)
 
 
 def learn_languages(docs: DataFrame) -> Languages:

@@ -17,10 +17,8 @@ from tokenizers import Tokenizer
 
 #: White space other than blank, newline, tab and carriage return, and separators that only some engines count.
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-#: Two neighbouring white-space characters, or one at either end.
-_UNEVEN = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]")
 _TRAIL = ".,!$%&*#|"
-_MOST_PIECES = 400_000
+_MOST_PIECES = 600_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
@@ -48,17 +46,19 @@ class PieceEncoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """Keys of the cached pieces of a text, or None if it must be encoded whole."""
-        if self.kind == "words":
-            if _ODD_SPACE.search(text):
-                return None
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                return text.split()
-            return text.lower().split()
-        if self.kind == "spaced" and text and not _UNEVEN.search(text):
-            return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-        return None
+        if self.kind == "whole" or not text:
+            return None
+        parts = text.split()
+        even = " ".join(parts) == text.replace("\n", " ")
+        if self.kind == "spaced":
+            return ("\n" + text).replace("\n", " \n").split(" ")[1:] if even else None
+        if not even and _ODD_SPACE.search(text):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return parts
+        return parts if text.islower() else text.lower().split()
 
     def _piece_text(self, key: str) -> str:
         return key if self.kind == "words" or key[0] == "\n" else " " + key
