@@ -9,7 +9,7 @@ import numpy as np
 MOST_BITS = 16
 MAGIC = b"HUFB"
 #: Ids between two bit-offset checkpoints.
-STEP = 256
+STEP = 64
 _HEAD = struct.Struct("<4sIQ")
 
 

@@ -40,41 +40,46 @@ def _chunks(texts: list, most: int = 1 << 21):
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """A row per document, and at the end of the task rows that count its ids."""
     enc = encoder(path)
+    counts, kind = np.zeros(0, dtype=np.int64), "<u2" if enc.width == 2 else "<u4"
     end = end_id.to_bytes(enc.width, "little")
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for lo, hi in _chunks(texts):
             ids = [b + end for b in enc.encode(texts[lo:hi])]
-            yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array([len(b) // enc.width for b in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
+            counts = _add(counts, np.bincount(np.frombuffer(b"".join(ids), dtype=kind)))
+            yield _token_rows(batch.column("doc_id").slice(lo, hi - lo), ids, [-1] * len(ids), [len(b) // enc.width for b in ids])
+    used = np.flatnonzero(counts)
+    for i in range(0, len(used), 10_000):
+        part = used[i : i + 10_000]
+        yield _token_rows([None] * len(part), [None] * len(part), part, counts[part])
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian binary, the end id included), n_tokens; a written table."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialise(plain.mapInArrow(lambda it: _tokenise(it, tokenizer_path, end_id), "doc_id long, ids binary, n_tokens long"), "ids")
+def _add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(len(a), len(b)), dtype=np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
 
 
-def id_type(tokenizer_path: str) -> str:
-    return "<u2" if encoder(tokenizer_path).width == 2 else "<u4"
+def _token_rows(doc_ids, ids, id_of, n) -> pa.RecordBatch:
+    return pa.record_batch([doc_ids if isinstance(doc_ids, pa.Array) else pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary()), pa.array(id_of, pa.int32()), pa.array(n, pa.int64())], names=["doc_id", "ids", "id", "n"])
 
 
-def _count(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(0, dtype=np.int64)
-    for batch in batches:
-        for value in batch.column("ids"):
-            more = np.bincount(np.frombuffer(value.as_buffer(), dtype=kind), minlength=len(counts))
-            more[: len(counts)] += counts
-            counts = more
-    used = np.flatnonzero(counts)
-    for i in range(0, len(used), 10_000):
-        part = used[i : i + 10_000]
-        yield pa.record_batch([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names=["id", "n"])
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> tuple[DataFrame, DataFrame]:
+    """Tokens (doc_id, ids) of every document and counts (id, n) over all of them.
 
+    ids are little-endian, the end id included. Both come from one written table, so texts
+    are tokenised once; counts has at most one row per id of the vocabulary.
+    """
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = materialise(plain.mapInArrow(lambda it: _tokenise(it, tokenizer_path, end_id), "doc_id long, ids binary, id int, n long"), "ids")
+    return rows.where("id = -1").select("doc_id", "ids"), rows.where("id >= 0").groupBy("id").agg(F.sum("n").alias("n"))
 
-def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
-    """Occurrences of every id over all documents: at most one row per id of the vocabulary."""
-    return tokens.select("ids").mapInArrow(lambda it: _count(it, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+def id_type(tokenizer_path: str) -> str:
+    return "<u2" if encoder(tokenizer_path).width == 2 else "<u4"
 
 
 def _write(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
@@ -107,15 +112,15 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     files. Null and empty texts hold the end id alone.
     """
     kind = id_type(tokenizer_path)
-    tokens = token_table(docs, tokenizer_path, end_id)
-    counts = id_counts(tokens, kind).toPandas()
+    tokens, counted = token_table(docs, tokenizer_path, end_id)
+    counts = counted.toPandas()
     by_id = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, dtype=np.int64)
     by_id[counts["id"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     lengths = code_lengths(by_id)
     spark = docs.sparkSession
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code_lengths")
     shards = max(1, -(-int(by_id.sum()) // ids_per_shard))
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(lambda it: _write(it, lengths, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 

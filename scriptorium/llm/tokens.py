@@ -48,17 +48,18 @@ class PieceEncoder:
         """Keys of the cached pieces of a text, or None if it must be encoded whole."""
         if self.kind == "whole" or not text:
             return None
-        parts = text.split()
-        even = " ".join(parts) == text.replace("\n", " ")
+        plain = text
+        if self.kind == "words" and not text.islower():
+            try:
+                text.encode("latin-1")
+                plain = text.lower()
+            except UnicodeEncodeError:
+                pass
+        parts = plain.split()
+        even = " ".join(parts) == plain.replace("\n", " ")
         if self.kind == "spaced":
             return ("\n" + text).replace("\n", " \n").split(" ")[1:] if even else None
-        if not even and _ODD_SPACE.search(text):
-            return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return parts
-        return parts if text.islower() else text.lower().split()
+        return parts if even or not _ODD_SPACE.search(text) else None
 
     def _piece_text(self, key: str) -> str:
         return key if self.kind == "words" or key[0] == "\n" else " " + key
@@ -105,11 +106,15 @@ class PieceEncoder:
             if len(cache) > _MOST_PIECES:
                 here = {p for s in split if s for p in s}
                 self.cache = cache = {p: cache[p] for p in here if p in cache}
-            missing = {p for s in split if s for p in s if p not in cache}
+            found = [list(map(cache.get, s)) if s else [] for s in split]
+            short = [k for k, f in enumerate(found) if None in f]
+            missing = {p for k in short for p, ids in zip(split[k], found[k]) if ids is None}
             if missing:
                 self._learn(missing)
+            for k in short:
+                found[k] = [cache[p] if ids is None else ids for p, ids in zip(split[k], found[k])]
             whole = [k for k, s in enumerate(split) if s is None]
-            out = [b"" if s is None else b"".join(map(self.cache.__getitem__, s)) for s in split]
+            out = [b"".join(f) for f in found]
             if self.kind == "spaced":
                 out = [o[self.width :] if s else o for o, s in zip(out, split)]
             for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
