@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 13
 #: Benchmark words held by one broadcast; a larger benchmark is scanned for in that many passes.
 MOST_WORDS = 4_000_000
@@ -90,7 +92,7 @@ def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             words = words_of(text)
@@ -151,7 +153,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     sets = benchmark_sets(benchmark, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = next(_scan(iter([batch.select(["text"])]), sets))
             n_hit, n_words = (found.column(c).to_numpy() for c in ("n_hit", "n_words"))
             yield batch.filter(pa.array((n_hit == 0) | (n_hit * 20 < n_words)))

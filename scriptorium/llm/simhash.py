@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, slices
 
 BITS, SEGMENTS, DISTANCE = 64, 8, 3
 WIDTH = BITS // SEGMENTS
@@ -54,7 +54,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
         yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
 
