@@ -83,7 +83,7 @@ def text_statistics(text: Column) -> Column:
 RATIOS = {
     "symbols_per_word": "n_symbols / greatest(n_words, 1)",
     "loud_share": "n_loud / greatest(word_chars, 1)",
-    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "distinct_share": "n_distinct / pow(greatest(n_words, 1), 0.8)",
     "repeat_share": "n_repeat_words / greatest(n_words, 1)",
     "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
     "word_length": "word_chars / greatest(n_words, 1)",
