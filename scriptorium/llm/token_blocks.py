@@ -124,7 +124,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     ordered.mapInArrow(lambda it: _write(it, lengths, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, before: dict[int, int]) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, before: dict[int, int], digest: bool) -> Iterator[pa.RecordBatch]:
     symbol, size = decode_table(lengths)
     for batch in batches:
         for row in batch.to_pylist():
@@ -132,15 +132,17 @@ def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, before: dict[i
             ends = np.cumsum(np.array(row["doc_lens"], dtype=np.int64))
             begins = ends - row["doc_lens"]
             first = before[row["shard"]] + row["before"]
-            yield pa.record_batch(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(first + begins), pa.array(row["doc_lens"], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
+            if digest:
+                last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64())
+            else:
+                last = pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
+            yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(first + begins), pa.array(row["doc_lens"], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
 
-def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
+def read_token_blocks(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, binary).
 
+    With digest the crc32 of the decoded ids, ids_crc32, takes the place of ids.
     Blocks are decoded on their own, in any task. The driver sees one row per shard.
     """
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
@@ -151,17 +153,11 @@ def read_token_blocks(spark: SparkSession, path: str) -> DataFrame:
     for r in sizes:
         before[r["shard"]] = total
         total += r["n"]
-    return blocks.select("shard", "before", "doc_ids", "doc_lens", "payload").mapInArrow(lambda it: _read(it, lengths, before), "doc_id long, start long, n_tokens long, ids binary")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        crc = pa.array([zlib.crc32(v.as_buffer()) for v in batch.column("ids")], pa.int64())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return blocks.select("shard", "before", "doc_ids", "doc_lens", "payload").mapInArrow(lambda it: _read(it, lengths, before, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Write docs as blocks in the shared folder, read them back, and digest each document."""
     path = f"{shared_dir(docs.sparkSession)}/scriptorium/blocks-{uuid.uuid4().hex}"
     write_token_blocks(docs, path, tokenizer_path, end_id)
-    return read_token_blocks(docs.sparkSession, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_blocks(docs.sparkSession, path, digest=True)
