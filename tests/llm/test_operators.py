@@ -248,6 +248,17 @@ def test_line_alignment(spark):
     assert got[6]["text"] is None and got[7]["text"] == "" and got[None]["text"] == long("a")
 
 
+def test_frequent_lines_change_nothing(spark, docs, monkeypatch):
+    plain = docs.select("doc_id", "text")
+    popular = spark.createDataFrame([(20_000 + k, "\n".join(["common line", " ".join(f"w{k % 3}x{j}" for j in range(40)), f"own {k}"])) for k in range(40)], "doc_id long, text string")
+    both = plain.unionByName(popular)
+    found = lambda: sorted(map(tuple, line_align.dedup_lines(both).collect()), key=str)
+    expected = found()
+    monkeypatch.setattr(line_align, "FEW_ROWS", 3)
+    assert found() == expected
+    assert sum(r[-1] for r in expected) > 37
+
+
 def test_patience():
     rng = random.Random(5)
     for _ in range(200):
