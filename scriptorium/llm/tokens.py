@@ -18,7 +18,8 @@ from tokenizers import Tokenizer
 #: White space other than blank, newline, tab and carriage return, and separators that only some engines count.
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _TRAIL = ".,!$%&*#|"
-_MOST_PIECES = 600_000
+#: Pieces kept by a worker, about 200 bytes each.
+_MOST_PIECES = 400_000
 _LOADED: dict[str, PieceEncoder] = {}
 
 
