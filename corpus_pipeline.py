@@ -9,42 +9,41 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm.common import materialise
+from scriptorium.llm.common import materialise, prepare
 from scriptorium.llm.decontam import drop_contaminated
 from scriptorium.llm.line_align import dedup_lines
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.preference_quality import keep_good_documents
 from scriptorium.llm.simhash import keep_one_of_each_group
-from scriptorium.shipping import ship_package
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking rejects go."""
-    ship_package(spark)
+    prepare(spark)
     return keep_good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned blocks of lines go from the later document."""
-    ship_package(spark)
+    prepare(spark)
     return dedup_lines(docs, counted=False)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the first document stays."""
-    ship_package(spark)
+    prepare(spark)
     return keep_one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages go."""
-    ship_package(spark)
+    prepare(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
-    ship_package(spark)
+    prepare(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 

@@ -10,9 +10,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.shipping import ship_package
+
+#: Bytes of one Arrow batch handed to Python, unless the session sets its own bound.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _LOCAL_DIR: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Ship the package and bound Arrow batches by bytes, so that long texts come few at a time."""
+    ship_package(spark)
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
