@@ -49,8 +49,15 @@ class PieceEncoder:
         """Keys of the cached pieces of a text, or None if it must be encoded whole."""
         if self.kind == "whole" or not text:
             return None
+        if self.kind == "spaced":
+            spaced = ("\n" + text).replace("\n", " \n")
+            if "  " in spaced or "\n " in spaced or spaced[-1] in " \n":
+                return None
+            # a printable text has no white space but blanks
+            plain = text.replace("\n", " ")
+            return spaced.split(" ")[1:] if plain.isprintable() or plain.split() == plain.split(" ") else None
         plain = text
-        if self.kind == "words" and not text.islower():
+        if not text.islower():
             try:
                 text.encode("latin-1")
                 plain = text.lower()
@@ -58,8 +65,6 @@ class PieceEncoder:
                 pass
         parts = plain.split()
         even = " ".join(parts) == plain.replace("\n", " ")
-        if self.kind == "spaced":
-            return ("\n" + text).replace("\n", " \n").split(" ")[1:] if even else None
         return parts if even or not _ODD_SPACE.search(text) else None
 
     def _piece_text(self, key: str) -> str:
@@ -78,12 +83,12 @@ class PieceEncoder:
 
     def _learn(self, keys: set[str]) -> None:
         cache = self.cache
-        words: dict[str, None] = {}
+        words = dict.fromkeys(filter(str.isalpha, keys))
         other: dict[str, str] = {}
         parts: dict[str, tuple[str, str]] = {}
-        for key in keys:
+        for key in keys.difference(words):
             base = key.rstrip(_TRAIL)
-            if not base.isalpha():
+            if not base.lower().isalpha():  # a dotted capital I becomes two characters
                 other[key] = self._piece_text(key)
                 continue
             words[base] = None
@@ -104,18 +109,14 @@ class PieceEncoder:
         try:
             split = [self._pieces(t) if t else [] for t in texts]
             cache = self.cache
+            here = set().union(*filter(None, split))
             if len(cache) > _MOST_PIECES:
-                here = {p for s in split if s for p in s}
                 self.cache = cache = {p: cache[p] for p in here if p in cache}
-            found = [list(map(cache.get, s)) if s else [] for s in split]
-            short = [k for k, f in enumerate(found) if None in f]
-            missing = {p for k in short for p, ids in zip(split[k], found[k]) if ids is None}
-            if missing:
+            if missing := here.difference(cache):
                 self._learn(missing)
-            for k in short:
-                found[k] = [cache[p] if ids is None else ids for p, ids in zip(split[k], found[k])]
+            known = cache.__getitem__
             whole = [k for k, s in enumerate(split) if s is None]
-            out = [b"".join(f) for f in found]
+            out = [b"".join(map(known, s)) if s else b"" for s in split]
             if self.kind == "spaced":
                 out = [o[self.width :] if s else o for o, s in zip(out, split)]
             for k, ids in zip(whole, self._encode([texts[k] for k in whole])):
