@@ -41,6 +41,8 @@ class PieceEncoder:
         elif parts == ["Split", "ByteLevel"] and [n.get("type") for n in (norm or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "words"
         self.cache: dict[str, bytes] = {}
+        #: Pieces met again since the cache was last cut down.
+        self.again: set[str] = set()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,8 +113,12 @@ class PieceEncoder:
             cache = self.cache
             here = set().union(*filter(None, split))
             if len(cache) > _MOST_PIECES:
-                self.cache = cache = {p: cache[p] for p in here if p in cache}
-            if missing := here.difference(cache):
+                keep = here if len(self.again) > _MOST_PIECES // 2 else here | self.again
+                self.cache = cache = {p: cache[p] for p in keep if p in cache}
+                self.again = set()
+            missing = here.difference(cache)
+            self.again |= here.difference(missing)
+            if missing:
                 self._learn(missing)
             known = cache.__getitem__
             whole = [k for k, s in enumerate(split) if s is None]
