@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scriptorium.llm import decision_list, decontam, huffman, lang_mixture, line_align, packing, preference_quality, quote_threads, simhash, token_blocks, url_filter
+from scriptorium.llm import decision_list, decontam, huffman, lang_mixture, line_align, packing, preference_quality, quote_threads, simhash, token_blocks, tokens, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -118,6 +118,21 @@ def test_token_blocks(docs, rows, monkeypatch):
     assert token_blocks.token_digests(docs.where("false"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("most", [400_000, 40])
+def test_pieces_are_the_tokenizers_own(name, most, monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST_PIECES", most)
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "naïve", "x1", "don't", "hello,", "World.", "日本", "😀", "\u0301", "İ", "İ#$%", "ﬁ", "#$%", "\t", "\r\n", "\xa0", "\x1c", "\u200b", "\n", "\n\n", "  ", " \n", "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain.encode_special_tokens = True
+    ours = tokens.PieceEncoder(public_tokenizers.path(name))
+    for at in range(0, len(texts), 500):
+        wanted = [e.ids for e in plain.encode_batch([t or "" for t in texts[at : at + 500]], add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u2").tolist() for b in ours.encode(texts[at : at + 500])] == wanted
+
+
 def test_packing(docs, rows, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_PER_PARTITION", 20)
     got = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
