@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from scriptorium.llm.common import materialise, prepare
 from scriptorium.llm.decontam import drop_contaminated
 from scriptorium.llm.line_align import dedup_lines
+from scriptorium.llm.near_copies import keep_one_of_each_group
 from scriptorium.llm.packing import pack_documents
 from scriptorium.llm.preference_quality import keep_good_documents
-from scriptorium.llm.simhash import keep_one_of_each_group
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the first document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
     prepare(spark)
     return keep_one_of_each_group(docs)
 
