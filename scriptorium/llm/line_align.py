@@ -1,8 +1,10 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Every line that several documents share is matched to its owner, the document with the
-smallest id that has it; so a document meets each owner of its lines once, whatever the
-number of copies. The two are aligned with patience diff over the lines they share, and
+smallest id that has it, and so is every shortest run of consecutive shared lines that
+makes a block, forwards from each line and backwards; a document meets each owner of its
+lines and runs once, whatever the number of copies. Each line of a block lies in such a run
+inside the block, so lines that all occur elsewhere one by one hide no block. The two are aligned with patience diff over the lines they share, and
 aligned blocks of enough words are deleted from the later document. An owner's line has no
 earlier holder, so every line survives somewhere.
 """
@@ -13,7 +15,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,6 +101,32 @@ def _blocks(pairs: list[tuple[int, int]], words: dict[int, int], least: int) ->
     return out
 
 
+def _runs(lines: list[tuple[int, int]], words: dict[int, int], least: int) -> set[tuple[int, int]]:
+    """Shortest runs of consecutive lines with enough words, from each line forwards and backwards, as index ranges."""
+    out: set[tuple[int, int]] = set()
+    cuts = [0, *(k for k in range(1, len(lines)) if lines[k][0] != lines[k - 1][0] + 1), len(lines)]
+    for begin, end in zip(cuts, cuts[1:]):
+        size = [words[n] for n, _ in lines[begin:end]]
+        b, total = 0, 0
+        for a in range(len(size)):
+            while b < len(size) and total < least:
+                total += size[b]
+                b += 1
+            if total < least:
+                break
+            out.add((begin + a, begin + b))
+            total -= size[a]
+        a, total = 0, 0
+        for b in range(len(size)):
+            total += size[b]
+            while total - size[a] >= least:
+                total -= size[a]
+                a += 1
+            if total >= least:
+                out.add((begin + a, begin + b + 1))
+    return out
+
+
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One row per document in, with the lists of its shared lines by partner; its deleted lines out."""
     for batch in batches:
@@ -123,6 +153,21 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "deleted"])
 
 
+def _run_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The hashes of each document's runs of shared lines."""
+    for batch in batches:
+        rows = batch.column("rows")
+        flat, ends = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py()).tolist()
+        line_no, h, words = (flat.field(k).to_pylist() for k in range(3))
+        for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:]):
+            lines = sorted({(line_no[k], h[k]) for k in range(a, b)})
+            sizes = {line_no[k]: words[k] for k in range(a, b)}
+            hashes = np.array([x for _, x in lines], dtype=np.int64)
+            keys = np.array([xxhash.xxh3_64_intdigest(hashes[c:d].tobytes()) for c, d in _runs(lines, sizes, least)], dtype=np.uint64)
+            if len(keys):
+                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys.view(np.int64))], names=["doc_id", "h"])
+
+
 def _frequent_beyond(table: DataFrame) -> int:
     """The number of rows beyond which a key of the table is frequent."""
     return max(FEW_ROWS, table.count() // MOST_FREQUENT)
@@ -159,7 +204,8 @@ def _met(pairs: DataFrame, theirs: DataFrame) -> DataFrame:
 def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
     """(doc_id, deleted): numbers of the lines that go, for documents that lose any.
 
-    Rows go by document: the lines a document shares, once for each of its partners, so
+    Rows go by document: the lines a document shares, once for each of its partners (the
+    owners of its lines and of its runs of them), so
     the work follows the input and no popular line pairs its holders with each other.
     """
     lines = materialise(numbered_lines(docs), "lines")
@@ -167,7 +213,10 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
     mine = held.where("owner < doc_id")
     able = mine.groupBy("doc_id").agg(F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select("doc_id")
     mine = mine.join(able, "doc_id")
-    partners = mine.select("doc_id", F.col("owner").alias("partner")).distinct()
+    by_doc = held.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "words")).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select("doc_id", "rows")
+    runs = materialise(by_doc.mapInArrow(lambda it: _run_keys(it, min_block_words), "doc_id long, h long"), "runs")
+    first = _owned(runs).where("owner < doc_id").select("doc_id", "owner")
+    partners = mine.select("doc_id", "owner").unionByName(first).distinct().withColumnRenamed("owner", "partner")
     theirs = held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line_no")).alias("theirs")).select(F.col("doc_id").alias("partner"), "h", "theirs")
     rows = _met(materialise(mine.select("doc_id", "line_no", "h", "words").join(partners, "doc_id"), "pairs"), theirs)
     grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("partner", "line_no", "h", "words", "theirs")).alias("rows"))

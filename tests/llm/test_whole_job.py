@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from scriptorium.llm import near_copies
+from scriptorium.llm import line_align, near_copies
 
 
 def shingles(text):
@@ -44,3 +44,33 @@ def test_near_copies_by_brute_force(spark, monkeypatch, frequent):
     kept = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
     assert {r["doc_id"] for r in kept.collect()} == {i for i in label if label[i] == i}
     assert len(pairs) > 50
+
+
+def words_of(tag, n):
+    return " ".join(f"{tag}x{k}" for k in range(n))
+
+
+def deduped(spark, data):
+    got = line_align.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["text"] for r in got}
+
+
+def test_block_of_lines_that_others_own(spark):
+    one, two, three, tail = words_of("p", 20), words_of("q", 20), words_of("r", 20), words_of("s", 5)
+    passage = "\n".join([one, two, three, tail])
+    data = [(1, one + "\nalone a"), (2, "alone b\n" + two), (3, three + "\nalone c"), (4, tail), (100, passage), (200, "own\n" + passage)]
+    got = deduped(spark, data)
+    assert got[200] == "own" and all(got[i] == t for i, t in data if i < 200)
+
+
+def test_runs_cover_every_line_of_a_block():
+    rng = random.Random(3)
+    for _ in range(300):
+        sizes = {k: rng.randint(1, 12) for k in range(rng.randint(1, 12))}
+        lines = [(k, k) for k in sizes]
+        runs = line_align._runs(lines, sizes, 30)
+        assert all(sum(sizes[k] for k in range(a, b)) >= 30 for a, b in runs)
+        for a in sizes:
+            for b in range(a + 1, len(sizes) + 1):
+                if sum(sizes[k] for k in range(a, b)) >= 30:
+                    assert {k for c, d in runs if a <= c and d <= b for k in range(c, d)} == set(range(a, b))
