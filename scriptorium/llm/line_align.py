@@ -4,9 +4,11 @@ Every line that several documents share is matched to its owner, the document wi
 smallest id that has it, and so is every shortest run of consecutive shared lines that
 makes a block, forwards from each line and backwards; a document meets each owner of its
 lines and runs once, whatever the number of copies. Each line of a block lies in such a run
-inside the block, so lines that all occur elsewhere one by one hide no block. The two are aligned with patience diff over the lines they share, and
-aligned blocks of enough words are deleted from the later document. An owner's line has no
-earlier holder, so every line survives somewhere.
+inside the block, so lines that all occur elsewhere one by one hide no block. The two
+are aligned with patience diff over the lines they share, and aligned blocks of enough words
+are deleted from the later document. Where repeated lines keep patience from a block, the
+runs that occur anywhere in both find it. An owner's line has no earlier holder, so every
+line survives somewhere.
 """
 
 from __future__ import annotations
@@ -127,6 +129,16 @@ def _runs(lines: list[tuple[int, int]], words: dict[int, int], least: int) -> se
     return out
 
 
+def _common_runs(left: list[tuple[int, int]], right: list[tuple[int, int]], words: dict[int, int], least: int) -> set[int]:
+    """Lines of left in a block of enough words that is consecutive on both sides, at any of its occurrences.
+
+    Right holds only lines of left; equal hashes have equal sizes.
+    """
+    size_of = {h: words[n] for n, h in left}
+    theirs = {tuple(h for _, h in right[c:d]) for c, d in _runs(right, {n: size_of[h] for n, h in right}, least)}
+    return {n for a, b in _runs(left, words, least) if tuple(h for _, h in left[a:b]) in theirs for n, _ in left[a:b]}
+
+
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """One row per document in, with the lists of its shared lines by partner; its deleted lines out."""
     for batch in batches:
@@ -145,10 +157,13 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 left = sorted((line_no[k], h[k]) for k in at)
                 right = sorted({(n, h[k]) for k in at for n in theirs[k]})
                 sizes = {line_no[k]: words[k] for k in at}
+                whole = left
                 while pairs := patience(left, right):
                     deleted.update(_blocks(pairs, sizes, least))
                     done = {a for a, _ in pairs}  # blocks that moved align in a later pass
                     left = [x for x in left if x[0] not in done]
+                if any(n not in deleted for n in sizes):
+                    deleted |= _common_runs(whole, right, sizes, least)
             out.append(sorted(deleted))
         yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "deleted"])
 

@@ -74,3 +74,24 @@ def test_runs_cover_every_line_of_a_block():
             for b in range(a + 1, len(sizes) + 1):
                 if sum(sizes[k] for k in range(a, b)) >= 30:
                     assert {k for c, d in runs if a <= c and d <= b for k in range(c, d)} == set(range(a, b))
+
+
+@pytest.mark.parametrize("earlier, later, left", [("TTP", "TP", ""), ("PQPQ", "QPQP", ""), ("TP", "TTP", "T"), ("AB", "BA", "BA")])
+def test_blocks_of_repeated_lines(spark, earlier, later, left):
+    text = lambda letters: "\n".join(words_of(c, 26) for c in letters)
+    got = deduped(spark, [(1, text(earlier)), (2, text(later))])
+    assert got == {1: text(earlier), 2: text(left)}
+
+
+def test_alignment_by_brute_force(spark):
+    rng = random.Random(11)
+    sizes = {c: rng.randint(4, 26) for c in "abcdef"}
+    letters = {i: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 7))) for i in range(60)}
+    got = deduped(spark, [(i, "\n".join(words_of(c, sizes[c]) for c in x)) for i, x in letters.items()])
+    for i, x in letters.items():
+        gone = set()
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if sum(sizes[c] for c in x[a:b]) >= 30 and any(x[a:b] in letters[k] for k in range(i)):
+                    gone |= set(range(a, b))
+        assert got[i] == "\n".join(words_of(c, sizes[c]) for k, c in enumerate(x) if k not in gone)
