@@ -24,9 +24,11 @@ WIDTH = 5
 PART, WHOLE = 4, 5
 #: One of SAMPLE sets is counted, and shingles that FREQUENT of them hold come last in the
 #: order; of these the MOST_COMMON most frequent. This moves work, never results.
-SAMPLE, FREQUENT, MOST_COMMON = 16, 16, 200_000
+SAMPLE, FREQUENT, MOST_COMMON = 8, 3, 200_000
 #: Members of a frequent bucket in one block; blocks are compared in pairs.
 BLOCK = 256
+#: At most so many digests are broadcast to find their sets; more are joined by shuffle.
+MOST_BROADCAST = 1_000_000
 #: Rounds in which a frequent bucket is compared with one member only, before all pairs that are still apart.
 PIVOT_ROUNDS = 2
 
@@ -86,6 +88,32 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.minimum(d[one], d[two])), pa.array(np.maximum(d[one], d[two]))], names=["a", "b"])
 
 
+def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, digest, n) sorted by key, the pairs that share a key and whose sizes allow the similarity."""
+    rest = [np.zeros(0, dtype=np.int64)] * 3
+
+    def pairs(key, digest, n):
+        ends = np.searchsorted(key, key, side="right")
+        here, gap = np.flatnonzero(ends - np.arange(len(key)) > 1), 1
+        while len(here):
+            one, two = here, here + gap
+            fit = (digest[one] != digest[two]) & (WHOLE * np.minimum(n[one], n[two]) >= PART * np.maximum(n[one], n[two]))
+            a, b = digest[one[fit]], digest[two[fit]]
+            if len(a):
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            gap += 1
+            here = here[ends[here] - here > gap]
+
+    for batch in batches:
+        rows = [np.concatenate([old, batch.column(k).to_numpy().astype(np.int64)]) for k, old in enumerate(rest)]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
+        rest = [x[cut:] for x in rows]
+        yield from pairs(*(x[:cut] for x in rows))
+    yield from pairs(*rest)
+
+
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -110,6 +138,9 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough."""
     pairs = materialise(pairs.distinct(), "met")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    wanted = materialise(wanted, "wanted")
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
     held = materialise(sets.select("digest", "shingles").join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
     both = _with_set(_with_set(pairs, held, "a", "b"), held, "b", "a")
     return materialise(both.select("a", "b", "of_a", "of_b").mapInArrow(_alike, "a long, b long"), "alike")
@@ -117,7 +148,7 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _common(sets: DataFrame) -> np.ndarray:
     """Shingles that many of a sample of the sets hold."""
-    sample = sets.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0).select("digest", F.explode("shingles").alias("h")).distinct()
+    sample = sets.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0).select("digest", "shingles").dropDuplicates(["digest"]).select(F.explode("shingles").alias("h"))
     rows = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
     return np.array(sorted(r["h"] for r in rows), dtype=np.int64)
 
@@ -130,9 +161,8 @@ def links(sets: DataFrame) -> DataFrame:
     """
     common = _common(sets)
     keys = materialise(sets.select("digest", "shingles").mapInArrow(lambda it: _prefixes(it, common), "digest long, n int, rare array<long>, frequent array<long>").dropDuplicates(["digest"]), "prefixes")
-    member = F.struct("digest", "n", F.col("digest").alias("label"))
-    rare = keys.select("digest", "n", F.explode("rare").alias("key")).groupBy("key").agg(F.collect_list(member).alias("members")).where("size(members) > 1")
-    edges = _checked(rare.select("members").mapInArrow(_met, "a long, b long"), sets)
+    rare = keys.select(F.explode("rare").alias("key"), "digest", "n").repartition("key").sortWithinPartitions("key")
+    edges = _checked(rare.mapInArrow(_met_in_order, "a long, b long"), sets)
     if not len(common):
         return edges
     held = materialise(keys.select("digest", "n", F.explode("frequent").alias("key")), "frequent")
@@ -140,7 +170,10 @@ def links(sets: DataFrame) -> DataFrame:
         label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
         apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), F.min_by(F.struct("digest", "n", "label"), F.xxhash64("digest", F.lit(turn))).alias("pivot")).where("least < most")
-        apart = F.broadcast(materialise(apart.select("key", "n_held", "pivot"), "apart"))
+        apart = materialise(apart.select("key", "n_held", "pivot"), "apart")
+        if not apart.limit(1).count():
+            break
+        apart = F.broadcast(apart)
         met = named.join(apart, "key")
         if turn < PIVOT_ROUNDS:
             sized = met.where((F.col("label") != F.col("pivot.label")) & (WHOLE * F.least("n", "pivot.n") >= PART * F.greatest("n", "pivot.n")))
