@@ -17,7 +17,7 @@ from scriptorium.llm import decision_list, decontam, huffman, lang_mixture, line
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
-ODD = [(9000, None), (9001, ""), (9002, "a  b\n\n c"), (9003, " lead"), (9004, "it's İstanbul ΣΑΣ \x1c x y"), (9005, "x" * 5000), (9006, "日本語 テキスト. ok, 12 3!!"), (9007, "same"), (9007, "same"), (None, "no id"), (9008, "tab\tand\u00a0space")]
+ODD = [(9000, None), (9001, ""), (9002, "a  b\n\n c"), (9003, " lead"), (9004, "it's İstanbul ΣΑΣ \x1c x y"), (9005, "x" * 5000), (9006, "日本語 テキスト. ok, 12 3!!"), (9007, "same"), (9007, "same"), (None, "no id"), (9008, "tab\tand\u00a0space"), (9010, "before <|endoftext|> after"), (9011, "one"), (9011, "another text"), (9012, "long words go on " * 150_000)]
 
 
 @pytest.fixture(scope="module")
@@ -93,13 +93,19 @@ def test_huffman_round_trip():
         ids = rng.choice(used, 1000)
         block = huffman.encode_block(ids, huffman.canonical_codes(lengths), lengths)
         assert np.array_equal(huffman.decode_block(block, *huffman.decode_table(lengths)), ids)
+    wide = np.ones(70_000)
+    wide[:5] = 10**6
+    lengths = huffman.code_lengths(wide)
+    assert lengths.max() == 17 and (2.0 ** -lengths.astype(float)).sum() <= 1
+    ids = rng.integers(0, 70_000, 5000)
+    block = huffman.encode_block(ids, huffman.canonical_codes(lengths), lengths)
+    assert np.array_equal(huffman.decode_block(block, *huffman.decode_table(lengths)), ids)
     empty = huffman.encode_block(np.zeros(0, dtype="<u2"), huffman.canonical_codes(lengths), lengths)
     assert len(huffman.decode_block(empty, *huffman.decode_table(lengths))) == 0
 
 
 def encoded(name, rows, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [(i, t.encode(x or "", add_special_tokens=False).ids + [end]) for i, x in rows]
 
 
@@ -123,10 +129,9 @@ def test_token_blocks(docs, rows, monkeypatch):
 def test_pieces_are_the_tokenizers_own(name, most, monkeypatch):
     monkeypatch.setattr(tokens, "_MOST_PIECES", most)
     rng = random.Random(3)
-    parts = ["a", "B", "é", "naïve", "x1", "don't", "hello,", "World.", "日本", "😀", "\u0301", "İ", "İ#$%", "ﬁ", "#$%", "\t", "\r\n", "\xa0", "\x1c", "\u200b", "\n", "\n\n", "  ", " \n", "<|endoftext|>"]
+    parts = ["a", "B", "é", "naïve", "x1", "don't", "hello,", "World.", "日本", "😀", "\u0301", "İ", "İ#$%", "ﬁ", "#$%", "\t", "\r\n", "\xa0", "\x1c", "\u200b", "\n", "\n\n", "  ", " \n", "<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>"]
     texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)] + [None, ""]
     plain = Tokenizer.from_file(public_tokenizers.path(name))
-    plain.encode_special_tokens = True
     ours = tokens.PieceEncoder(public_tokenizers.path(name))
     for at in range(0, len(texts), 500):
         wanted = [e.ids for e in plain.encode_batch([t or "" for t in texts[at : at + 500]], add_special_tokens=False)]
