@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
@@ -24,11 +24,15 @@ from .tokens import encoder
 
 #: Ids after which a block is closed; a block holds whole documents.
 BLOCK_IDS = 1 << 16
+#: Shards whose sizes one group sums.
+SHARDS_PER_PART = 4096
+#: Offsets of at most so many shards (16 bytes each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST_SHARDS = 1 << 20
 _BLOCKS = "shard int, block int, before long, n_ids long, doc_ids array<bigint>, doc_lens array<bigint>, payload binary"
 
 
-def _chunks(texts: list, most: int = 1 << 21):
-    """Runs of texts of some 2 million characters together."""
+def _chunks(texts: list, most: int = 1 << 22):
+    """Runs of texts of some 4 million characters together."""
     begin = held = 0
     for k, t in enumerate(texts):
         held += len(t or "")
@@ -107,9 +111,11 @@ def _write(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, kind: str) ->
 def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, ids_per_shard: int = 1 << 23) -> None:
     """Encode docs and write `path`/blocks and `path`/code_lengths.
 
-    Documents are dealt into shards by range of doc_id and lie in ascending order, rows
-    without a doc_id first, rows that share one by their ids. An empty table gives empty
-    files. Null and empty texts hold the end id alone.
+    Documents are dealt into shards by range and lie in ascending order of doc_id, rows
+    without one first; rows that share a doc_id lie by a hash of their ids, equal rows side
+    by side, and may go to several shards. An empty table gives empty files. Null and empty
+    texts hold the end id alone; a text of any length is one document and lies in one
+    block. Other columns are ignored.
     """
     kind = id_type(tokenizer_path)
     tokens, counted = token_table(docs, tokenizer_path, end_id)
@@ -120,40 +126,49 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer_path: str, end_id:
     spark = docs.sparkSession
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code_lengths")
     shards = max(1, -(-int(by_id.sum()) // ids_per_shard))
-    ordered = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(lambda it: _write(it, lengths, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    # tokens is a written table, so a row's number stays the same if a task is tried again
+    placed = tokens.withColumn("h", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(shards, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row")
+    ordered.select("doc_id", "ids").mapInArrow(lambda it: _write(it, lengths, kind), _BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, before: dict[int, int], digest: bool) -> Iterator[pa.RecordBatch]:
+def _read(batches: Iterator[pa.RecordBatch], lengths: np.ndarray, digest: bool) -> Iterator[pa.RecordBatch]:
     symbol, size = decode_table(lengths)
     for batch in batches:
         for row in batch.to_pylist():
             ids = decode_block(row["payload"], symbol, size).astype("<u4")
             ends = np.cumsum(np.array(row["doc_lens"], dtype=np.int64))
             begins = ends - row["doc_lens"]
-            first = before[row["shard"]] + row["before"]
             if digest:
                 last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64())
             else:
                 last = pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
-            yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(first + begins), pa.array(row["doc_lens"], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+            yield pa.record_batch([pa.array(row["doc_ids"], pa.int64()), pa.array(row["first"] + begins), pa.array(row["doc_lens"], pa.int64()), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+
+
+def shard_offsets(blocks: DataFrame) -> DataFrame:
+    """(shard, offset): ids in all shards before, summed within groups of shards and over the groups."""
+    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).withColumn("part", F.expr(f"shard div {SHARDS_PER_PART}"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(parts, "part").select("shard", (F.col("base") + F.col("inside")).alias("offset"))
 
 
 def read_token_blocks(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, binary).
 
     With digest the crc32 of the decoded ids, ids_crc32, takes the place of ids.
-    Blocks are decoded on their own, in any task. The driver sees one row per shard.
+    Blocks are decoded on their own, in any task; the driver sees only the code lengths.
     """
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     row = spark.read.schema("lengths binary").parquet(f"{path}/code_lengths").first()
     lengths = np.frombuffer(bytes(row["lengths"]), dtype=np.uint8)
-    sizes = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
-    before, total = {}, 0
-    for r in sizes:
-        before[r["shard"]] = total
-        total += r["n"]
-    return blocks.select("shard", "before", "doc_ids", "doc_lens", "payload").mapInArrow(lambda it: _read(it, lengths, before, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
+    offsets = materialise(shard_offsets(blocks), "offsets")
+    if offsets.count() <= MOST_BROADCAST_SHARDS:
+        offsets = F.broadcast(offsets)
+    placed = blocks.join(offsets, "shard").select((F.col("offset") + F.col("before")).alias("first"), "doc_ids", "doc_lens", "payload")
+    return placed.mapInArrow(lambda it: _read(it, lengths, digest), f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def token_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
