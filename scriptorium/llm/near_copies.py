@@ -1,9 +1,14 @@
 """Groups of near copies: word shingles with a Jaccard similarity of 0.8 or more.
 
-Two sets as similar as that share at least 4/5 of the larger one, so under any one order
-of all shingles they meet in their first n - ceil(4n/5) + 1 of n (prefix filtering): no
-pair is missed. The order puts shingles that a sample finds frequent last, which keeps
-other buckets small. Every pair that meets is checked on its whole sets.
+SimHash comes first: texts whose fingerprints the pigeonring search links are compared with
+one member of their group, and those that are similar enough are one class from then on.
+Copies at a similarity of 0.8 may differ in far more bits than such a search can allow, so
+prefix filtering completes the links exactly: two sets as similar as that share at least
+4/5 of the larger one, so under any one order of all shingles they meet in their first
+n - ceil(4n/5) + 1 of n. The order puts shingles that a sample finds frequent last, which
+keeps buckets small. In every round each text is compared with the one it shares most
+buckets with among the pivots of buckets that still hold several classes; what is still
+apart after PIVOT_ROUNDS is compared in full, in blocks. Only whole sets decide.
 """
 
 from __future__ import annotations
@@ -13,33 +18,40 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import components, materialise, slices
 from .line_align import _frequent_beyond
 
 #: Words of a shingle; similarity as a fraction.
 WIDTH = 5
 PART, WHOLE = 4, 5
-#: One of SAMPLE sets is counted, and shingles that FREQUENT of them hold come last in the
+#: One of SAMPLE texts is counted, and shingles that FREQUENT of them hold come last in the
 #: order; of these the MOST_COMMON most frequent. This moves work, never results.
 SAMPLE, FREQUENT, MOST_COMMON = 8, 3, 200_000
-#: Members of a frequent bucket in one block; blocks are compared in pairs.
+#: Members of a bucket in one block; blocks are compared in pairs.
 BLOCK = 256
-#: At most so many digests are broadcast to find their sets; more are joined by shuffle.
+#: At most so many digests are broadcast to find their texts; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
-#: Rounds in which a frequent bucket is compared with one member only, before all pairs that are still apart.
-PIVOT_ROUNDS = 2
+#: Rounds in which a text is compared with one pivot only, before all pairs that are still apart.
+PIVOT_ROUNDS = 3
+_DIGEST = "__scriptorium_digest"
 
 
-def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles; a text of fewer words is one shingle."""
+def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of a text's word shingles, repeats included; a text of fewer words is one shingle."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64).view(np.int64))
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64)
+
+
+def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, width).view(np.int64))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -47,34 +59,46 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.int64)])))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-        digests = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(digests), _lists(sets)], names=["doc_id", "digest", "shingles"])
+def digest_of(text: Column) -> Column:
+    """What stands for a text: equal texts share it, a null one is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
-def _each(lists: pa.Array) -> Iterator[np.ndarray]:
-    values, ends = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py())
-    for a, b in zip(ends, ends[1:]):
-        yield values[a:b]
+def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        yield pa.record_batch([pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *(shingle_set(t, width) for t in batch.column("text").to_pylist())]))], names=["h"])
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _prefixes(batches: Iterator[pa.RecordBatch], common: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sizes, rare, frequent = [], [], []
-        for s in _each(batch.column("shingles")):
-            last = np.isin(s, common) if len(common) else np.zeros(len(s), dtype=bool)
+        sizes, prints, prefixes = [], [], []
+        for text in batch.column("text").to_pylist():
+            hashes = shingle_hashes(text, width)
+            s = np.unique(hashes.view(np.int64))
+            last = common[np.searchsorted(common, s)] == s
             take = len(s) + PART * len(s) // -WHOLE + 1 if len(s) else 0
-            first = s[~last][:take]
+            rare = s[~last][:take]
             sizes.append(len(s))
-            rare.append(first)
-            frequent.append(s[last][: take - len(first)])
-        yield pa.record_batch([batch.column("digest"), pa.array(sizes, pa.int32()), _lists(rare), _lists(frequent)], names=["digest", "n", "rare", "frequent"])
+            prints.append(simhash.fold(hashes))
+            prefixes.append(np.concatenate([rare, s[last][: take - len(rare)]]))
+        yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "digest")), pa.array(sizes, pa.int32()), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), _lists(prefixes)], names=["doc_id", "digest", "n", "fp", "prefix"])
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that many of a sample of the texts hold, and an end mark."""
+    sample = texts.where(F.pmod("digest", F.lit(SAMPLE)) == 0).groupBy("digest").agg(F.first("text").alias("text")).select("text")
+    counts = sample.mapInArrow(lambda it: _shingles(it, width), "h long").groupBy("h").agg(F.count("*").alias("n"))
+    rows = counts.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toPandas()
+    return np.array(sorted({*rows["h"].tolist(), (1 << 63) - 1}), dtype=np.int64)
+
+
+def _fits(one: str, two: str) -> Column:
+    """Whether two sets of these sizes can be similar enough."""
+    return WHOLE * F.least(one, two) >= PART * F.greatest(one, two)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members that carry different labels and whose sizes allow the similarity."""
+    """Pairs of a block's members that are of different classes and whose sizes allow the similarity."""
     for batch in batches:
         members = batch.column("members")
         flat = members.flatten()
@@ -88,125 +112,110 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(np.minimum(d[one], d[two])), pa.array(np.maximum(d[one], d[two]))], names=["a", "b"])
 
 
-def _met_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, digest, n) sorted by key, the pairs that share a key and whose sizes allow the similarity."""
-    rest = [np.zeros(0, dtype=np.int64)] * 3
-
-    def pairs(key, digest, n):
-        ends = np.searchsorted(key, key, side="right")
-        here, gap = np.flatnonzero(ends - np.arange(len(key)) > 1), 1
-        while len(here):
-            one, two = here, here + gap
-            fit = (digest[one] != digest[two]) & (WHOLE * np.minimum(n[one], n[two]) >= PART * np.maximum(n[one], n[two]))
-            a, b = digest[one[fit]], digest[two[fit]]
-            if len(a):
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            gap += 1
-            here = here[ends[here] - here > gap]
-
-    for batch in batches:
-        rows = [np.concatenate([old, batch.column(k).to_numpy().astype(np.int64)]) for k, old in enumerate(rest)]
-        if not len(rows[0]):
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on in the next batch
-        rest = [x[cut:] for x in rows]
-        yield from pairs(*(x[:cut] for x in rows))
-    yield from pairs(*rest)
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their texts, those that are similar enough; rows of one a lie together."""
+    last, held = None, np.zeros(0, dtype=np.int64)
     for batch in batches:
-        keep = []
-        for one, two in zip(_each(batch.column("of_a")), _each(batch.column("of_b"))):
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            keep.append(WHOLE * both >= PART * (len(one) + len(two) - both))
-        yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """The pairs with the set of one side; a side in many pairs is dealt into parts."""
+        for part in slices(iter([batch]), 500):
+            keep = []
+            for a, one, two in zip(part.column("a").to_pylist(), part.column("of_a"), part.column("of_b")):
+                if a != last:
+                    last, held = a, shingle_set(one.as_py(), width)
+                other = shingle_set(two.as_py(), width)
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                keep.append(WHOLE * both >= PART * (len(held) + len(other) - both))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
+    """The pairs with the text of one side; a side in many pairs is dealt into parts."""
     limit = _frequent_beyond(pairs)
     many = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > limit)
     parts = F.broadcast(materialise(many.select(side, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "parts"))
     dealt = pairs.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts"), F.lit(0)).cast("int")).drop("parts")
-    named = sets.select(F.col("digest").alias(side), F.col("shingles").alias(f"of_{side}"))
+    named = texts.select(F.col("digest").alias(side), F.col("text").alias(f"of_{side}"))
     repeated = named.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return dealt.join(repeated, [side, "part"]).drop("part")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    pairs = materialise(pairs.distinct(), "met")
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
-    wanted = materialise(wanted, "wanted")
+def _checked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of the written pairs (a, b) whose whole sets are similar enough."""
+    wanted = materialise(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct(), "wanted")
     if wanted.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    held = materialise(sets.select("digest", "shingles").join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "candidates")
-    both = _with_set(_with_set(pairs, held, "a", "b"), held, "b", "a")
-    return materialise(both.select("a", "b", "of_a", "of_b").mapInArrow(_alike, "a long, b long"), "alike")
+    held = materialise(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidates")
+    both = _with_text(materialise(_with_text(pairs, held, "b", "a"), "half"), held, "a", "b")
+    return materialise(both.select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(lambda it: _alike(it, width), "a long, b long"), "alike")
 
 
-def _common(sets: DataFrame) -> np.ndarray:
-    """Shingles that many of a sample of the sets hold."""
-    sample = sets.where(F.pmod(F.xxhash64("digest"), F.lit(SAMPLE)) == 0).select("digest", "shingles").dropDuplicates(["digest"]).select(F.explode("shingles").alias("h"))
-    rows = sample.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
-    return np.array(sorted(r["h"] for r in rows), dtype=np.int64)
+def _fingerprint_pairs(keys: DataFrame) -> DataFrame:
+    """Each text of a group of linked fingerprints with one member of it, if their sizes allow the similarity."""
+    root = components(simhash.links(keys)).select(F.col("node").alias("fp"), "root")
+    named = keys.select("digest", "n", "fp").join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    group = named.groupBy("root").agg(F.min(F.struct("digest", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    return named.join(group, "root").where((F.col("digest") != F.col("pivot.digest")) & _fits("n", "pivot.n")).select(F.col("pivot.digest").alias("a"), F.col("digest").alias("b"))
 
 
-def links(sets: DataFrame) -> DataFrame:
+def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Edges (a, b) between digests whose components are those of all similar pairs.
 
-    Rare shingles' buckets give all their pairs. A frequent shingle's bucket is compared
-    with one member first; then only members of different components are, in blocks.
+    keys(digest, n, fp, prefix) has one row per digest, texts(digest, text) at least one.
     """
-    common = _common(sets)
-    keys = materialise(sets.select("digest", "shingles").mapInArrow(lambda it: _prefixes(it, common), "digest long, n int, rare array<long>, frequent array<long>").dropDuplicates(["digest"]), "prefixes")
-    rare = keys.select(F.explode("rare").alias("key"), "digest", "n").repartition("key").sortWithinPartitions("key")
-    edges = _checked(rare.mapInArrow(_met_in_order, "a long, b long"), sets)
-    if not len(common):
-        return edges
-    held = materialise(keys.select("digest", "n", F.explode("frequent").alias("key")), "frequent")
+    tried = materialise(_fingerprint_pairs(keys), "met")
+    edges = _checked(tried, texts, width)
+    filed = keys.select(F.explode("prefix").alias("key"), "digest", "n")
+    several = filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    held = materialise(filed.join(several, "key"), "shared")
     for turn in range(PIVOT_ROUNDS + 1):
         label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
-        apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), F.min_by(F.struct("digest", "n", "label"), F.xxhash64("digest", F.lit(turn))).alias("pivot")).where("least < most")
-        apart = materialise(apart.select("key", "n_held", "pivot"), "apart")
-        if not apart.limit(1).count():
+        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)), "digest", "n", "label"))
+        apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), pivot.alias("pivot")).where("least < most")
+        met = materialise(named.join(apart.select("key", "n_held", "pivot"), "key"), "apart")
+        if not met.limit(1).count():
             break
-        apart = F.broadcast(apart)
-        met = named.join(apart, "key")
         if turn < PIVOT_ROUNDS:
-            sized = met.where((F.col("label") != F.col("pivot.label")) & (WHOLE * F.least("n", "pivot.n") >= PART * F.greatest("n", "pivot.n")))
-            pairs = sized.select(F.least("digest", "pivot.digest").alias("a"), F.greatest("digest", "pivot.digest").alias("b"))
+            other = met.where((F.col("label") != F.col("pivot.label")) & _fits("n", "pivot.n"))
+            pairs = other.groupBy(F.least("digest", "pivot.digest").alias("a"), F.greatest("digest", "pivot.digest").alias("b"), "digest").agg(F.count("*").alias("times"))
+            fresh = pairs.join(tried, ["a", "b"], "left_anti").groupBy("digest").agg(F.max(F.struct("times", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         else:
             blocks = F.ceil(F.col("n_held") / BLOCK).cast("int")
             dealt = met.withColumn("mine", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
             rows = dealt.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("digest", "n", "label")).alias("members"))
-            pairs = rows.where("size(members) > 1").select("members").mapInArrow(_met, "a long, b long")
-        edges = edges.unionByName(_checked(pairs, sets))
+            fresh = rows.where("size(members) > 1").select("members").mapInArrow(_met, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = materialise(fresh, "met")
+        tried = tried.unionByName(fresh)
+        edges = edges.unionByName(_checked(fresh, texts, width))
+        held = met.select("key", "digest", "n")
     return edges
 
 
 def near_copy_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, component_id.
+    """One row per input row: doc_id, digest (of its text), component_id.
 
     component_id is the smallest doc_id reachable over pairs of similarity 0.8 or more.
     Texts without words (null, empty) are copies of each other. A null doc_id never names a
-    component; a component of such rows alone has a null id.
+    component; a component of such rows alone has a null id. Rows that repeat a doc_id with
+    another text are texts of their own. A text of any length is compared whole.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = materialise(plain.mapInArrow(lambda it: _sets(it, width), "doc_id long, digest long, shingles array<long>"), "shingles")
-    root = components(links(sets)).withColumnsRenamed({"node": "digest"})
-    classes = sets.groupBy("digest").agg(F.min("doc_id").alias("first")).join(root, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_digest = classes.join(least, "root").select("digest", "component_id")
-    return sets.select("doc_id", "digest").join(of_digest, "digest").select("doc_id", "component_id")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest_of(F.col("text")).alias("digest"), F.col("text").cast("string").alias("text"))
+    texts = plain.select("digest", "text")
+    common = _common(texts, width)
+    rows = materialise(plain.mapInArrow(lambda it: _prefixes(it, common, width), "doc_id long, digest long, n int, fp long, prefix array<long>"), "prefixes")
+    keys = rows.where("n > 0").select("digest", "n", "fp", "prefix").dropDuplicates(["digest"])
+    root = components(links(keys, texts, width)).select(F.col("node").alias("digest"), "root")
+    wordless = F.when(F.col("n") == 0, F.lit(0)).otherwise(1)  # one class of their own
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.min("n").alias("n")).join(root, "digest", "left").select("digest", "first", wordless.alias("some"), F.when(F.col("n") > 0, F.coalesce("root", "digest")).otherwise(0).alias("root"))
+    least = classes.groupBy("some", "root").agg(F.min("first").alias("component_id"))
+    of_digest = classes.join(least, ["some", "root"]).select("digest", "component_id")
+    return rows.select("doc_id", "digest").join(of_digest, "digest")
 
 
 def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs without the near copies: of each component the row whose doc_id names it stays.
+    """docs without the near copies: of each component the rows with the smallest doc_id stay.
 
-    Rows without a doc_id stay; rows that repeat a doc_id stand or fall together.
+    Rows without a doc_id stay. Rows that repeat a doc_id are judged each by its text; equal
+    ones stand or fall together. All columns pass through.
     """
-    gone = near_copy_groups(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = near_copy_groups(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias(_DIGEST)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (digest_of(docs["text"]) == gone[_DIGEST]), "left_anti").select(*docs.columns)

@@ -43,16 +43,30 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     if not words:
         return 0
     total = max(1, len(words) - width + 1)
-    ones = np.zeros((8, 256), dtype=np.int64)
+    counts = np.zeros(2048, dtype=np.int64)
     for start in range(0, total, _CHUNK):
         part = words[start : start + _CHUNK + width - 1]
         joined = map(b" ".join, zip(*(part[k:] for k in range(width)))) if len(part) >= width else [b" ".join(part)]
-        lanes = _hashes(joined).view(np.uint8).reshape(-1, 8) + _BYTE_LANE
-        ones += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256)
-    bits = (ones @ _BIT_OF_BYTE).ravel() * 2 > total
+        counts += _byte_counts(_hashes(joined))
+    return _majority(counts, total)
+
+
+def _byte_counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each value stands at each of the eight bytes."""
+    lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _BYTE_LANE
+    return np.bincount(lanes.ravel(), minlength=2048)
+
+
+def _majority(counts: np.ndarray, total: int) -> int:
+    bits = (counts.reshape(8, 256) @ _BIT_OF_BYTE).ravel() * 2 > total
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fold(hashes: np.ndarray) -> int:
+    """The fingerprint of a text whose shingles have these hashes."""
+    return _majority(_byte_counts(hashes), len(hashes)) if len(hashes) else 0
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         prints = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], dtype=np.uint64)
