@@ -1,14 +1,14 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Every line that several documents share is matched to its owner, the document with the
-smallest id that has it, and so is every shortest run of consecutive shared lines that
-makes a block, forwards from each line and backwards; a document meets each owner of its
-lines and runs once, whatever the number of copies. Each line of a block lies in such a run
-inside the block, so lines that all occur elsewhere one by one hide no block. The two
-are aligned with patience diff over the lines they share, and aligned blocks of enough words
-are deleted from the later document. Where repeated lines keep patience from a block, the
-runs that occur anywhere in both find it. An owner's line has no earlier holder, so every
-line survives somewhere.
+Lines that several documents hold are shared. Every shortest run of consecutive shared lines
+that makes a block, forwards from each line and backwards, is hashed and matched to its
+owner, the document with the smallest id that has it; a document meets each owner of its
+runs once, whatever the number of copies. Each line of a block lies in such a run inside
+the block, so no block is missed: the owner of each of its runs holds all lines of the run
+one after the other. The lines of those runs are aligned with the owner's by patience
+diff, and aligned blocks of enough words are deleted from the later document. Where
+repeated lines keep patience from a block, the runs that occur anywhere in both find it. An
+owner's run has no earlier holder, so every block survives somewhere.
 """
 
 from __future__ import annotations
@@ -32,14 +32,19 @@ MIN_BLOCK_WORDS = 30
 #: ever broadcast; FEW_ROWS keeps small tables from calling every key frequent.
 MOST_FREQUENT = 100_000
 FEW_ROWS = 1_000
+#: What names a row: its id and a hash of its text.
+ROW = ["doc_id", "text_h"]
 _EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, h, words): lines with a word, counted from 0 among such lines."""
+    """(doc_id, text_h, line_no, h, words): lines with a word, counted from 0 among such lines.
+
+    text_h tells the texts of rows with one doc_id apart.
+    """
     trimmed = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, _EDGE, "")), lambda x: x != "")
-    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(trimmed).alias("line_no", "line"))
-    return lines.select("doc_id", "line_no", F.xxhash64("line").alias("h"), F.size(F.split("line", r"[\x20\x09-\x0D]+")).alias("words"))
+    lines = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_h"), F.posexplode(trimmed).alias("line_no", "line"))
+    return lines.select(*ROW, "line_no", F.xxhash64("line").alias("h"), F.size(F.split("line", r"[\x20\x09-\x0D]+")).alias("words"))
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,12 +149,12 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
     for batch in batches:
         rows = batch.column("rows")
         flat, ends = rows.flatten(), rows.offsets.to_pylist()
-        partner, line_no, h, words, theirs = (flat.field(k).to_pylist() for k in range(5))
+        owner, owner_h, line_no, h, words, theirs = (flat.field(k).to_pylist() for k in range(6))
         out: list[list[int]] = []
         for a, b in zip(ends, ends[1:]):
-            by_partner: dict[int, list[int]] = {}
+            by_partner: dict[tuple[int, int], list[int]] = {}
             for k in range(a, b):
-                by_partner.setdefault(partner[k], []).append(k)
+                by_partner.setdefault((owner[k], owner_h[k]), []).append(k)
             deleted: set[int] = set()
             for at in by_partner.values():
                 if sum(words[k] for k in at) < least:
@@ -165,22 +170,39 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 if any(n not in deleted for n in sizes):
                     deleted |= _common_runs(whole, right, sizes, least)
             out.append(sorted(deleted))
-        yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "deleted"])
+        yield pa.record_batch([*(batch.column(c) for c in ROW), pa.array(out, pa.list_(pa.int32()))], names=[*ROW, "deleted"])
+
+
+def _lines_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, int]], dict[int, int]]]:
+    """doc_id, text_h, the sorted (line number, hash) and the words by line number of each row."""
+    rows = batch.column("rows")
+    flat, ends = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py()).tolist()
+    line_no, h, words = (flat.field(k).to_pylist() for k in range(3))
+    for doc_id, text_h, a, b in zip(*(batch.column(c).to_pylist() for c in ROW), ends, ends[1:]):
+        yield doc_id, text_h, sorted({(line_no[k], h[k]) for k in range(a, b)}), {line_no[k]: words[k] for k in range(a, b)}
 
 
 def _run_keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The hashes of each document's runs of shared lines."""
+    """The hashes of each document's runs of shared lines, with their first and last line."""
     for batch in batches:
-        rows = batch.column("rows")
-        flat, ends = rows.flatten(), (rows.offsets.to_numpy() - rows.offsets[0].as_py()).tolist()
-        line_no, h, words = (flat.field(k).to_pylist() for k in range(3))
-        for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends, ends[1:]):
-            lines = sorted({(line_no[k], h[k]) for k in range(a, b)})
-            sizes = {line_no[k]: words[k] for k in range(a, b)}
+        for doc_id, text_h, lines, sizes in _lines_of(batch):
             hashes = np.array([x for _, x in lines], dtype=np.int64)
-            keys = np.array([xxhash.xxh3_64_intdigest(hashes[c:d].tobytes()) for c, d in _runs(lines, sizes, least)], dtype=np.uint64)
-            if len(keys):
-                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array(keys.view(np.int64))], names=["doc_id", "h"])
+            spans = sorted(_runs(lines, sizes, least))
+            if spans:
+                keys = np.array([xxhash.xxh3_64_intdigest(hashes[c:d].tobytes()) for c, d in spans], dtype=np.uint64)
+                ends = [pa.array([lines[x][0] for x in at], pa.int32()) for at in ([c for c, _ in spans], [d - 1 for _, d in spans])]
+                yield pa.record_batch([pa.array([doc_id] * len(keys), pa.int64()), pa.array([text_h] * len(keys), pa.int64()), pa.array(keys.view(np.int64)), *ends], names=[*ROW, "h", "first", "last"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each document's owned runs, once for each owner."""
+    for batch in batches:
+        spans = batch.column("spans").to_pylist()
+        for (doc_id, text_h, lines, sizes), of_doc in zip(_lines_of(batch), spans):
+            hash_of = dict(lines)
+            out = sorted({(s["owner"], s["owner_h"], k) for s in of_doc for k in range(s["first"], s["last"] + 1)})
+            columns = [[doc_id] * len(out), [text_h] * len(out), [x[0] for x in out], [x[1] for x in out], [x[2] for x in out], [hash_of[x[2]] for x in out], [sizes[x[2]] for x in out]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 4 + (pa.int32(), pa.int64(), pa.int32()))], names=[*ROW, "owner", "owner_h", "line_no", "h", "words"])
 
 
 def _frequent_beyond(table: DataFrame) -> int:
@@ -195,50 +217,47 @@ def _owned(lines: DataFrame) -> DataFrame:
     which no key has more rows than the limit.
     """
     limit = _frequent_beyond(lines)
-    counted = lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    shared = materialise(counted.where("owner < last").select("h", "owner", (F.col("n") > limit).alias("frequent")), "owners")
-    frequent = F.broadcast(shared.where("frequent").select("h", "owner"))
-    rare = shared.where("NOT frequent").select("h", "owner")
+    counted = lines.groupBy("h").agg(F.min("doc_id").alias("owner"), F.min_by("text_h", "doc_id").alias("owner_h"), F.max("doc_id").alias("latest"), F.count("*").alias("n"))
+    shared = materialise(counted.where("owner < latest").select("h", "owner", "owner_h", (F.col("n") > limit).alias("frequent")), "owners")
+    frequent = F.broadcast(shared.where("frequent").drop("frequent"))
+    rare = shared.where("NOT frequent").drop("frequent")
     return lines.join(frequent, "h").unionByName(lines.join(frequent, "h", "left_anti").join(rare, "h"))
 
 
 def _met(pairs: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Lines of the pairs that the partner holds too, with its numbers of them.
+    """Lines of the pairs that the owner holds too, with its numbers of them.
 
-    A frequent line of one partner is dealt into parts by document, and the partner's one
+    A frequent line of one owner is dealt into parts by document, and the owner's one
     row for it is repeated for each part.
     """
-    limit = _frequent_beyond(pairs)
-    counted = pairs.groupBy("partner", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    parts = F.broadcast(materialise(counted.select("partner", "h", F.ceil(F.col("n") / limit).cast("int").alias("parts")), "parts"))
-    dealt = pairs.join(parts, ["partner", "h"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0)).cast("int")).drop("parts")
-    repeated = theirs.join(parts, ["partner", "h"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(repeated, ["partner", "h", "part"])
+    limit, key = _frequent_beyond(pairs), ["owner", "owner_h", "h"]
+    counted = pairs.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    parts = F.broadcast(materialise(counted.select(*key, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "parts"))
+    dealt = pairs.join(parts, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*ROW), "parts"), F.lit(0)).cast("int")).drop("parts")
+    repeated = theirs.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(repeated, [*key, "part"])
 
 
 def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, deleted): numbers of the lines that go, for documents that lose any.
+    """(doc_id, text_h, deleted): numbers of the lines that go, for rows that lose any.
 
-    Rows go by document: the lines a document shares, once for each of its partners (the
-    owners of its lines and of its runs of them), so
-    the work follows the input and no popular line pairs its holders with each other.
+    A document's lines go out once for each owner of the runs they lie in, so the work
+    follows the input and no popular line pairs its holders with each other.
     """
     lines = materialise(numbered_lines(docs), "lines")
-    held = materialise(_owned(lines), "shared")
-    mine = held.where("owner < doc_id")
-    able = mine.groupBy("doc_id").agg(F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select("doc_id")
-    mine = mine.join(able, "doc_id")
-    by_doc = held.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h", "words")).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select("doc_id", "rows")
-    runs = materialise(by_doc.mapInArrow(lambda it: _run_keys(it, min_block_words), "doc_id long, h long"), "runs")
-    first = _owned(runs).where("owner < doc_id").select("doc_id", "owner")
-    partners = mine.select("doc_id", "owner").unionByName(first).distinct().withColumnRenamed("owner", "partner")
-    theirs = held.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line_no")).alias("theirs")).select(F.col("doc_id").alias("partner"), "h", "theirs")
-    rows = _met(materialise(mine.select("doc_id", "line_no", "h", "words").join(partners, "doc_id"), "pairs"), theirs)
-    grouped = rows.groupBy("doc_id").agg(F.collect_list(F.struct("partner", "line_no", "h", "words", "theirs")).alias("rows"))
-    return grouped.mapInArrow(lambda it: _align(it, min_block_words), "doc_id long, deleted array<int>").where("size(deleted) > 0")
-
-
-def _rebuild(batches: Iterator[pa.RecordBatch], fields: list[str], counted: bool) -> Iterator[pa.RecordBatch]:
+    held = materialise(_owned(lines).drop("owner", "owner_h"), "shared")
+    by_doc = held.groupBy(*ROW).agg(F.collect_list(F.struct("line_no", "h", "words")).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select(*ROW, "rows")
+    by_doc = materialise(by_doc, "by_doc")
+    runs = materialise(by_doc.mapInArrow(lambda it: _run_keys(it, min_block_words), "doc_id long, text_h long, h long, first int, last int"), "runs")
+    spans = _owned(runs).where("owner < doc_id").groupBy(*ROW).agg(F.collect_list(F.struct("owner", "owner_h", "first", "last")).alias("spans"))
+    pairs = materialise(by_doc.join(spans, ROW).mapInArrow(_spread, "doc_id long, text_h long, owner long, owner_h long, line_no int, h long, words int"), "pairs")
+    owners = pairs.select(F.col("owner").alias("doc_id"), F.col("owner_h").alias("text_h")).distinct()
+    theirs = held.join(owners, ROW, "left_semi").groupBy(*ROW, "h").agg(F.sort_array(F.collect_list("line_no")).alias("theirs")).withColumnsRenamed({"doc_id": "owner", "text_h": "owner_h"})
+    grouped = _met(pairs, theirs).groupBy(*ROW).agg(F.collect_list(F.struct("owner", "owner_h", "line_no", "h", "words", "theirs")).alias("rows"))
+    return grouped.mapInArrow(lambda it: _align(it, min_block_words), "doc_id long, text_h long, deleted array<int>").where("size(deleted) > 0")
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch], fields: list[str], counted: bool, keep_emptied: bool) -> Iterator[pa.RecordBatch]:
     blank = " \t\n\x0b\x0c\r"
     for batch in slices(batches):
         texts, counts, gone = [], [], []
@@ -251,28 +270,32 @@ def _rebuild(batches: Iterator[pa.RecordBatch], fields: list[str], counted: bool
             texts.append(text if not drop else "\n".join(line for k, line in enumerate(lines) if k not in drop))
         columns = [pa.array(texts, pa.string()) if f == "text" else batch.column(f) for f in fields]
         more = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())] if counted else []
-        yield pa.record_batch([*columns, *more], names=[*fields, *(["n_lines", "n_deleted"] if counted else [])])
+        out = pa.record_batch([*columns, *more], names=[*fields, *(["n_lines", "n_deleted"] if counted else [])])
+        yield out if keep_emptied else out.filter(pa.array([not n or n < m for m, n in zip(counts, gone)], pa.bool_()))
 
 
 #: Internal columns; a document table never has them.
-_GONE, _ID = "__scriptorium_lines", "__scriptorium_id"
+_GONE, _ID, _HASH = "__scriptorium_lines", "__scriptorium_id", "__scriptorium_hash"
 
 
-def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, counted: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS, counted: bool = True, keep_emptied: bool = True) -> DataFrame:
     """docs with shortened texts and, if counted, n_lines and n_deleted (lines with a word).
 
-    A document whose every line is aligned keeps its row with an empty text. Null texts
-    stay null; rows without a doc_id and lines without a word never change. Rows that
-    repeat a doc_id count as one document whose lines are numbered alike, and each loses
-    the same line numbers. Ties cannot occur: the smaller doc_id is the earlier one. Other
-    columns pass through; columns of the counts' names give way to the counts.
+    A document whose every line is aligned keeps its row with an empty text, or goes if
+    keep_emptied is false; rows that came without a word stay either way. Null texts stay
+    null; rows without a doc_id and lines without a word never change. Rows that share a
+    doc_id are each judged by their own text, neither being the later one, so they lose
+    only what smaller ids hold; equal rows lose the same lines. Other ties cannot occur:
+    the smaller doc_id is the earlier one. A text of any length is aligned whole. An empty
+    table gives an empty result. Other columns pass through; columns of the counts' names
+    give way to the counts.
     """
     fields = [f for f in docs.columns if not (counted and f in ("n_lines", "n_deleted"))]
     docs = docs.select(*fields)
     found = deletions(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_block_words)
-    extra = found.select(F.col("doc_id").alias(_ID), F.col("deleted").alias(_GONE))
-    joined = docs.join(extra, docs["doc_id"] == extra[_ID], "left").drop(_ID)
+    extra = found.select(F.col("doc_id").alias(_ID), F.col("text_h").alias(_HASH), F.col("deleted").alias(_GONE))
+    joined = docs.join(extra, (docs["doc_id"].cast("long") == extra[_ID]) & (F.xxhash64(docs["text"].cast("string")) == extra[_HASH]), "left").drop(_ID, _HASH)
     schema = T.StructType(list(docs.schema.fields))
     for name in ("n_lines", "n_deleted") if counted else ():
         schema = schema.add(name, "long")
-    return joined.mapInArrow(lambda it: _rebuild(it, fields, counted), schema)
+    return joined.mapInArrow(lambda it: _rebuild(it, fields, counted, keep_emptied), schema)

@@ -37,7 +37,8 @@ BLOCK = 256
 MOST_BROADCAST = 1_000_000
 #: Rounds in which a text is compared with one pivot only, before all pairs that are still apart.
 PIVOT_ROUNDS = 3
-_DIGEST = "__scriptorium_digest"
+#: Internal columns; a document table never has them.
+_DIGEST, _GONE_ID = "__scriptorium_digest", "__scriptorium_gone"
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -217,5 +218,8 @@ def keep_one_of_each_group(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Rows without a doc_id stay. Rows that repeat a doc_id are judged each by its text; equal
     ones stand or fall together. All columns pass through.
     """
-    gone = near_copy_groups(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias(_DIGEST)).distinct()
-    return docs.join(gone, (docs["doc_id"].cast("long") == gone["gone_id"]) & (digest_of(docs["text"]) == gone[_DIGEST]), "left_anti").select(*docs.columns)
+    gone = near_copy_groups(docs.select("doc_id", "text"), width).where("doc_id <> component_id").select(F.col("doc_id").alias(_GONE_ID), F.col("digest").alias(_DIGEST)).distinct()
+    gone = materialise(gone, "gone")
+    if gone.count() <= MOST_BROADCAST:
+        gone = F.broadcast(gone)
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[_GONE_ID]) & (digest_of(docs["text"]) == gone[_DIGEST]), "left_anti").select(*docs.columns)

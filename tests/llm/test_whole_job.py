@@ -94,3 +94,18 @@ def test_alignment_by_brute_force(spark):
                 if sum(sizes[c] for c in x[a:b]) >= 30 and any(x[a:b] in letters[k] for k in range(i)):
                     gone |= set(range(a, b))
         assert got[i] == "\n".join(words_of(c, sizes[c]) for k, c in enumerate(x) if k not in gone)
+
+
+def test_rows_of_one_id_lose_only_their_own_copies(spark):
+    block, other = words_of("c", 40), words_of("d", 43)
+    got = line_align.dedup_lines(spark.createDataFrame([(1, block + "\nx"), (5, "y\n" + block), (5, "z\n" + other), (5, "z\n" + other), (None, block)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, block + "\nx"), (5, "y"), (5, "z\n" + other), (5, "z\n" + other), (0, block)])
+
+
+def test_block_whose_lines_stand_alone_elsewhere(spark):
+    lines = [words_of(c, 20) for c in "vwxyz"]
+    data = [*((k, f"{line}\nown {k}") for k, line in enumerate(lines, 1)), (10, "\n".join(lines)), (11, "\n".join(lines))]
+    got = deduped(spark, data)
+    assert got[11] == "" and all(got[i] == t for i, t in data if i < 11)
+    kept = line_align.dedup_lines(spark.createDataFrame([*data, (12, ""), (13, None)], "doc_id long, text string"), counted=False, keep_emptied=False)
+    assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 10, 12, 13}
