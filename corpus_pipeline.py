@@ -24,13 +24,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks of lines go from the later document."""
+    """Aligned blocks of lines go from the later document; documents of nothing else go."""
     prepare(spark)
-    return dedup_lines(docs, counted=False)
+    return dedup_lines(docs, counted=False, keep_emptied=False)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays.
+
+    SimHash groups come first, checked on whole shingle sets; the links that fingerprints
+    cannot show are completed exactly.
+    """
     prepare(spark)
     return keep_one_of_each_group(docs)
 
