@@ -3,27 +3,37 @@
 Words are runs of digits, lower-cased letters and non-ASCII characters. Benchmark words
 are numbered; a training word outside that vocabulary ends every window. Windows are
 hashed over word numbers, probed against the sorted set of benchmark hashes, and hits are
-verified word by word.
+verified word by word. A benchmark too large to broadcast is joined instead: windows of
+both sides meet by hash in a shuffle, and the hits are verified in the same way.
+
+Everywhere, a null text has no words, a text of any length is scanned whole, rows repeat as
+they come and an empty table gives an empty result; items without words have no window,
+shorter ones are one window, items with equal windows are all named, items without an id
+count as one called "null", and without items nothing is hit.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices
+from .common import materialise, slices
 
 WINDOW = 13
-#: Benchmark words held by one broadcast; a larger benchmark is scanned for in that many passes.
-MOST_WORDS = 4_000_000
+#: Benchmark words that are broadcast, some 80 bytes each; a larger benchmark is joined by shuffle.
+MOST_WORDS = 1_000_000
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isdigit() or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_WORD_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,38 +42,44 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _rolling(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of `size` numbers."""
+    n = len(ids) - size + 1
+    return _mixed(ids[k : k + n] for k in range(size)) if n > 0 else np.zeros(0, dtype=np.uint64)
+
+
+def _mixed(columns: Iterator[np.ndarray]) -> np.ndarray:
+    out = np.uint64(0)
+    for column in columns:
+        out = out * _BASE + column.astype(np.uint64)
+    return out ^ (out >> np.uint64(29))
+
+
 class WindowSet:
-    """The windows of some benchmark items, by length."""
+    """The windows of some benchmark items, by length: sorted hashes, word numbers, items."""
 
-    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
         self.number: dict[bytes, int] = {}
-        self.runs: dict[int, tuple[np.ndarray, np.ndarray, list[list[str]]]] = {}
-        found: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        self.items: list[str] = []
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        found: dict[int, tuple[list, list]] = {}
         for item_id, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], dtype=np.int32)
             size = min(window, len(ids))
-            for k in range(len(ids) - size + 1 if size else 0):
-                found.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), set()).add(str(item_id))
-        for size, windows in found.items():
-            grams = np.array(list(windows), dtype=np.int64).reshape(-1, size)
-            hashes = self.rolling(grams.ravel(), size)[:: size][: len(grams)] if size > 1 else self.rolling(grams.ravel(), 1)
+            if size:
+                grams, owners = found.setdefault(size, ([], []))
+                grams.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+                owners.append(np.full(len(ids) - size + 1, len(self.items), dtype=np.int32))
+                self.items.append(item_id)
+        for size, (grams, owners) in found.items():
+            rows, of = np.concatenate(grams), np.concatenate(owners)
+            hashes = _mixed(rows[:, k] for k in range(size))
             order = np.argsort(hashes, kind="stable")
-            owners = list(windows.values())
-            self.runs[size] = (hashes[order], grams[order], [sorted(owners[k]) for k in order.tolist()])
-
-    @staticmethod
-    def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-        """A hash of every run of `size` numbers."""
-        n = len(ids) - size + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        out = np.zeros(n, dtype=np.uint64)
-        for k in range(size):
-            out = out * _BASE + ids[k : k + n].astype(np.uint64)
-        return out ^ (out >> np.uint64(29))
-
-    def scan(self, ids: np.ndarray) -> tuple[np.ndarray, set[str]]:
+            self.runs[size] = (hashes[order], rows[order], of[order])
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words lie in a benchmark window, and the items whose windows occur."""
+        ids = np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.int64, count=len(words))
         hit = np.zeros(len(ids), dtype=bool)
         items: set[str] = set()
         known = ids > 0
@@ -73,7 +89,7 @@ class WindowSet:
         begins, ends = edge[::2], edge[1::2]
         for size, (hashes, grams, owners) in self.runs.items():
             for a, b in zip(begins[ends - begins >= size].tolist(), ends[ends - begins >= size].tolist()):
-                rolled = self.rolling(ids[a:b], size)
+                rolled = _rolling(ids[a:b], size)
                 at = np.searchsorted(hashes, rolled)
                 at[at == len(hashes)] = 0
                 for k in np.flatnonzero(hashes[at] == rolled).tolist():
@@ -81,60 +97,129 @@ class WindowSet:
                     while row < len(hashes) and hashes[row] == rolled[k]:
                         if np.array_equal(grams[row], ids[a + k : a + k + size]):
                             hit[a + k : a + k + size] = True
-                            items.update(owners[row])
+                            items.add(self.items[owners[row]])
                         row += 1
         return hit, items
 
 
-def _spans(hit: np.ndarray) -> list[tuple[int, int]]:
+def _spans(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return [{"from": a, "to": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+
+
+_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+FOUND = "n_words long, hit_spans array<struct<`from`: bigint, `to`: bigint>>, n_hit long, items array<string>"
+
 
+def _found_rows(batch: pa.RecordBatch, found: list[tuple[np.ndarray, set[str]]], fields: list[str]) -> pa.RecordBatch:
+    """The fields of the batch with the columns of FOUND."""
+    columns = [
+        pa.array([len(hit) for hit, _ in found], pa.int64()),
+        pa.array([_spans(hit) for hit, _ in found], _SPANS),
+        pa.array([int(hit.sum()) for hit, _ in found], pa.int64()),
+        pa.array([sorted(items) for _, items in found], pa.list_(pa.string())),
+    ]
+    return pa.record_batch([*(batch.column(f) for f in fields), *columns], names=[*fields, "n_words", "hit_spans", "n_hit", "items"])
 
-def _scan(batches: Iterator[pa.RecordBatch], shared: list) -> Iterator[pa.RecordBatch]:
+
+def _clean_rows(batch: pa.RecordBatch, found: list[tuple[np.ndarray, set[str]]], fields: list[str]) -> pa.RecordBatch:
+    """The fields of the rows that are not contaminated."""
+    keep = [not hit.any() or 20 * int(hit.sum()) < len(hit) for hit, _ in found]
+    return batch.select(fields).filter(pa.array(keep, pa.bool_()))
+
+
+def _cut_rows(batch: pa.RecordBatch, found: list[tuple[np.ndarray, set[str]]], fields: list[str]) -> pa.RecordBatch:
+    """The fields, with the text from the first to the last word of every hit span taken out."""
+    texts = []
+    for text, (hit, _) in zip(batch.column("text").to_pylist(), found):
+        if hit.any():
+            raw = text.encode("utf-8", "surrogatepass")
+            at = [m.span() for m in _WORD_BYTES.finditer(raw)]
+            edges = [0, *(x for s in _spans(hit) for x in (at[s["from"]][0], at[s["to"] - 1][1])), len(raw)]
+            text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "surrogatepass")
+        texts.append(text)
+    return pa.record_batch([pa.array(texts, pa.string()) if f == "text" else batch.column(f) for f in fields], names=fields)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = []
-        for text in batch.column("text").to_pylist():
+        for item_id, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
             words = words_of(text)
-            hit, items = np.zeros(len(words), dtype=bool), set()
-            for window_set in shared:
-                numbers = np.fromiter(map(window_set.value.number.get, words, repeat(0)), dtype=np.int64, count=len(words))
-                more, named = window_set.value.scan(numbers)
-                hit |= more
-                items |= named
-            rows.append((len(words), [{"from": a, "to": b} for a, b in _spans(hit)], int(hit.sum()), sorted(items)))
-        cols = list(zip(*rows)) if rows else [[], [], [], []]
-        span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        yield pa.record_batch([*[batch.column(c) for c in batch.schema.names], pa.array(cols[0], pa.int64()), pa.array(cols[1], span), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.string()))], names=[*batch.schema.names, "n_words", "hit_spans", "n_hit", "items"])
-
-
-def benchmark_sets(benchmark: DataFrame, window: int = WINDOW) -> list:
-    """Broadcast window sets, each of at most MOST_WORDS words (or one item).
-
-    The number of words is summed first; a benchmark beyond the bound is dealt by hash
-    into several sets, fetched and broadcast one at a time.
-    """
-    spark = benchmark.sparkSession
-    plain = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    size = plain.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = max(1, -(-size // MOST_WORDS))
-    out = []
-    for k in range(parts):
-        part = plain if parts == 1 else plain.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        out.append(spark.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in part.toLocalIterator()], window)))
-    return out
+            size = min(window, len(words))
+            if size:
+                rows.extend((size, h, b" ".join(words[k : k + size]), item_id) for k, h in enumerate(_word_hashes(words, size)))
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.string()))], names=["size", "h", "gram", "item_id"])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text) with n_words, hit_spans (word positions), n_hit, items.
+def _word_hashes(words: list[bytes], size: int) -> list[int]:
+    return _rolling(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words)), size).view(np.int64).tolist()
+
 
-    A null text has no words. Items without words have no window; shorter ones are one
-    window. Rows repeat as they come. Items without an id count as one called "null".
-    """
-    sets = benchmark_sets(benchmark.fillna({"item_id": "null"}) if dict(benchmark.dtypes)["item_id"] == "string" else benchmark, window)
-    schema = "doc_id long, text string, n_words long, hit_spans array<struct<`from`: bigint, `to`: bigint>>, n_hit long, items array<string>"
+def _text_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, 200):
+        for row, text in zip(batch.column(_ROW).to_pylist(), batch.column("text").to_pylist()):
+            words = words_of(text)
+            for size in sizes:
+                hashes = _word_hashes(words, size)
+                if hashes:
+                    n = len(hashes)
+                    yield pa.record_batch([pa.array([row] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array(hashes, pa.int64()), pa.array(np.arange(n))], names=[_ROW, "size", "h", "at"])
+
+
+def _verified(text: str | None, hits: list[dict] | None) -> tuple[np.ndarray, set[str]]:
+    words = words_of(text)
+    hit, items = np.zeros(len(words), dtype=bool), set()
+    for x in hits or []:
+        if b" ".join(words[x["at"] : x["at"] + x["size"]]) == x["gram"]:
+            hit[x["at"] : x["at"] + x["size"]] = True
+            items.update(x["items"])
+    return hit, items
+
+
+#: Internal columns; a document table never has them.
+_ROW, _HITS = "__scriptorium_row", "__scriptorium_hits"
+
+
+def _joined_hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """docs, as a written table with a row number, with the windows of each row that meet a benchmark window's hash."""
+    windows = materialise(items.mapInArrow(lambda it: _item_windows(it, window), "size int, h long, gram binary, item_id string").groupBy("size", "h", "gram").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "windows")
+    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `window` of them
+    rows = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    mine = rows.select(_ROW, F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _text_windows(it, sizes), f"{_ROW} long, size int, h long, at long")
+    hits = mine.join(windows, ["size", "h"]).groupBy(_ROW).agg(F.collect_list(F.struct("at", "size", "gram", "items")).alias(_HITS))
+    return rows.join(hits, _ROW, "left")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, fields: list[str], build, schema) -> DataFrame:
+    """build(batch, found, fields) over all rows; the benchmark's words decide how hits are found."""
+    items = _items(benchmark)
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD)))).first()[0] or 0
+    if size <= MOST_WORDS:
+        shared = docs.sparkSession.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in items.collect()], window))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                yield build(batch, [shared.value.scan(words_of(t)) for t in batch.column("text").to_pylist()], fields)
+
+        return docs.mapInArrow(scan, schema)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield build(batch, [_verified(t, h) for t, h in zip(batch.column("text").to_pylist(), batch.column(_HITS).to_pylist())], fields)
+
+    return _joined_hits(docs, items, window).mapInArrow(verify, schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id with n_words, hit_spans (word positions, `to` excluded), n_hit, items; one row per input row."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(lambda it: _scan(it, sets), schema)
+    return _scanned(plain, benchmark, window, ["doc_id"], _found_rows, f"doc_id long, {FOUND}")
 
 
 def contaminated():
@@ -150,12 +235,10 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, whole rows and columns, without those that are contaminated."""
-    sets = benchmark_sets(benchmark, window)
+    return _scanned(docs, benchmark, window, docs.columns, _clean_rows, docs.schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = next(_scan(iter([batch.select(["text"])]), sets))
-            n_hit, n_words = (found.column(c).to_numpy() for c in ("n_hit", "n_words"))
-            yield batch.filter(pa.array((n_hit == 0) | (n_hit * 20 < n_words)))
 
-    return docs.mapInArrow(run, docs.schema)
+def cut_contaminated_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with every hit span taken out of its text; rows and other columns stay."""
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "text" else f for f in docs.schema.fields])
+    return _scanned(docs, benchmark, window, docs.columns, _cut_rows, schema)

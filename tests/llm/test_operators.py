@@ -192,11 +192,24 @@ def test_contamination(spark, docs, rows):
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
 
 
-def test_many_benchmark_parts(spark, docs, monkeypatch):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    one = sorted(map(tuple, decontam.contamination_report(docs.where("doc_id is not null"), bench).collect()))
+def test_large_benchmarks_are_joined(spark, docs, monkeypatch):
+    extra = spark.createDataFrame([(None, "no id here"), (9001, "same"), (9002, "same")], "item_id long, text string")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").unionByName(extra)
+    plain = docs.where("doc_id <> 9012")
+    report = lambda: sorted(map(tuple, decontam.contamination_report(plain, bench).collect()), key=str)
+    one, kept = report(), sorted(decontam.drop_contaminated(plain, bench).collect(), key=str)
+    cut = sorted(decontam.cut_contaminated_spans(plain, bench).collect(), key=str)
     monkeypatch.setattr(decontam, "MOST_WORDS", 300)
-    assert sorted(map(tuple, decontam.contamination_report(docs.where("doc_id is not null"), bench).collect())) == one
+    assert report() == one and any(r[-1] for r in one)
+    assert sorted(decontam.drop_contaminated(plain, bench).collect(), key=str) == kept
+    assert sorted(decontam.cut_contaminated_spans(plain, bench).collect(), key=str) == cut
+
+
+def test_spans_are_cut(spark):
+    bench = spark.createDataFrame([(1, "Secret, answer key!")], "item_id long, text string")
+    docs = spark.createDataFrame([("a secret answer KEY. b", 7), (None, 8), ("Été secret", 9)], "text string, n_hit int")
+    got = [tuple(r) for r in decontam.cut_contaminated_spans(docs, bench).collect()]
+    assert got == [("a . b", 7), (None, 8), ("Été secret", 9)]
 
 
 def test_quality(spark):
