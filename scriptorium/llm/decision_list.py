@@ -182,7 +182,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, most: int = MOST_LABELL
     """At most `most` labelled statistics of each class, chosen by hash of the id; ids with crc32 modulo 5 of 0 are held out."""
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & (crc_fold("doc_id", 5) != 0)).distinct()
     joined = stats.join(marked, "doc_id").select("quality", F.xxhash64("doc_id").alias("at"), *[F.expr(e).alias(n) for n, e in RATIOS.items()])
-    return joined.where("quality = 0").orderBy("at").limit(most).unionByName(joined.where("quality = 1").orderBy("at").limit(most))
+    order = ["at", *RATIOS]  # rows equal in all of these are alike
+    return joined.where("quality = 0").orderBy(*order).limit(most).unionByName(joined.where("quality = 1").orderBy(*order).limit(most))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -190,7 +191,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated 5-word
     windows. kept: not base_failed and not rejected by a learned rule; without labels of
-    both classes nothing is rejected. Null and empty texts have zero counts and fail.
+    both classes nothing is rejected. Null and empty texts have zero counts and fail; texts
+    of any length are counted whole. Rows repeat as they come, extra columns are ignored,
+    rules that gain as much as each other are taken in the order of RATIOS, and an empty
+    table gives an empty result.
     """
     stats = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_statistics(F.col("text")).alias("s")).select("doc_id", "s.*"), "statistics")
     rows = labelled_sample(stats, labels).collect()

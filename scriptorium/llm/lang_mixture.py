@@ -152,7 +152,9 @@ def identify_languages(docs: DataFrame, training: DataFrame | None = None) -> Da
 
     Learns from `training` (docs, unless given) rows whose crc32(doc_id) modulo 4 is not 2.
     `und` with score 0 if the text is null or has no letter, or if nothing could be learned.
-    A null doc_id is not held out. Extra columns are ignored; rows repeat as they come.
+    A null doc_id is not held out. Of languages with equal shares the first in alphabetical
+    order is predicted. Texts of any length are judged whole. Extra columns are ignored, rows
+    repeat as they come and an empty table gives an empty result.
     """
     source = docs if training is None else training
     model = learn_languages(source.where(F.coalesce(crc_fold("doc_id", 4) != 2, F.lit(True))))

@@ -135,7 +135,9 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Cut, digest and pack every document; null texts count as empty (the end id alone).
 
-    Rows that repeat a doc_id, or have none, are packed as pieces of their own. An empty
-    table gives an empty result. Extra columns are ignored.
+    Rows that repeat a doc_id, or have none, are packed as pieces of their own. A text of
+    any length is encoded whole and cut. Pieces of equal length are placed in the order in
+    which they come; bins of equal room are taken in any order. An empty table gives an
+    empty result. Extra columns are ignored.
     """
     return pack_pieces(materialise(token_pieces(docs, tokenizer_path, end_id, capacity), "pieces"), capacity)

@@ -136,7 +136,8 @@ def links(prints: DataFrame) -> DataFrame:
     a bounded number of fingerprints, and each row returns fewer edges than it has members.
     """
     choices = F.array(*[F.struct(F.lit(n).cast("tinyint").alias("tag"), F.lit(s).alias("start"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for n, (s, m) in enumerate(_keys())])
-    keyed = prints.select("fp").distinct().select("fp", F.explode(choices).alias("k")).select("fp", "k.*")
+    # the keys of a print are many times its size: deal the prints out before
+    keyed = prints.select("fp").distinct().repartition("fp").select("fp", F.explode(choices).alias("k")).select("fp", "k.*")
     buckets = keyed.groupBy("tag", "key").agg(F.count("*").alias("n")).where("n > 1").select("tag", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = keyed.join(buckets, ["tag", "key"]).withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -156,7 +157,8 @@ def simhash_groups(docs: DataFrame, width: int = 3) -> DataFrame:
     Texts without words (null, empty) have fingerprint zero and link like any other. Equal
     texts share a fingerprint, so copies cost one entry. A null doc_id is kept in the
     result but never names a component; a component of such rows alone has a null id.
-    Repeated rows give repeated result rows. An empty table gives an empty result. Extra
+    Repeated rows give repeated result rows. A bit that exactly half of the shingles set is
+    0. A text of any length is hashed whole. An empty table gives an empty result. Extra
     columns are ignored.
     """
     prints = materialise(fingerprints(docs, width), "fingerprints")
