@@ -7,9 +7,10 @@ only, and all positions are code points.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WS = r"[\s\x1c-\x1f]"
@@ -25,8 +26,9 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 
 def normalize_unicode(text: Column) -> Column:
-    """NFKC; Spark has no built-in for it."""
-    return F.pandas_udf(_nfkc, "string")(text)
+    """NFKC; Spark has no built-in for it. ASCII texts are in that form and stay in the JVM."""
+    odd = text.rlike(r"[^\x00-\x7f]")
+    return F.when(odd, F.pandas_udf(_nfkc, "string")(F.when(odd, text))).otherwise(text)
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -47,15 +49,13 @@ def normalize_text(text: Column) -> Column:
 
 
 def normalize_pdf_text(text: Column) -> Column:
-    """Joins hyphenated and wrapped lines of extracted pages; paragraphs stay apart."""
-    mark = "<<PARA>>"
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)-{_WS}*\n{_WS}*", "")
-    out = F.regexp_replace(out, rf"(?U)\n{_WS}*\n+", f"\n\n{mark}\n\n")
-    out = F.regexp_replace(out, r"(?<!\n)\n(?!\n)", " ")
-    out = F.replace(out, F.lit(mark), F.lit("\n\n"))
-    for pattern, by in ((" +", " "), ("\n +", "\n"), (" +\n", "\n"), ("\n{3,}", "\n\n")):
-        out = F.regexp_replace(out, pattern, by)
-    return strip(out)
+    """Joins hyphenated and wrapped lines of extracted pages; paragraphs stay apart.
+
+    Paragraphs are what lies between runs of white space with two newlines or more.
+    """
+    unbroken = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)-{_WS}*\n{_WS}*", "")
+    paragraphs = F.split(unbroken, rf"(?U) *\n{_WS}*\n *", -1)
+    return strip(F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")), "\n\n"))
 
 
 def count_korean_chars(text: Column) -> Column:
@@ -84,8 +84,10 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
-def tokenize(text: Column) -> Column:
-    """Lower-cased words between white space, duplicates kept."""
+def tokenize(text: Column, analyser: Callable[[Column], Column] | None = None) -> Column:
+    """Lower-cased words between white space, duplicates kept; or what an analyser plug-in gives."""
+    if analyser is not None:
+        return analyser(text)
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?U){_WS}+"), lambda t: t != "")
 
 
@@ -131,6 +133,11 @@ def snippet(content: Column) -> Column:
     return F.concat(F.replace(F.substring(content, 1, 100), F.lit("\n"), F.lit(" ")), F.lit("..."))
 
 
+def to_snippets(hits: DataFrame) -> DataFrame:
+    """(query_id, rank, score, content) as shown in lists: the score with four places, the content as a snippet."""
+    return hits.select("query_id", "rank", F.format_string("%.4f", F.col("score")).alias("score"), snippet(F.col("content")).alias("snippet"))
+
+
 def stored_filename(name: Column, epoch_ms: Column) -> Column:
     """A safe name for an upload, prefixed by its time."""
     return F.concat_ws("_", epoch_ms.cast("string"), F.regexp_replace(name, "[^a-zA-Z0-9가-힣._-]", "_"))

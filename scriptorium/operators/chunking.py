@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import normalize_pdf_text, split_sentences, strip
 
+from .vectors import hashing_encoder
+
 #: Fixed cut marks, best first.
 CUT_MARKS = ("\n\n", "\n", ". ", "? ", "! ", "。", " ")
 CHUNK = "array<struct<chunk_index:int,start_char:int,end_char:int,content:string>>"
 SHORTEST_SEMANTIC, LONGEST_SENTENCE = 50, 2000
+#: Sentences of a call to an encoder, at least, while documents last.
+SENTENCES_AT_ONCE = 4096
+Encoder = Callable[[list[str]], np.ndarray]
 
 
 def window_cuts(text: str, size: int, overlap: int, short_cut: str = "burst") -> Iterator[tuple[int, int]]:
@@ -128,26 +133,38 @@ def split_markdown(docs: DataFrame, size: int = 1000, overlap: int = 150, short_
     )
 
 
+def _fill(sizes: list[int], most: int, gap: int = 0) -> list[list[int]]:
+    """Indexes of neighbours that share a group of at most `most`; an over-long one stands alone."""
+    groups: list[list[int]] = []
+    room = -1
+    for k, size in enumerate(sizes):
+        if groups and size + gap <= room:
+            groups[-1].append(k)
+            room -= size + gap
+        else:
+            groups.append([k])
+            room = most - size
+    return groups
+
+
 def split_long_sentence(sentence: str, most: int = LONGEST_SENTENCE) -> list[str]:
-    """Packs clauses, then words of an over-long last clause; that clause itself also stays whole."""
+    """Parts of a sentence that is too long: as many clauses and marks each as fit.
+
+    A clause that alone is too long stays whole; if it is the last one its words follow
+    again, as many to a part as fit.
+    """
     if len(sentence) <= most:
         return [sentence]
-    out: list[str] = []
-    held = ""
-    for clause in re.split(r"([,;])", sentence):
-        if len(held) + len(clause) > most:
-            out += [held.strip()] if held.strip() else []
-            held = ""
-        held += clause
-    if len(held) > most:
-        for word in held.split():
-            if len(held) + 1 + len(word) > most:
-                out.append(held)
-                held = word
-            else:
-                held = f"{held} {word}" if held else word
-    if held.strip():
-        out.append(held.strip())
+    clauses = re.findall(r"[,;]|[^,;]+", sentence)
+    parts = ["".join(clauses[k] for k in group) for group in _fill([len(c) for c in clauses], most)]
+    tail = parts.pop()
+    out = [p.strip() for p in parts if p.strip()]
+    words = tail.split()
+    if len(tail) > most and words:
+        out.append(tail)
+        out.extend(" ".join(words[k] for k in group) for group in _fill([len(w) for w in words], most, 1))
+    elif words:
+        out.append(tail.strip())
     return out or [sentence]
 
 
@@ -184,34 +201,33 @@ def _mean_similarity(vectors: np.ndarray) -> float:
     return round(float((vectors @ (mean / norm if norm > 0 else mean)).mean()), 3)
 
 
+def _lead(before: list[str], room: int) -> str:
+    """As many of the last sentences, joined, as fit the room; a lone one needs a blank besides."""
+    used = np.cumsum([len(x) + 1 for x in reversed(before)]) - 1
+    used[:1] += 1
+    take = int(np.searchsorted(used, room, side="right"))
+    return " ".join(before[len(before) - take :]).strip()
+
+
 def _overlap(contents: list[str], overlap: int, size: int) -> list[str]:
-    """Each content led by the last sentences of the one before it, as far as both limits allow."""
-    out = contents[:1]
-    for content in contents[1:]:
-        lead = ""
-        for sentence in reversed(sentence_list(out[-1])):
-            room = len(lead) + len(sentence) + 1
-            if room > overlap or room + len(content) > size:
-                break
-            lead = f"{sentence} {lead}" if lead else sentence
-        joined = f"{lead.strip()} {content}"
-        out.append(joined if lead.strip() and len(joined) <= size else content)
-    return out
+    """Each content led by the end of the one shown before it, as far as both limits allow."""
+    shown: list[str] = []
+    for content in contents:
+        lead = _lead(sentence_list(shown[-1]), min(overlap, size - len(content))) if shown else ""
+        fits = lead and len(lead) + 1 + len(content) <= size
+        shown.append(f"{lead} {content}" if fits else content)
+    return shown
 
 
 SEMANTIC = "chunk_index int, start_char int, end_char int, content string, chunking_strategy string, sentence_count int, avg_similarity double"
 
 
-def semantic_rows(text: str | None, encode: Callable[[list[str]], np.ndarray], size: int, overlap: int, threshold: float) -> list[tuple]:
-    """Chunks of one text as tuples of SEMANTIC."""
-    if not text or not text.strip():
-        return []
-    if len(text) < SHORTEST_SEMANTIC:
+def semantic_rows(text: str, sentences: list[str], vectors: np.ndarray | None, size: int, overlap: int, threshold: float) -> list[tuple]:
+    """Chunks of one text as tuples of SEMANTIC; without vectors its character chunks."""
+    if len(sentences) == 1:
+        return [(0, 0, len(text), text.strip(), "semantic", 1, 1.0)]
+    if vectors is None:
         return [(*r.values(), None, None, None) for r in chunk_rows(text, size, overlap)]
-    sentences = sentence_list(text)
-    if len(sentences) < 2:
-        return [(0, 0, len(text), text.strip(), "semantic", 1, 1.0)] if sentences else []
-    vectors = np.asarray(encode(sentences), dtype=np.float64)
     groups = semantic_groups(sentences, vectors, threshold, size)
     contents = [" ".join(sentences[k] for k in g) for g in groups]
     ends = np.cumsum([len(c) + 1 for c in contents]) - 1
@@ -219,24 +235,57 @@ def semantic_rows(text: str | None, encode: Callable[[list[str]], np.ndarray], s
     return [(i, int(e) - len(c), int(e), s, "semantic", len(g), _mean_similarity(vectors[g])) for i, (c, e, s, g) in enumerate(zip(contents, ends, shown, groups))]
 
 
-def split_semantic(docs: DataFrame, encode: Callable[[list[str]], np.ndarray], size: int = 1000, overlap: int = 150, threshold: float = 0.7) -> DataFrame:
-    """Chunks of semantically close sentences; a document is one row, so nothing is shuffled."""
+def _encoded(lists: list[list[str]], encode: Encoder) -> list[np.ndarray | None]:
+    """Vectors of each list of sentences, all encoded in one call; if that fails, of each that does not fail alone."""
+    try:
+        vectors = np.asarray(encode([s for x in lists for s in x]), dtype=np.float64)
+        ends = np.cumsum([len(x) for x in lists])
+        return [vectors[e - len(x) : e] for x, e in zip(lists, ends)]
+    except Exception:  # an encoder is foreign code
+        return [None] * len(lists) if len(lists) < 2 else [v for x in lists for v in _encoded([x], encode)]
+
+
+def split_semantic(docs: DataFrame, encode: Encoder, size: int = 1000, overlap: int = 150, threshold: float = 0.7) -> DataFrame:
+    """Chunks of semantically close sentences; a document is one row, so nothing is shuffled.
+
+    Sentences of SENTENCES_AT_ONCE or more are encoded together, over documents. Blank texts
+    have no chunk; short texts, and texts whose encoding fails, are cut by characters.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["source", *[f.split()[0] for f in SEMANTIC.split(", ")]]
         for frame in frames:
-            rows = [(s, *r) for s, t in zip(frame["source"], frame["content"]) for r in semantic_rows(t, encode, size, overlap, threshold)]
-            out = pd.DataFrame(rows, columns=names)
-            out["sentence_count"] = out["sentence_count"].astype("Int32")
-            yield out
+            texts = [(s, t) for s, t in zip(frame["source"], frame["content"]) if t and t.strip()]
+            for part in _parts([(s, t, sentence_list(t) if len(t) >= SHORTEST_SEMANTIC else []) for s, t in texts]):
+                some = [x for _, _, x in part if len(x) > 1]
+                vectors = iter(_encoded(some, encode) if some else [])
+                rows = [(s, *r) for s, t, x in part for r in semantic_rows(t, x, next(vectors) if len(x) > 1 else None, size, overlap, threshold)]
+                out = pd.DataFrame(rows, columns=names)
+                out["sentence_count"] = out["sentence_count"].astype("Int32")
+                yield out
 
     return docs.select("source", "content").mapInPandas(run, f"source string, {SEMANTIC}")
 
 
-def chunk_documents(docs: DataFrame, strategy: str = "auto", encode: Callable | None = None, size: int = 1000, overlap: int = 150, threshold: float = 0.7) -> DataFrame:
-    """(source, extension, content): semantic if asked for, else by Markdown for .md, else by characters."""
+def _parts(documents: list[tuple[str, str, list[str]]]) -> Iterator[list[tuple[str, str, list[str]]]]:
+    held, n = [], 0
+    for d in documents:
+        held.append(d)
+        n += len(d[2])
+        if n >= SENTENCES_AT_ONCE:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def chunk_documents(docs: DataFrame, strategy: str = "auto", encode: Encoder | None = None, size: int = 1000, overlap: int = 150, threshold: float = 0.7) -> DataFrame:
+    """(source, extension, content): semantic if asked for, else by Markdown for .md, else by characters.
+
+    Without an encoder the semantic strategy uses the hashing stand-in.
+    """
     if strategy == "semantic":
-        return split_semantic(docs, encode, size, overlap, threshold).withColumn("header_path", F.lit(""))
+        return split_semantic(docs, encode or hashing_encoder(), size, overlap, threshold).withColumn("header_path", F.lit(""))
     is_md = F.lower(F.coalesce("extension", F.lit(""))) == ".md"
     return split_markdown(docs.where(is_md), size, overlap).unionByName(split_documents(docs.where(~is_md), size, overlap))
 
@@ -254,6 +303,19 @@ def assemble_pdf_pages(pages: DataFrame) -> DataFrame:
     return clean.groupBy("source").agg(F.array_join(F.transform(ordered, lambda p: p["page"]), "\n\n").alias("content"))
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(source, pos, sentence); sentences over the limit are left whole here."""
-    return docs.select("source", F.posexplode(split_sentences(F.col("content"))).alias("pos", "sentence"))
+def sentences(docs: DataFrame, splitter: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(source, pos, sentence); a splitter plug-in may take a language's own rules; over-long sentences are left whole here."""
+    return docs.select("source", F.posexplode((splitter or split_sentences)(F.col("content"))).alias("pos", "sentence"))
+
+
+def long_sentences(table: DataFrame, most: int = LONGEST_SENTENCE) -> DataFrame:
+    """(source, pos, sentence) with the parts of sentences that are too long, numbered anew."""
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else split_long_sentence(t, most))
+
+    cut = F.when(F.length("sentence") > most, parts(F.when(F.length("sentence") > most, F.col("sentence")))).otherwise(F.array("sentence"))
+    order = Window.partitionBy("source").orderBy("pos", "sub")
+    rows = table.select("source", "pos", F.posexplode(cut).alias("sub", "sentence"))
+    return rows.select("source", (F.row_number().over(order) - 1).cast("int").alias("pos"), "sentence")

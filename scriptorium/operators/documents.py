@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.storage import stored
+
 
 def delete_documents(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """catalog without the wanted (id, user_id) rows; another user's documents stay."""
@@ -30,8 +32,12 @@ def list_documents(catalog: DataFrame, user_id: str | None = None) -> DataFrame:
     fields = ["id", "filename", "filesize", "chunk_count", "created_at"]
     if user_id is not None:
         return catalog.where(F.col("user_id") == user_id).select(*fields).orderBy(F.desc("created_at"), "id")
-    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), "id")
-    return catalog.select("user_id", *fields, F.row_number().over(order).alias("place"))
+    # numbered within parts of a user's list, then counted on over the parts before: no user's rows meet in one task
+    placed = stored(catalog.select("user_id", *fields).repartitionByRange("user_id", F.desc("created_at"), "id").withColumn("part", F.spark_partition_id()), "listed")
+    inside = Window.partitionBy("part", "user_id").orderBy(F.desc("created_at"), "id")
+    earlier = Window.partitionBy("user_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("user_id", "part").agg(F.count("*").alias("n")).select("user_id", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return placed.withColumn("n", F.row_number().over(inside)).join(offsets, ["user_id", "part"]).select("user_id", *fields, (F.col("n") + F.col("before")).cast("int").alias("place"))
 
 
 def catalog_entries(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -69,6 +75,18 @@ def delete_sessions(sessions: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def assemble_messages(fragments: DataFrame) -> DataFrame:
-    """(conv_id, message_id, seq, text) to whole messages in fragment order."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return fragments.groupBy("conv_id", "message_id").agg(F.array_join(F.transform(ordered, lambda f: f["text"]), "").alias("text"), F.count("*").alias("n_fragments"))
+    """(conv_id, message_id, seq, text[, kind]) to whole messages in fragment order.
+
+    With a column kind, rows of kind "references" hold the message's citations (the last
+    one counts) and a row of kind "done" closes it; the rest are text.
+    """
+    kind = F.col("kind") if "kind" in fragments.columns else F.lit("text")
+    is_text = ~F.coalesce(kind.isin("references", "done"), F.lit(False))
+    ordered = F.array_sort(F.collect_list(F.when(is_text, F.struct("seq", "text"))))
+    out = fragments.groupBy("conv_id", "message_id").agg(
+        F.array_join(F.transform(ordered, lambda f: f["text"]), "").alias("text"),
+        F.count(F.when(is_text, 1)).alias("n_fragments"),
+        F.max_by(F.when(kind == "references", F.col("text")), F.when(kind == "references", F.col("seq"))).alias("references"),
+        F.coalesce(F.bool_or(kind == "done"), F.lit(False)).alias("done"),
+    )
+    return out if "kind" in fragments.columns else out.drop("references", "done")

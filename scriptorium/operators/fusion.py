@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import rrf_score
 
-from .bm25 import KEY, bm25_scores, bm25_topk, rank_hits
+from .bm25 import KEY, bm25_scores, bm25_topk, keyword_index, rank_hits
 from .vectors import vector_topk
 
 
@@ -39,44 +39,46 @@ def _of_source(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return hits.join(wanted, "query_id").where("source_filter IS NULL OR source_filter = '' OR source_filter = source").drop("source_filter")
 
 
-def search_rrf(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, rrf_k: int = 60) -> DataFrame:
+def search_rrf(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, rrf_k: int = 60, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of the 2k best by keyword and by vector; ranks precede the source filter."""
-    scores = _tenant(bm25_scores(queries, chunks).withColumn("score", F.round("score", 6)), queries, chunks)
+    scores = _tenant(bm25_scores(queries, index or chunks).withColumn("score", F.round("score", 6)), queries, chunks)
     words = rank_hits(scores, 2 * k).where("score > 0").select("query_id", "rank", *KEY)
     near = vector_topk(queries, vectors, 2 * k).select("query_id", "rank", *KEY)
     fused = _of_source(words.unionByName(near), queries).groupBy("query_id", *KEY).agg(F.round(F.sum(rrf_score(F.col("rank"), rrf_k)), 6).alias("score"))
     return rank_hits(fused, k).select("query_id", "rank", *KEY, "score")
 
 
-def search_weighted(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, alpha: float = 0.7, threshold: float = 0.0) -> DataFrame:
+def search_weighted(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, alpha: float = 0.7, threshold: float = 0.0, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """alpha * vector score + (1 - alpha) * normalised keyword score over the 3k nearest vectors.
 
     Queries without any vector candidate fall back to keyword search; queries whose
-    candidates the source filter empties stay empty.
+    candidates the source filter empties stay empty. index is a keyword index of the chunks;
+    without one it is made once for both uses.
     """
+    index = index or keyword_index(chunks)
     found = vector_topk(queries, vectors, 3 * k).select("query_id", *KEY, F.col("score").alias("near"))
     kept = _of_source(found, queries)
-    words = bm25_scores(queries, chunks, kept).select("query_id", *KEY, F.col("score").alias("words"))
+    words = bm25_scores(queries, index, kept).select("query_id", *KEY, F.col("score").alias("words"))
     by = Window.partitionBy("query_id")
     mixed = kept.join(words, ["query_id", *KEY], "left").withColumn("words", F.coalesce("words", F.lit(0.0)))
     mixed = mixed.withColumn("words", F.when(F.max("words").over(by) > 0, min_max(F.col("words"), by)).otherwise(F.lit(0.0)))
     scored = mixed.select("query_id", *KEY, F.round(alpha * F.col("near") + (1 - alpha) * F.col("words"), 6).alias("score")).where(F.col("score") >= threshold)
     best = rank_hits(scored, k).select("query_id", "rank", *KEY, "score")
-    return best.unionByName(bm25_fallback(queries, chunks, found, k))
+    return best.unionByName(bm25_fallback(queries, chunks, found, k, index))
 
 
-def bm25_fallback(queries: DataFrame, chunks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+def bm25_fallback(queries: DataFrame, chunks: DataFrame, found: DataFrame, k: int, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Keyword hits of the queries that have no row in found."""
     left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    scores = _tenant(bm25_scores(left, chunks).withColumn("score", F.round("score", 6)), queries, chunks)
+    scores = _tenant(bm25_scores(left, index or chunks).withColumn("score", F.round("score", 6)), queries, chunks)
     return rank_hits(scores, k).where("score > 0").select("query_id", "rank", *KEY, "score")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, fusion_type: str = "weighted", alpha: float = 0.7, rrf_k: int = 60) -> DataFrame:
+def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, fusion_type: str = "weighted", alpha: float = 0.7, rrf_k: int = 60, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Weighted fusion, or reciprocal-rank fusion for fusion_type="rrf"."""
     if fusion_type == "rrf":
-        return search_rrf(queries, chunks, vectors, k, rrf_k)
-    return search_weighted(queries, chunks, vectors, k, alpha)
+        return search_rrf(queries, chunks, vectors, k, rrf_k, index)
+    return search_weighted(queries, chunks, vectors, k, alpha, index=index)
 
 
 def dedupe_first(hits: DataFrame) -> DataFrame:

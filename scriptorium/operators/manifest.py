@@ -32,7 +32,7 @@ def indexed_count(manifest: DataFrame) -> DataFrame:
 
 
 def read_manifest(raw: DataFrame) -> DataFrame:
-    """JSON texts (column value) to manifest rows."""
+    """JSON texts (column value), whole manifests or lines of one, to manifest rows."""
     parsed = F.from_json("value", f"struct<version:string,files:{ENTRIES}>")
     return raw.select(F.explode(parsed["files"]).alias("path", "entry")).select("path", "entry.*")
 
@@ -43,5 +43,11 @@ def manifest_json(manifest: DataFrame, version: str = "1.0") -> DataFrame:
     return manifest.agg(F.to_json(F.struct(F.lit(version).alias("version"), entries.alias("files"))).alias("value"))
 
 
+def manifest_lines(manifest: DataFrame, version: str = "1.0") -> DataFrame:
+    """The manifest as JSON lines, one entry each, written by all tasks; read_manifest reads them back."""
+    entry = F.create_map("path", F.struct("hash", "chunks_count"))
+    return manifest.select(F.to_json(F.struct(F.lit(version).alias("version"), entry.alias("files"))).alias("value"))
+
+
 def is_changed(old_hash: Column, new_hash: Column) -> Column:
     return old_hash.isNull() | (old_hash != new_hash)

@@ -10,24 +10,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.storage import stored
+
 KEY = ["source", "chunk_index"]
-#: Query vectors of one broadcast block; more queries make more passes over the vectors.
-QUERIES_PER_BLOCK = 4096
+#: Query vectors of one broadcast; more queries make more passes over the vectors.
+QUERIES_PER_PASS = 1 << 15
+#: Scores held at once: a tile of queries times a tile of vectors.
+QUERIES_PER_TILE, VECTORS_PER_TILE = 512, 4096
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """A deterministic stand-in for a model: words hashed to signed buckets. Not semantic."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for row, text in zip(out, texts):
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
-                row[h % dim] += 1.0 if h & 0x8000_0000 else -1.0
-            norm = np.linalg.norm(row)
-            if norm > 0:
-                row /= norm
-        return out
+        words = [(t or "").lower().split() for t in texts]
+        flat = [w for x in words for w in x]
+        known = {w: zlib.crc32(w.encode()) for w in set(flat)}
+        h = np.fromiter(map(known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        row = np.repeat(np.arange(len(texts)), [len(x) for x in words])
+        out = np.bincount(row * dim + h % dim, weights=np.where(h & 0x8000_0000, 1.0, -1.0), minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float32)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
 
     return encode
 
@@ -52,45 +55,71 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6)
     """(query_id, rank, source, chunk_index, score): exact top k by inner product.
 
     queries(query_id, query_vec, user_id) and vectors(source, chunk_index, embedding,
-    user_id); a query with a user_id sees that user's vectors only, before the cut. Query
-    vectors are fetched in blocks of QUERIES_PER_BLOCK; each task multiplies its batches
-    with a block and keeps its best k of each query, so only those rows are shuffled.
+    user_id); a query with a user_id sees that user's vectors only, before the cut. Each
+    task keeps its best k of each query while it goes through its vectors, so only those
+    rows are shuffled. Up to QUERIES_PER_PASS queries are broadcast; more are answered in
+    several passes, each written before the next, so that the driver holds one block.
     """
     if "user_id" not in queries.columns:
         queries = queries.withColumn("user_id", F.lit(None).cast("string"))
     if "user_id" not in vectors.columns:
         vectors = vectors.withColumn("user_id", F.lit(None).cast("string"))
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vec", F.col("user_id").cast("string").alias("user_id")).where("query_vec IS NOT NULL")
-    n = asked.count()
-    blocks = max(1, -(-n // QUERIES_PER_BLOCK))
-    found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        rows = part.collect()
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        users = np.array([r["user_id"] or "" for r in rows], dtype=object)
-        matrix = np.array([r["query_vec"] for r in rows], dtype=np.float64)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, users, matrix))
-        near = _local_topk(vectors, shared, k, digits)
-        found = near if found is None else found.unionByName(near)
+    passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", *KEY, "score")
+    answers = None
+    for b in range(passes):
+        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b)
+        rows = part.collect()
+        block = (np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["user_id"] or "" for r in rows], dtype=object), np.array([r["query_vec"] for r in rows], dtype=np.float64))
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+        best = _local_topk(vectors, shared, k, digits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", *KEY, "score")
+        if passes > 1:
+            best = stored(best, "nearest")
+            shared.unpersist()
+        answers = best if answers is None else answers.unionByName(best)
+    return answers
+
+
+class _Best:
+    """The k best (score, vector) of each query so far, ties at the last place included."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.q, self.score, self.source, self.index = (np.zeros(0, dtype=t) for t in (np.int64, np.float64, object, np.int64))
+
+    def add(self, q: np.ndarray, score: np.ndarray, source: np.ndarray, index: np.ndarray) -> None:
+        q, score, source, index = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.source, source), (self.index, index)))
+        order = np.lexsort((-score, q))
+        q, score, source, index = q[order], score[order], source[order], index[order]
+        begins = np.searchsorted(q, np.arange(len(self.floor)))
+        at = begins + self.k - 1
+        full = (at < len(q)) & (q[np.minimum(at, len(q) - 1)] == np.arange(len(self.floor))) if len(q) else np.zeros(len(self.floor), dtype=bool)
+        self.floor[full] = score[at[full]]
+        keep = score >= self.floor[q]
+        self.q, self.score, self.source, self.index = q[keep], score[keep], source[keep], index[keep]
 
 
 def _local_topk(vectors: DataFrame, shared, k: int, digits: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, users, matrix = shared.value
+        best = _Best(len(ids), k)
         for frame in frames:
-            if not len(frame) or not len(ids):
-                continue
-            score = np.round(matrix @ np.array(frame["embedding"].tolist(), dtype=np.float64).T, digits)
-            owner = frame["user_id"].fillna("").to_numpy(dtype=object)
-            if (users != "").any():
-                score[(users[:, None] != "") & (users[:, None] != owner[None, :])] = -np.inf
-            keep = min(k, len(frame))
-            least = -np.partition(-score, keep - 1, axis=1)[:, keep - 1 : keep]
-            q, v = np.nonzero((score >= least) & np.isfinite(score))
-            yield pd.DataFrame({"query_id": ids[q], "source": frame["source"].to_numpy()[v], "chunk_index": frame["chunk_index"].to_numpy()[v], "score": score[q, v]})
+            for lo in range(0, len(frame) if len(ids) else 0, VECTORS_PER_TILE):
+                part = frame.iloc[lo : lo + VECTORS_PER_TILE]
+                stack = np.array(part["embedding"].tolist(), dtype=np.float64).T
+                source, index, owner = part["source"].to_numpy(dtype=object), part["chunk_index"].to_numpy(dtype=np.int64), part["user_id"].fillna("").to_numpy(dtype=object)
+                found = []
+                for a in range(0, len(ids), QUERIES_PER_TILE):
+                    score, asking = np.round(matrix[a : a + QUERIES_PER_TILE] @ stack, digits), users[a : a + QUERIES_PER_TILE]
+                    if (asking != "").any():
+                        score[(asking[:, None] != "") & (asking[:, None] != owner[None, :])] = -np.inf
+                    keep = min(k, score.shape[1])
+                    least = np.maximum(-np.partition(-score, keep - 1, axis=1)[:, keep - 1], best.floor[a : a + QUERIES_PER_TILE])
+                    q, v = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    found.append((q + a, score[q, v], source[v], index[v]))
+                best.add(*(np.concatenate(x) for x in zip(*found)))
+        yield pd.DataFrame({"query_id": ids[best.q], "source": best.source, "chunk_index": best.index, "score": best.score})
 
     return vectors.select(*KEY, "embedding", "user_id").where("embedding IS NOT NULL").mapInPandas(run, "query_id long, source string, chunk_index int, score double")
 

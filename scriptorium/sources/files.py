@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed list of file types.
 SUPPORTED = (".txt", ".md", ".pdf")
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def decode_text(content: Column) -> Column:
@@ -49,19 +51,59 @@ def filter_hidden(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("filename").startswith("."))
 
 
-def load_documents(spark: SparkSession, path: str, page_extractor: Callable | None = None) -> DataFrame:
-    """Documents of a file or a folder and all below it; a missing path gives none.
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths of supported files that Spark's own listing leaves out: it skips names with a leading _ or dot.
 
-    PDF bytes go through page_extractor (a column function from binary to text); without
-    one their content is empty.
+    The listing goes through the driver, as Spark's own does; only those paths are kept.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, files = [], fs.listFiles(root, True)
+    base = len(fs.makeQualified(root).toString())
+    while files.hasNext():
+        full = files.next().getPath().toString()
+        parts = full[base:].split("/")
+        if any(p[:1] in ("_", ".") for p in parts) and parts[-1].lower().endswith(SUPPORTED) and not parts[-1].startswith("."):
+            found.append(full)
+    return found
+
+
+def _read_by_name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path) to file rows, for names that no Spark reader opens."""
+    from pyarrow import fs
+
+    for frame in frames:
+        rows = []
+        for path in frame["path"]:
+            system, inner = fs.FileSystem.from_uri(path)
+            info = system.get_file_info(inner)
+            with system.open_input_stream(inner) as f:
+                rows.append((path, info.mtime, info.size, f.read()))
+        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+
+
+def file_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length, content) of every supported file at or below path."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        files = spark.createDataFrame([], schema)
-    else:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    docs = filter_hidden(filter_supported(document_metadata(files)))
+        return spark.createDataFrame([], FILES)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    skipped = _listed(spark, path)
+    found = read.load(path)
+    if inside := [p for p in skipped if not p.rsplit("/", 1)[1].startswith("_")]:
+        found = found.unionByName(read.load(inside))
+    if named := [(p,) for p in skipped if p.rsplit("/", 1)[1].startswith("_")]:
+        found = found.unionByName(spark.createDataFrame(named, "path string").mapInPandas(_read_by_name, FILES))
+    return found
+
+
+def load_documents(spark: SparkSession, path: str, page_extractor: Callable | None = None) -> DataFrame:
+    """Documents of a file or a folder and all below it; a missing path gives none.
+
+    Only a file's own leading dot hides it. PDF bytes go through page_extractor (a column
+    function from binary to text); without one their content is empty.
+    """
+    docs = filter_hidden(filter_supported(document_metadata(file_rows(spark, path))))
     pdf = page_extractor(F.col("content")) if page_extractor else F.lit("")
     return docs.withColumn("content", F.when(F.col("extension") == ".pdf", pdf).otherwise(decode_text(F.col("content"))))
 

@@ -5,24 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators.bm25 import doc_lengths, postings, term_statistics
+from scriptorium.operators.bm25 import collection, postings, term_statistics
 from scriptorium.operators.vectors import KEY
 
-TABLES = ("chunks", "vectors", "postings", "terms", "doc_len")
+TABLES = ("chunks", "vectors", "postings", "collection", "terms")
 
 
-def write_index(chunks: DataFrame, vectors: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write all tables; mode overwrite resets what was there."""
-    chunks.write.mode(mode).parquet(f"{path}/chunks")
-    vectors.write.mode(mode).parquet(f"{path}/vectors")
-    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
-    postings(stored).write.mode("overwrite").parquet(f"{path}/postings")
-    doc_lengths(stored).write.mode("overwrite").parquet(f"{path}/doc_len")
-    post, lengths = (chunks.sparkSession.read.parquet(f"{path}/{t}") for t in ("postings", "doc_len"))
-    term_statistics(post, lengths).write.mode("overwrite").parquet(f"{path}/terms")
+def _write(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    df.write.mode(mode).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _statistics(chunks: DataFrame, post: DataFrame, path: str) -> None:
+    whole = _write(collection(chunks, post), f"{path}/collection")
+    _write(term_statistics(post, whole), f"{path}/terms")
+
+
+def write_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Write all tables of an index; what was there goes."""
+    stored_chunks = _write(chunks, f"{path}/chunks")
+    _write(vectors, f"{path}/vectors")
+    _statistics(stored_chunks, _write(postings(stored_chunks), f"{path}/postings"), path)
+
+
+def append_index(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
+    """Add chunks and vectors of further sources; only their postings are computed, and the
+    term statistics are taken anew from the stored postings."""
+    new = postings(chunks)
+    _write(vectors, f"{path}/vectors", "append")
+    post = _write(new, f"{path}/postings", "append")
+    _statistics(_write(chunks, f"{path}/chunks", "append"), post, path)
+
+
+def replace_sources(chunks: DataFrame, vectors: DataFrame, path: str, target: str) -> None:
+    """Write at `target` the index at `path` with the sources of `chunks` replaced.
+
+    Rows of those sources go, whatever their number was, and the new ones are added. The
+    old index stays whole until readers move on, so a failed run changes nothing.
+    """
+    old = read_index(chunks.sparkSession, path)
+    again = chunks.select("source").distinct()
+
+    def swapped(table: str, new: DataFrame) -> DataFrame:
+        return _write(old[table].join(again, "source", "left_anti").unionByName(new, allowMissingColumns=True), f"{target}/{table}")
+
+    swapped("vectors", vectors)
+    post = swapped("postings", postings(chunks))
+    _statistics(swapped("chunks", chunks), post, target)
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables by name; keyword search takes this as its index."""
     return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
 
 
@@ -32,7 +65,17 @@ def points(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def append_points(chunks: DataFrame, vectors: DataFrame, path: str) -> None:
-    points(chunks, vectors).write.mode("append").parquet(path)
+    """Append points; those that are stored already are not stored twice."""
+    new, spark = points(chunks, vectors), chunks.sparkSession
+    if table_exists(spark, path):
+        new = new.join(spark.read.parquet(path).select("point_id"), "point_id", "left_anti").select(*new.columns)
+    new.write.mode("append").parquet(path)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file at path, asked of the path's own file system."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
 def reset_index(spark: SparkSession, path: str) -> None:

@@ -61,3 +61,28 @@ def test_groups_follow_direction():
 def test_pdf_pages(spark):
     pages = spark.createDataFrame([("f", 2, "two"), ("f", 1, "o-\nne"), ("f", 3, "  ")], "source string, page_num int, page_text string")
     assert C.assemble_pdf_pages(pages).select(F.col("content")).first()[0] == "one\n\ntwo"
+
+
+def test_semantic_falls_back_to_characters(spark):
+    def encode(sentences):
+        if any("bad" in s for s in sentences):
+            raise ValueError("no vector")
+        return hashing_encoder()(sentences)
+
+    good, bad = (" ".join(f"This {w} sentence has number {k}." for k in range(30)) for w in ("good", "bad"))
+    docs = spark.createDataFrame([("g", good), ("b", bad)], "source string, content string")
+    kinds = {r["source"]: r["chunking_strategy"] for r in C.split_semantic(docs, encode).collect()}
+    assert kinds == {"g": "semantic", "b": None}
+    assert C.chunk_documents(docs.withColumn("extension", F.lit(".txt")), "semantic").count() > 0
+
+
+def test_overlap_and_long_clauses():
+    assert C._overlap(["A one. B two.", "C three.", "D four."], 8, 100) == ["A one. B two.", "B two. C three.", "D four."]
+    assert C._overlap(["A one. B two.", "C three."], 7, 12) == ["A one. B two.", "C three."]
+    assert C.split_long_sentence("x" * 12 + "," + "a b", 5) == ["x" * 12, ",a b"]
+
+
+def test_long_sentences(spark):
+    table = spark.createDataFrame([("d", 0, "short"), ("d", 1, "aa, bb, cc"), ("e", 0, None)], "source string, pos int, sentence string")
+    got = sorted(tuple(r) for r in C.long_sentences(table, 6).where("source = 'd'").collect())
+    assert got == [("d", 0, "short"), ("d", 1, "aa, bb"), ("d", 2, ", cc")]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scriptorium.operators import documents, manifest
+from scriptorium.operators import bm25, documents, manifest
 from scriptorium.operators.vectors import embed, hashing_encoder
 from scriptorium.sources import files, index_store
 from scriptorium.streaming import ingest
@@ -16,6 +16,13 @@ def test_load_documents(spark, tmp_path):
     assert {k: r["content"] for k, r in rows.items()} == {"a.txt": "hello\nworld", "b.MD": "café"}
     assert rows["b.MD"]["extension"] == ".md" and rows["a.txt"]["size_bytes"] == 12
     assert files.load_documents(spark, str(tmp_path / "missing")).count() == 0
+    for folder in ("_drafts", ".dot"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text(folder)
+    (tmp_path / "_notes.md").write_text("noted")
+    (tmp_path / "_drafts" / "_y.txt").write_text("y")
+    again = {r["content"] for r in files.load_documents(spark, str(tmp_path)).collect()}
+    assert again == {"hello\nworld", "café", "_drafts", ".dot", "noted", "y"}
 
 
 def test_requests(spark):
@@ -32,10 +39,22 @@ def test_index_round_trip(spark, tmp_path):
     path = str(tmp_path / "index")
     index_store.write_index(chunks, vecs, path)
     stored = index_store.read_index(spark, path)
-    assert stored["terms"].where("term = 'two'").first()["df"] == 2 and stored["doc_len"].count() == 2
+    assert stored["terms"].where("term = 'two'").first()["df"] == 2 and stored["collection"].first()["n"] == 2
+    more = spark.createDataFrame([("b", 0, "two"), ("b", 1, "four"), ("c", 0, "five")], "source string, chunk_index int, content string")
+    other = str(tmp_path / "index2")
+    index_store.replace_sources(more, embed(more, "content", hashing_encoder(8)).drop("content"), path, other)
+    swapped = index_store.read_index(spark, other)
+    assert sorted(r["content"] for r in swapped["chunks"].collect()) == ["five", "four", "one two", "two"]
+    assert {r["term"] for r in swapped["terms"].collect()} == {"one", "two", "four", "five"} and swapped["vectors"].count() == 4
+    extra = spark.createDataFrame([("d", 0, "six")], "source string, chunk_index int, content string")
+    index_store.append_index(extra, embed(extra, "content", hashing_encoder(8)).drop("content"), other)
+    grown = index_store.read_index(spark, other)
+    asked = spark.createDataFrame([(1, "four")], "query_id long, query string")
+    assert grown["collection"].first()["n"] == 5 and bm25.bm25_topk(asked, grown, 1).collect() == bm25.bm25_topk(asked, grown["chunks"], 1).collect()
+    assert bm25.bm25_topk(asked, grown, 1).first()["source"] == "b"
     index_store.append_points(chunks, vecs, str(tmp_path / "points"))
     index_store.append_points(chunks, vecs, str(tmp_path / "points"))
-    assert spark.read.parquet(str(tmp_path / "points")).select("point_id").distinct().count() == 2
+    assert spark.read.parquet(str(tmp_path / "points")).count() == 2
     index_store.reset_index(spark, path)
     assert index_store.read_index(spark, path)["chunks"].count() == 0
 
@@ -58,6 +77,33 @@ def test_sessions(spark):
     assert got == {1: "x" * 30 + "...", 2: "New chat"}
     f = spark.createDataFrame([(1, "m", 2, "c"), (1, "m", 0, "a"), (1, "m", 1, "b")], "conv_id long, message_id string, seq int, text string")
     assert documents.assemble_messages(f).first()["text"] == "abc"
+    frames = spark.createDataFrame([(1, "m", 0, "[1]", "references"), (1, "m", 1, "hi", "text"), (1, "m", 2, None, "done"), (1, "n", 0, "x", "text")], "conv_id long, message_id string, seq int, text string, kind string")
+    got = {r["message_id"]: (r["text"], r["references"], r["done"], r["n_fragments"]) for r in documents.assemble_messages(frames).collect()}
+    assert got == {"m": ("hi", "[1]", True, 1), "n": ("x", None, False, 1)}
+
+
+def test_places_in_lists(spark):
+    rows = [(str(k), f"f{k}", k, 1, k % 7, "u" if k % 3 else "v") for k in range(60)]
+    catalog = spark.createDataFrame(rows, "id string, filename string, filesize int, chunk_count int, created_at int, user_id string")
+    got = documents.list_documents(catalog).collect()
+    for user in "uv":
+        mine = sorted((r for r in got if r["user_id"] == user), key=lambda r: r["place"])
+        assert [r["place"] for r in mine] == list(range(1, len(mine) + 1))
+        assert [r["id"] for r in mine] == [r["id"] for r in sorted(mine, key=lambda r: (-r["created_at"], r["id"]))]
+
+
+def test_changed_files_replace_their_chunks(spark, tmp_path):
+    inbox, index = tmp_path / "in", str(tmp_path / "index")
+    inbox.mkdir()
+    shown = lambda: sorted(r["content"] for r in ingest.current_chunks(spark, index).collect())
+    for text in ("one", "two", "one", "one"):
+        (inbox / "a.txt").write_text(text)
+        (inbox / "b.txt").write_text("same")
+        ingest.index_files(spark, str(inbox), index)
+        assert shown() == sorted([text, "same"])
+    assert ingest.current_manifest(spark, index).count() == 2
+    again = manifest.read_manifest(manifest.manifest_lines(spark.createDataFrame([("p", "h", 3)], "path string, hash string, chunks_count int")))
+    assert [tuple(r) for r in again.collect()] == [("p", "h", 3)]
 
 
 def test_deletes(spark):
