@@ -16,6 +16,7 @@ from scriptorium.operators import bm25, chunking, documents, fusion, manifest, v
 from scriptorium.plans import answers
 from scriptorium.shipping import ship_package
 from scriptorium.sources import files
+from scriptorium.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,8 +48,9 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.split_documents(corpus(spark, sf_dir), short_cut="skip")
+def chunk_table(spark: SparkSession, sf_dir: str, short_cut: str = "burst") -> DataFrame:
+    """The corpus in character windows, written once for the queries that read it more than once."""
+    return stored(chunking.split_documents(corpus(spark, sf_dir), short_cut=short_cut), "chunks")
 
 
 # ---- text functions
@@ -81,11 +83,11 @@ def t4_normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.concat(F.lit("  "), "text", F.lit("ＡＢＣ①\n"))).alias("out"))
 
 
-_PDF = r"regexp_replace(regexp_replace(replace(replace(text, '. ', '.' || chr(10) || chr(10)), 'tion ', 'ti-' || chr(10) || 'on '), '-\s*\n\s*', '', 'g'), '\n\s*\n+', '<<PARA>>', 'g')"
+_PDF = r"regexp_replace(replace(replace(text, '. ', '.' || chr(10) || chr(10)), 'tion ', 'ti-' || chr(10) || 'on '), '-\s*\n\s*', '', 'g')"
 
 
 @registered(
-    rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace({_PDF}, chr(10), ' '), '<<PARA>>', chr(10) || chr(10)), ' +', ' ', 'g'), '\n +', chr(10), 'g'), ' +\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS out FROM documents"""
+    rf"""SELECT doc_id, regexp_replace(array_to_string(list_transform(regexp_split_to_array({_PDF}, ' *\n\s*\n *'), lambda p: regexp_replace(p, '[ \n]+', ' ', 'g')), chr(10) || chr(10)), '^\s+|\s+$', '', 'g') AS out FROM documents"""
 )
 def t5_normalize_pdf_text(spark, sf_dir):
     raw = F.expr("replace(replace(text, '. ', concat('.', chr(10), chr(10))), 'tion ', concat('ti-', chr(10), 'on '))")
@@ -148,9 +150,10 @@ def t13_mask_sensitive(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(T.mask_sensitive(record)).alias("record"))
 
 
-@registered("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2 FROM embeddings")
+@registered("SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), list_reverse(CAST(embedding AS DOUBLE[]))), 6) AS reversed, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS norm2 FROM embeddings")
 def t16_cosine_similarity(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(T.dot(F.col("embedding"), F.col("embedding")), 6).alias("norm2"))
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(T.dot(e, F.reverse(e)), 6).alias("reversed"), F.round(T.dot(e, e), 6).alias("norm2"))
 
 
 # ---- chunking
@@ -169,14 +172,18 @@ def _cut(start: str) -> str:
     return f"CASE WHEN length(content) - {start} <= 1000 THEN length(content) ELSE coalesce({', '.join(option(*m) for m in _MARKS)}, {start} + 1000) END"
 
 
-def chunks_sql(skip: bool) -> str:
-    """CTEs corpus and chunks: the character splitter at 1000 and 150."""
+def windows_sql(skip: bool, name: str = "chunks", base: str = "corpus") -> str:
+    """CTEs of the character splitter at 1000 and 150 over base(source, content); to follow WITH RECURSIVE."""
     onward = "cut" if skip else "start + 1"
-    return f"""RECURSIVE {_CORPUS},
-walk AS (SELECT source, content, 0 AS start, CAST({_cut("0")} AS INT) AS cut FROM corpus WHERE trim(content) <> ''
-  UNION ALL SELECT source, content, begins, CAST({_cut("begins")} AS INT) FROM (SELECT source, content, CASE WHEN cut - 150 > start THEN cut - 150 ELSE {onward} END AS begins FROM walk WHERE cut < length(content))),
-chunks AS (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS INT) AS chunk_index, CAST(start AS INT) AS start_char, cut AS end_char, piece AS content
-  FROM (SELECT source, start, cut, regexp_replace(substr(content, start + 1, cut - start), '^\\s+|\\s+$', '', 'g') AS piece FROM walk) WHERE piece <> '')"""
+    return f"""{name}_walk AS (SELECT source, content, 0 AS start, CAST({_cut("0")} AS INT) AS cut FROM {base} WHERE trim(content) <> ''
+  UNION ALL SELECT source, content, begins, CAST({_cut("begins")} AS INT) FROM (SELECT source, content, CASE WHEN cut - 150 > start THEN cut - 150 ELSE {onward} END AS begins FROM {name}_walk WHERE cut < length(content))),
+{name} AS MATERIALIZED (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY start) - 1 AS INT) AS chunk_index, CAST(start AS INT) AS start_char, cut AS end_char, piece AS content
+  FROM (SELECT source, start, cut, regexp_replace(substr(content, start + 1, cut - start), '^\\s+|\\s+$', '', 'g') AS piece FROM {name}_walk) WHERE piece <> '')"""
+
+
+def chunks_sql(skip: bool) -> str:
+    """CTEs corpus and chunks."""
+    return f"RECURSIVE {_CORPUS}, {windows_sql(skip)}"
 
 
 @registered(f"WITH {chunks_sql(False)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
@@ -186,7 +193,7 @@ def c1_split_text(spark, sf_dir):
 
 @registered(f"WITH {chunks_sql(True)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
 def c1_split_text_skip(spark, sf_dir):
-    return chunk_table(spark, sf_dir)
+    return chunking.split_documents(corpus(spark, sf_dir), short_cut="skip")
 
 
 @registered(f"WITH {chunks_sql(False)} SELECT source, chunk_index, start_char, end_char, content, '' AS header_path FROM chunks")
@@ -194,20 +201,21 @@ def c13_chunk_text(spark, sf_dir):
     return chunking.chunk_text(corpus(spark, sf_dir), 0, None)
 
 
-@registered(f"WITH {chunks_sql(True)} SELECT c.source, count(k.source) AS chunk_count FROM corpus c LEFT JOIN chunks k ON c.source = k.source GROUP BY c.source")
+@registered(f"WITH {chunks_sql(False)} SELECT c.source, count(k.source) AS chunk_count FROM corpus c LEFT JOIN chunks k ON c.source = k.source GROUP BY c.source")
 def c11_chunk_counts(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    return chunking.chunk_counts(docs, chunking.split_documents(docs, short_cut="skip"))
+    return chunking.chunk_counts(docs, chunking.split_documents(docs))
 
 
 def _markdown(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    body = F.expr("concat('intro ', lang, chr(10), '# ', source, chr(10), chr(10), replace(substring(text, 1, 300), '#', '+'), chr(10), '### ', lang, chr(10), replace(substring(text, 301, 200), '#', '+'), chr(10), '## ', doc_id, chr(10), 'tail', chr(10), '#### end ', lang, chr(10), 'x')")
+    """Every whole text, its two halves below headers of their own."""
+    docs = table(spark, sf_dir, "documents").withColumn("half", F.expr("cast(length(text) / 2 as int)"))
+    body = F.expr("concat('intro ', lang, chr(10), '# ', source, chr(10), chr(10), replace(substring(text, 1, half), '#', '+'), chr(10), '### ', lang, chr(10), replace(substring(text, half + 1), '#', '+'), chr(10), '## ', doc_id, chr(10), 'tail', chr(10), '#### end ', lang, chr(10), 'x')")
     return docs.select(F.col("doc_id").cast("string").alias("source"), body.alias("content"))
 
 
-_MD = """md AS (SELECT CAST(doc_id AS VARCHAR) AS source, 'intro ' || lang || chr(10) AS a, '# ' || source || chr(10) || chr(10) || replace(substr(text, 1, 300), '#', '+') || chr(10) AS b,
-  '### ' || lang || chr(10) || replace(substr(text, 301, 200), '#', '+') || chr(10) AS c, '## ' || doc_id || chr(10) || 'tail' || chr(10) AS d, '#### end ' || lang || chr(10) || 'x' AS e, source AS s, lang FROM documents),
+_MD = """md AS (SELECT CAST(doc_id AS VARCHAR) AS source, 'intro ' || lang || chr(10) AS a, '# ' || source || chr(10) || chr(10) || replace(substr(text, 1, length(text) // 2), '#', '+') || chr(10) AS b,
+  '### ' || lang || chr(10) || replace(substr(text, length(text) // 2 + 1), '#', '+') || chr(10) AS c, '## ' || doc_id || chr(10) || 'tail' || chr(10) AS d, '#### end ' || lang || chr(10) || 'x' AS e, source AS s, lang FROM documents),
 parts AS (SELECT source, 0 AS i, 0 AS level, '' AS title, a AS raw, 0 AS begins, '' AS header_path FROM md
   UNION ALL SELECT source, 1, 1, s, b, length(a), '# ' || s FROM md
   UNION ALL SELECT source, 2, 3, lang, c, length(a || b), '# ' || s || ' > ### ' || lang FROM md
@@ -225,7 +233,13 @@ def c3_header_path(spark, sf_dir):
     return chunking.with_header_paths(chunking.markdown_sections(_markdown(spark, sf_dir))).select("source", "section_idx", "header_path")
 
 
-@registered(rf"WITH {_MD} SELECT source, i AS chunk_index, CAST(begins AS INT) AS start_char, CAST(begins + length(raw) AS INT) AS end_char, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content, header_path FROM parts")
+@registered(
+    rf"""WITH RECURSIVE {_MD}, sections AS (SELECT source, i, begins, header_path, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS content FROM parts),
+long AS (SELECT source || '/' || i AS source, content FROM sections WHERE length(content) > 1000), {windows_sql(False, "cuts", "long")},
+rows AS (SELECT source, i, 0 AS sub, begins AS a, begins + length(raw) AS b, content, header_path FROM sections WHERE length(content) <= 1000
+  UNION ALL SELECT s.source, i, chunk_index, begins + start_char, begins + end_char, c.content, header_path FROM sections s JOIN cuts c ON c.source = s.source || '/' || i)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY i, sub) - 1 AS INT) AS chunk_index, CAST(a AS INT) AS start_char, CAST(b AS INT) AS end_char, content, header_path FROM rows"""
+)
 def c4_split_markdown(spark, sf_dir):
     return chunking.split_markdown(_markdown(spark, sf_dir))
 
@@ -235,10 +249,14 @@ def c9_split_semantic(spark, sf_dir):
     return chunking.split_semantic(corpus(spark, sf_dir), vectors.hashing_encoder(), threshold=0.2)
 
 
-@registered()
+@registered(
+    rf"""WITH RECURSIVE corpus AS (SELECT CAST(doc_id AS VARCHAR) AS source, replace(text, '#', '+') AS content, source AS owner FROM documents), {windows_sql(False)}
+SELECT c.source, c.chunk_index, c.start_char, c.end_char, CASE WHEN owner = 'src1' AND length(d.content) <= 1000 THEN d.content ELSE c.content END AS content, '' AS header_path FROM chunks c JOIN corpus d ON c.source = d.source"""
+)
 def c10_chunk_documents(spark, sf_dir):
-    docs = corpus(spark, sf_dir).withColumn("extension", F.when(F.col("owner") == "src1", ".md").otherwise(".txt"))
-    return chunking.chunk_documents(docs).drop("owner")
+    """Documents of src1 count as Markdown; without headers they are one section."""
+    docs = corpus(spark, sf_dir).withColumn("content", F.replace("content", F.lit("#"), F.lit("+")))
+    return chunking.chunk_documents(docs.withColumn("extension", F.when(F.col("owner") == "src1", ".md").otherwise(".txt")))
 
 
 @registered(
@@ -252,35 +270,43 @@ def c12_assemble_pdf_pages(spark, sf_dir):
 
 # ---- keyword search
 
-_BM25 = r"""post AS (SELECT source, chunk_index, term, count(*) AS tf FROM (SELECT source, chunk_index, unnest(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS term FROM chunks) GROUP BY ALL),
-lens AS (SELECT source, chunk_index, len(list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '')) AS dl FROM chunks),
-raws AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM lens) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post GROUP BY term),
-terms AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws),
-want AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS term FROM queries) GROUP BY ALL),
-scores AS (SELECT query_id, source, chunk_index, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM lens)))), 6) AS score
-  FROM want JOIN terms USING (term) JOIN post USING (term) JOIN lens USING (source, chunk_index) GROUP BY ALL)"""
+_BM25 = r"""words AS MATERIALIZED (SELECT source, chunk_index, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS w FROM chunks),
+post AS MATERIALIZED (SELECT source, chunk_index, dl, term, count(*) AS tf FROM (SELECT source, chunk_index, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY ALL),
+whole AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM words),
+raws AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, whole GROUP BY term),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raws) ELSE raw END AS idf FROM raws)"""
+_SCORES = r"""want AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS term FROM queries) GROUP BY ALL),
+scores AS MATERIALIZED (SELECT query_id, source, chunk_index, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS exact, round(exact, 6) AS score
+  FROM want JOIN terms USING (term) JOIN post USING (term), whole GROUP BY ALL)"""
 _ASKED = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+_RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scores)"
 
 
-@registered(f"WITH {chunks_sql(True)}, {_ASKED}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def _topk_sql(skip: bool) -> str:
+    return f"""WITH {chunks_sql(skip)}, {_ASKED}, {_BM25}, {_SCORES}, {_RANKED}
+SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, score FROM ranked WHERE rank <= 5 AND score > 0"""
+
+
+@registered(f"WITH {chunks_sql(False)}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def k1_bm25_index(spark, sf_dir):
-    chunks = chunk_table(spark, sf_dir)
-    return bm25.term_statistics(bm25.postings(chunks), bm25.doc_lengths(chunks)).withColumn("idf", F.round("idf", 6))
+    return bm25.keyword_index(chunk_table(spark, sf_dir))["terms"].withColumn("idf", F.round("idf", 6))
 
 
-@registered(f"WITH {chunks_sql(True)}, {_ASKED}, {_BM25} SELECT query_id, source, chunk_index, score FROM scores")
+@registered(f"WITH {chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES} SELECT query_id, source, chunk_index, score FROM scores")
 def k2_bm25_scores(spark, sf_dir):
     return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@registered(
-    f"""WITH {chunks_sql(True)}, {_ASKED}, {_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scores)
-SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, score FROM ranked WHERE rank <= 5 AND score > 0"""
-)
+@registered(_topk_sql(False))
 def k3_bm25_topk(spark, sf_dir):
     return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir), 5)
 
 
+@registered(_topk_sql(True))
+def k3_bm25_topk_skip(spark, sf_dir):
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir, "skip"), 5)
+
+
 # ---- vectors and hybrid search: one chunk per document, vector vec_id belongs to document vec_id
 
 
@@ -289,8 +315,9 @@ def _vectors(spark, sf_dir):
 
 
 def _whole(spark, sf_dir):
-    """Documents that have a vector, as chunks."""
-    keyed = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    """Every document as one chunk; the label of its vector, if it has one, is its user."""
+    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    keyed = docs.join(e, docs["doc_id"] == e["vec_id"], "left")
     return keyed.select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("label").cast("string").alias("user_id"))
 
 
@@ -302,19 +329,19 @@ def _vector_queries(spark, sf_dir):
 
 def _hybrid_queries(spark, sf_dir):
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
-    joined = b.join(e, b["item_id"] == e["vec_id"])
+    joined = b.join(e, b["item_id"] == e["vec_id"], "left")
     return joined.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"), F.when(F.col("item_id") % 2 == 0, F.col("label").cast("string")).alias("user_id"))
 
 
 _NEAR = """near AS (SELECT q.query_id, v.source, v.chunk_index, round(list_dot_product(CAST(q.query_vec AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
-  FROM asked q JOIN vecs v ON q.user_id IS NULL OR q.user_id = v.user_id),
+  FROM asked q JOIN vecs v ON q.user_id IS NULL OR q.user_id = v.user_id WHERE q.query_vec IS NOT NULL),
 near_ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM near)"""
 _VECS = "vecs AS (SELECT CAST(vec_id AS VARCHAR) AS source, 0 AS chunk_index, embedding, CAST(label AS VARCHAR) AS user_id FROM embeddings)"
-_HYBRID = f"""{_VECS}, asked AS (SELECT item_id AS query_id, text AS query, embedding AS query_vec, CASE WHEN item_id % 2 = 0 THEN CAST(label AS VARCHAR) END AS user_id FROM benchmark JOIN embeddings ON item_id = vec_id),
+_HYBRID = f"""{_VECS}, asked AS (SELECT item_id AS query_id, text AS query, embedding AS query_vec, CASE WHEN item_id % 2 = 0 THEN CAST(label AS VARCHAR) END AS user_id FROM benchmark LEFT JOIN embeddings ON item_id = vec_id),
 queries AS (SELECT query_id, query FROM asked),
-chunks AS (SELECT CAST(doc_id AS VARCHAR) AS source, 0 AS chunk_index, text AS content, CAST(label AS VARCHAR) AS user_id FROM documents JOIN embeddings ON doc_id = vec_id),
-{_BM25}, {_NEAR},
-words AS (SELECT s.*, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.source, s.chunk_index) AS INT) AS rank FROM scores s JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE q.user_id IS NULL OR q.user_id = c.user_id)"""
+chunks AS (SELECT CAST(doc_id AS VARCHAR) AS source, 0 AS chunk_index, text AS content, CAST(label AS VARCHAR) AS user_id FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+{_BM25}, {_SCORES}, {_NEAR},
+found AS (SELECT s.query_id, s.source, s.chunk_index, s.score, CAST(row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.source, s.chunk_index) AS INT) AS rank FROM scores s JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE q.user_id IS NULL OR q.user_id = c.user_id)"""
 
 
 @registered(
@@ -341,7 +368,7 @@ def v1_embed(spark, sf_dir):
 
 
 @registered(
-    f"""WITH {_HYBRID}, fused AS (SELECT query_id, source, chunk_index, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, source, chunk_index, rank FROM words WHERE rank <= 10 AND score > 0
+    f"""WITH {_HYBRID}, fused AS (SELECT query_id, source, chunk_index, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, source, chunk_index, rank FROM found WHERE rank <= 10 AND score > 0
   UNION ALL SELECT query_id, source, chunk_index, rank FROM near_ranked WHERE rank <= 10) GROUP BY ALL),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM fused)
 SELECT query_id, rank, source, chunk_index, score FROM f WHERE rank <= 5"""
@@ -351,25 +378,48 @@ def f1_search_rrf(spark, sf_dir):
 
 
 _WEIGHTED = """kept AS (SELECT query_id, source, chunk_index, score AS near FROM near_ranked WHERE rank <= 15),
-joined AS (SELECT k.*, coalesce(s.score, 0) AS w FROM kept k LEFT JOIN scores s USING (query_id, source, chunk_index)),
+joined AS (SELECT k.*, coalesce(s.exact, 0) AS w FROM kept k LEFT JOIN scores s USING (query_id, source, chunk_index)),
 mixed AS (SELECT query_id, source, chunk_index, round(0.7 * near + 0.3 * CASE WHEN max(w) OVER q > min(w) OVER q THEN (w - min(w) OVER q) / (max(w) OVER q - min(w) OVER q) ELSE 0 END, 6) AS score FROM joined WINDOW q AS (PARTITION BY query_id)),
 best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM mixed WHERE score >= 0)"""
 
 
-@registered(f"WITH {_HYBRID}, {_WEIGHTED} SELECT query_id, source, chunk_index, round(score, 4) AS score FROM best WHERE rank <= 5")
+_BOTH = """SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, round(score, 4) AS score FROM best WHERE rank <= 5
+UNION ALL SELECT query_id, rank, source, chunk_index, round(score, 4) FROM found WHERE rank <= 5 AND score > 0 AND query_id NOT IN (SELECT query_id FROM near_ranked)"""
+
+
+@registered(f"WITH {_HYBRID}, {_WEIGHTED} {_BOTH}")
 def f2_search_weighted(spark, sf_dir):
+    """Items without a vector fall back to keywords."""
     hits = fusion.search_weighted(_hybrid_queries(spark, sf_dir), _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
-    return hits.select("query_id", "source", "chunk_index", F.round("score", 4).alias("score"))
+    return hits.withColumn("score", F.round("score", 4))  # a vector score times 0.7 often ends in a 5 at the seventh place
 
 
-@registered(f"WITH {_HYBRID} SELECT query_id, rank, source, chunk_index, score FROM words WHERE rank <= 5 AND score > 0")
+@registered(f"WITH {_HYBRID}, {_WEIGHTED} {_BOTH}")
+def f4_hybrid_search(spark, sf_dir):
+    hits = fusion.hybrid_search(_hybrid_queries(spark, sf_dir), _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
+    return hits.withColumn("score", F.round("score", 4))
+
+
+@registered(
+    f"""WITH {_HYBRID}, fused AS (SELECT query_id, source, chunk_index, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT query_id, source, chunk_index, rank FROM found WHERE rank <= 10 AND score > 0
+  UNION ALL SELECT query_id, source, chunk_index, rank FROM near_ranked WHERE rank <= 10) WHERE query_id % 3 <> 0 OR source = CAST(query_id AS VARCHAR) GROUP BY ALL),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM fused)
+SELECT query_id, rank, source, chunk_index, score FROM f WHERE rank <= 5"""
+)
+def p4_source_filter(spark, sf_dir):
+    """Every third item wants hits from the document of its own number only."""
+    queries = _hybrid_queries(spark, sf_dir).withColumn("source_filter", F.when(F.col("query_id") % 3 == 0, F.col("query_id").cast("string")).otherwise(""))
+    return fusion.hybrid_search(queries, _whole(spark, sf_dir), _vectors(spark, sf_dir), 5, "rrf")
+
+
+@registered(f"WITH {_HYBRID} SELECT query_id, rank, source, chunk_index, score FROM found WHERE rank <= 5 AND score > 0")
 def f3_bm25_fallback(spark, sf_dir):
     """No query has a vector, so all fall back to keywords."""
     queries = _hybrid_queries(spark, sf_dir).withColumn("query_vec", F.lit(None).cast("array<float>"))
     return fusion.search_weighted(queries, _whole(spark, sf_dir), _vectors(spark, sf_dir), 5)
 
 
-_VARIANTS = """hits AS (SELECT i.query_id AS request_id, 0 AS variant_no, rank, source, chunk_index, score FROM words i WHERE rank <= 10 AND score > 0
+_VARIANTS = """hits AS (SELECT i.query_id AS request_id, 0 AS variant_no, rank, source, chunk_index, score FROM found i WHERE rank <= 10 AND score > 0
   UNION ALL SELECT query_id, 1, rank, source, chunk_index, round(score * 5, 6) FROM near_ranked WHERE rank <= 10)"""
 
 
@@ -399,7 +449,7 @@ def m3_merge_max(spark, sf_dir):
 
 @registered(
     rf"""WITH {_HYBRID}, p AS (SELECT w.query_id, source, chunk_index, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS b
-  FROM words w JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE rank <= 15 AND score > 0),
+  FROM found w JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE rank <= 15 AND score > 0),
 s AS (SELECT query_id, source, chunk_index, round(len(list_intersect(a, b)) / len(a), 6) AS score FROM p),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM s) SELECT query_id, rank, source, chunk_index, score FROM r WHERE rank <= 5"""
 )
@@ -411,13 +461,14 @@ def m4_rerank(spark, sf_dir):
 
 
 def _answered(spark, sf_dir):
+    """The benchmark items and their five best chunks, which are few, so they are found once."""
     chunks = chunk_table(spark, sf_dir)
     queries = benchmark_queries(spark, sf_dir)
     hits = bm25.bm25_topk(queries, chunks, 5).join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"])
-    return queries, hits
+    return queries, stored(hits, "hits")
 
 
-_TOP = f"""{chunks_sql(True)}, {_ASKED}, {_BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scores),
+_TOP = f"""{chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES}, {_RANKED},
 top AS (SELECT r.*, content FROM ranked r JOIN chunks USING (source, chunk_index) WHERE rank <= 5 AND score > 0),
 ctx AS (SELECT query_id, string_agg('--- [Chunk ' || rank || '] (Source: ' || source || ') ---' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS c FROM top GROUP BY query_id),
 prompts AS (SELECT query_id, '{answers.SYSTEM_TEXT}' || chr(10) || chr(10) || '[Context]' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || '[Question]' || chr(10) || query || chr(10) || chr(10) || '[Answer]' || chr(10) AS prompt FROM queries LEFT JOIN ctx USING (query_id))"""
@@ -428,16 +479,52 @@ def m6_build_prompts(spark, sf_dir):
     return answers.build_prompts(*_answered(spark, sf_dir))
 
 
-@registered(f"WITH {_TOP}, n AS (SELECT query_id, count(*) AS n, sum(length(substr(content, 1, 500))) AS chars FROM top GROUP BY query_id) SELECT query_id, length(prompt) AS prompt_chars, CAST(coalesce(n, 0) AS INT) AS n_references, CAST(coalesce(chars, 0) AS BIGINT) AS reference_chars FROM prompts LEFT JOIN n USING (query_id)")
+@registered(
+    f"""WITH {_TOP}, cited AS (SELECT query_id, string_agg(source || ' ' || printf('%.3f', round(score, 3)) || ' ' || substr(content, 1, 500), chr(10) ORDER BY rank) AS r FROM top GROUP BY query_id)
+SELECT query_id, prompt, coalesce(r, '') AS cited, CASE WHEN r IS NULL THEN '{answers.NOTHING_FOUND}' END AS note FROM prompts LEFT JOIN cited USING (query_id)"""
+)
 def m7_answer_requests(spark, sf_dir):
+    """The list of references as one text, a line for each."""
     out = answers.answer_requests(*_answered(spark, sf_dir))
-    chars = F.aggregate("references", F.lit(0).cast("long"), lambda acc, r: acc + F.length(r["content"]))
-    return out.select("query_id", F.length("prompt").alias("prompt_chars"), F.size("references").alias("n_references"), chars.alias("reference_chars"))
+    lines = F.transform("references", lambda r: F.concat_ws(" ", r["source"], F.format_string("%.3f", F.round(r["score"], 3)), r["content"]))
+    return out.select("query_id", "prompt", F.array_join(lines, "\n").alias("cited"), "note")
 
 
-@registered(f"WITH {chunks_sql(True)} SELECT source, chunk_index, replace(substr(content, 1, 100), chr(10), ' ') || '...' AS snippet FROM chunks")
+@registered(f"WITH {_TOP} SELECT query_id, CAST(rank AS INT) AS rank, CAST(CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 4)) AS VARCHAR) AS score, replace(substr(content, 1, 100), chr(10), ' ') || '...' AS snippet FROM top")
 def p10_snippets(spark, sf_dir):
-    return chunk_table(spark, sf_dir).select("source", "chunk_index", T.snippet(F.col("content")).alias("snippet"))
+    return T.to_snippets(_answered(spark, sf_dir)[1])
+
+
+@registered(f"WITH {chunks_sql(False)} SELECT source, chunk_index, 'u1' AS user_id FROM chunks")
+def p8_stamp_user(spark, sf_dir):
+    return files.stamp_user(chunking.split_documents(corpus(spark, sf_dir)), "u1").select("source", "chunk_index", "user_id")
+
+
+@registered(
+    """SELECT '/in/' || source || '/' || doc_id || '.TXT' AS source, doc_id || '.TXT' AS filename, '.txt' AS extension, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes, 'unknown' AS language, text AS content FROM documents"""
+)
+def s3_document_metadata(spark, sf_dir):
+    """Documents as file rows; the time of the run is left out."""
+    path = F.concat(F.lit("/in/"), "source", F.lit("/"), "doc_id", F.lit(".TXT"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("path"), F.octet_length("text").cast("long").alias("length"), F.col("text").alias("content"))
+    return files.document_metadata(rows).drop("created_at")
+
+
+_REQUESTS = """r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN '' ELSE 'inline ' || lang END AS content,
+  CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 4 = 1 THEN 'gone' END AS file_path FROM documents)"""
+
+
+@registered(
+    f"""WITH {_REQUESTS}, t AS (SELECT r.doc_id AS request_id, CASE WHEN file_path IS NOT NULL THEN d.text ELSE r.content END AS content FROM r LEFT JOIN documents d ON file_path = CAST(d.doc_id AS VARCHAR))
+SELECT request_id, content, coalesce(content, '') <> '' AS accepted FROM t"""
+)
+def s4_inline_or_file(spark, sf_dir):
+    """Requests with inline text, with the file of their own document, with both, or with neither."""
+    inline = F.expr("case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '' else concat('inline ', lang) end")
+    path = F.expr("case when doc_id % 4 = 0 then cast(doc_id as string) when doc_id % 4 = 1 then 'gone' end")
+    requests = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request_id"), inline.alias("content"), path.alias("file_path"))
+    good, bad = files.inline_or_file(requests, corpus(spark, sf_dir))
+    return good.withColumn("accepted", F.lit(True)).unionByName(bad.withColumn("accepted", F.lit(False))).select("request_id", "content", "accepted")
 
 
 # ---- manifest, catalogue, sessions
@@ -513,10 +600,10 @@ def d1_list_documents(spark, sf_dir):
     return documents.list_documents(_catalog(spark, sf_dir)).drop("created_at")
 
 
-@registered(f"WITH {chunks_sql(True)}, n AS (SELECT source, count(*) AS n FROM chunks GROUP BY source) SELECT owner || '_' || c.source AS filename, c.source AS filepath, CAST(length(content) AS INT) AS filesize, 'text/plain' AS mimetype, coalesce(n, 0) AS chunk_count, owner AS user_id FROM corpus c LEFT JOIN n USING (source)")
+@registered(f"WITH {chunks_sql(False)}, n AS (SELECT source, count(*) AS n FROM chunks GROUP BY source) SELECT owner || '_' || c.source AS filename, c.source AS filepath, CAST(length(content) AS INT) AS filesize, 'text/plain' AS mimetype, coalesce(n, 0) AS chunk_count, owner AS user_id FROM corpus c LEFT JOIN n USING (source)")
 def d2_catalog_entries(spark, sf_dir):
     docs = corpus(spark, sf_dir)
-    counts = chunking.chunk_counts(docs, chunking.split_documents(docs, short_cut="skip"))
+    counts = chunking.chunk_counts(docs, chunking.split_documents(docs))
     return documents.catalog_entries(docs.select("source", F.concat("owner", F.lit("_"), "source").alias("filename"), F.length("content").alias("size_bytes"), F.col("owner").alias("user_id")), counts)
 
 
@@ -547,11 +634,15 @@ def d5_delete_sessions(spark, sf_dir):
     return documents.delete_sessions(messages, messages.where("role = 'system'")).groupBy("conv_id").agg(F.count("*").alias("n"))
 
 
-@registered("SELECT conv_id, conv_id || ':' || turn AS message_id, text, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_fragments FROM conversations")
+@registered("SELECT conv_id, conv_id || ':' || turn AS message_id, text, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_fragments, CASE WHEN role = 'assistant' THEN '[' || turn || ']' END AS \"references\", turn % 2 = 0 AS done FROM conversations")
 def d6_assemble_messages(spark, sf_dir):
-    words = table(spark, sf_dir, "conversations").select("conv_id", F.concat("conv_id", F.lit(":"), "turn").alias("message_id"), F.posexplode(F.split("text", " ")).alias("seq", "word"))
-    fragments = words.select("conv_id", "message_id", "seq", F.when(F.col("seq") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word")).alias("text"))
-    return documents.assemble_messages(fragments)
+    """Words arrive as fragments; assistants' messages lead with references, every other one is closed."""
+    m = table(spark, sf_dir, "conversations").withColumn("message_id", F.concat("conv_id", F.lit(":"), "turn"))
+    words = m.select("conv_id", "message_id", F.posexplode(F.split("text", " ")).alias("seq", "word"))
+    text = words.select("conv_id", "message_id", "seq", F.when(F.col("seq") == 0, F.col("word")).otherwise(F.concat(F.lit(" "), "word")).alias("text"), F.lit("text").alias("kind"))
+    cited = m.where("role = 'assistant'").select("conv_id", "message_id", F.lit(0).alias("seq"), F.concat(F.lit("["), "turn", F.lit("]")).alias("text"), F.lit("references").alias("kind"))
+    closed = m.where("turn % 2 = 0").select("conv_id", "message_id", F.lit(1 << 30).alias("seq"), F.lit(None).cast("string").alias("text"), F.lit("done").alias("kind"))
+    return documents.assemble_messages(text.unionByName(cited).unionByName(closed))
 
 
 @registered(f"WITH {_CAT} SELECT id, filename FROM cat WHERE contains(lower(filename), 'rc1_')")
@@ -579,6 +670,5 @@ def s2_decode_text(spark, sf_dir):
 
 @registered(f"WITH {_MAN} SELECT path, hash, chunks_count FROM man")
 def s8_manifest_json(spark, sf_dir):
-    """Every entry goes out as JSON and is read back."""
-    one = _manifest(spark, sf_dir).select(F.to_json(F.struct(F.lit("1.0").alias("version"), F.create_map("path", F.struct("hash", "chunks_count")).alias("files"))).alias("value"))
-    return manifest.read_manifest(one)
+    """Every entry goes out as a JSON line and is read back."""
+    return manifest.read_manifest(manifest.manifest_lines(_manifest(spark, sf_dir)))
