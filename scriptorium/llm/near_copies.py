@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .common import components, materialise, slices
-from .line_align import _frequent_beyond
+from .line_align import FEW_ROWS, MOST_FREQUENT
 
 #: Words of a shingle; similarity as a fraction.
 WIDTH = 5
@@ -36,7 +36,7 @@ BLOCK = 256
 #: At most so many digests are broadcast to find their texts; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 #: Rounds in which a text is compared with one pivot only, before all pairs that are still apart.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 #: Internal columns; a document table never has them.
 _DIGEST, _GONE_ID = "__scriptorium_digest", "__scriptorium_gone"
 
@@ -100,17 +100,19 @@ def _fits(one: str, two: str) -> Column:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block's members that are of different classes and whose sizes allow the similarity."""
-    for batch in batches:
+    for batch in slices(batches):
         members = batch.column("members")
-        flat = members.flatten()
-        digests, sizes, labels = (flat.field(k).to_numpy() for k in range(3))
-        ends = members.offsets.to_numpy() - members.offsets[0].as_py()
-        for a, b in zip(ends, ends[1:]):
-            d, n, label = digests[a:b], sizes[a:b].astype(np.int64), labels[a:b]
-            fits = np.triu((label[:, None] != label[None, :]) & (WHOLE * np.minimum.outer(n, n) >= PART * np.maximum.outer(n, n)), 1)
-            one, two = np.nonzero(fits)
-            if len(one):
-                yield pa.record_batch([pa.array(np.minimum(d[one], d[two])), pa.array(np.maximum(d[one], d[two]))], names=["a", "b"])
+        flat, lengths = members.flatten(), np.diff(members.offsets.to_numpy())
+        digest, n, label = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(digest))  # members from each to its block's end
+        here = np.arange(len(digest))
+        for gap in range(1, int(lengths.max(initial=0))):
+            one = here = here[left[here] > gap]
+            two = one + gap
+            fits = (label[one] != label[two]) & (WHOLE * np.minimum(n[one], n[two]) >= PART * np.maximum(n[one], n[two]))
+            x, y = digest[one[fits]], digest[two[fits]]
+            if len(x):
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -128,12 +130,11 @@ def _alike(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
-    """The pairs with the text of one side; a side in many pairs is dealt into parts."""
-    limit = _frequent_beyond(pairs)
+def _with_text(rows: DataFrame, pairs: DataFrame, texts: DataFrame, side: str, other: str, limit: int) -> DataFrame:
+    """Rows of the pairs with the text of one side; a side in more than `limit` pairs is dealt into parts."""
     many = pairs.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    parts = F.broadcast(materialise(many.select(side, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "parts"))
-    dealt = pairs.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts"), F.lit(0)).cast("int")).drop("parts")
+    parts = F.broadcast(many.select(side, F.ceil(F.col("n") / limit).cast("int").alias("parts")))  # fewer than MOST_FREQUENT rows
+    dealt = rows.join(parts, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), "parts"), F.lit(0)).cast("int")).drop("parts")
     named = texts.select(F.col("digest").alias(side), F.col("text").alias(f"of_{side}"))
     repeated = named.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     return dealt.join(repeated, [side, "part"]).drop("part")
@@ -141,11 +142,13 @@ def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> Dat
 
 def _checked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """Those of the written pairs (a, b) whose whole sets are similar enough."""
-    wanted = materialise(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct(), "wanted")
-    if wanted.count() <= MOST_BROADCAST:
+    count = pairs.count()
+    limit = max(FEW_ROWS, count // MOST_FREQUENT)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    if count <= MOST_BROADCAST // 2:
         wanted = F.broadcast(wanted)
     held = materialise(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidates")
-    both = _with_text(materialise(_with_text(pairs, held, "b", "a"), "half"), held, "a", "b")
+    both = _with_text(_with_text(pairs, pairs, held, "b", "a", limit), pairs, held, "a", "b", limit)
     return materialise(both.select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(lambda it: _alike(it, width), "a long, b long"), "alike")
 
 
