@@ -8,7 +8,9 @@ prefix filtering completes the links exactly: two sets as similar as that share
 n - ceil(4n/5) + 1 of n. The order puts shingles that a sample finds frequent last, which
 keeps buckets small. In every round each text is compared with the one it shares most
 buckets with among the pivots of buckets that still hold several classes; what is still
-apart after PIVOT_ROUNDS is compared in full, in blocks. Only whole sets decide.
+apart after PIVOT_ROUNDS is compared in full, in blocks. The place of a shared shingle
+bounds what two sets can have in common, which drops the buckets of frequent passages, as
+these stand last. Only whole sets decide.
 """
 
 from __future__ import annotations
@@ -93,23 +95,32 @@ def _common(texts: DataFrame, width: int) -> np.ndarray:
     return np.array(sorted({*rows["h"].tolist(), (1 << 63) - 1}), dtype=np.int64)
 
 
-def _fits(one: str, two: str) -> Column:
+def _fits(n: str, m: str) -> Column:
     """Whether two sets of these sizes can be similar enough."""
-    return WHOLE * F.least(one, two) >= PART * F.greatest(one, two)
+    return WHOLE * F.least(n, m) >= PART * F.greatest(n, m)
+
+
+def _reach(n: str, at: str, m: str, other: str) -> Column:
+    """Whether sets of n and m can be similar enough if the first shingle they share stands at these places.
+
+    They then share no more than what follows in either, and must share PART / (PART + WHOLE)
+    of both sizes together. A pair passes at its first common shingle, so none is missed.
+    """
+    return (PART + WHOLE) * F.least(F.col(n) - F.col(at), F.col(m) - F.col(other)) >= PART * (F.col(n) + F.col(m))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's members that are of different classes and whose sizes allow the similarity."""
+    """Pairs of a block's members that are of different classes and may reach the similarity (see _reach)."""
     for batch in slices(batches):
         members = batch.column("members")
         flat, lengths = members.flatten(), np.diff(members.offsets.to_numpy())
-        digest, n, label = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+        digest, n, at, label = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(digest))  # members from each to its block's end
         here = np.arange(len(digest))
         for gap in range(1, int(lengths.max(initial=0))):
             one = here = here[left[here] > gap]
             two = one + gap
-            fits = (label[one] != label[two]) & (WHOLE * np.minimum(n[one], n[two]) >= PART * np.maximum(n[one], n[two]))
+            fits = (label[one] != label[two]) & ((PART + WHOLE) * np.minimum((n - at)[one], (n - at)[two]) >= PART * (n[one] + n[two]))
             x, y = digest[one[fits]], digest[two[fits]]
             if len(x):
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -167,30 +178,32 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     tried = materialise(_fingerprint_pairs(keys), "met")
     edges = _checked(tried, texts, width)
-    filed = keys.select(F.explode("prefix").alias("key"), "digest", "n")
-    several = filed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    filed = keys.select("digest", "n", F.posexplode("prefix").alias("at", "key"))
+    # of two sets the smaller has the first common shingle in its first ninth, or _reach fails
+    leads = F.max((F.col("at") * (PART + WHOLE) <= F.col("n") * (WHOLE - PART)).cast("int"))
+    several = filed.groupBy("key").agg(F.count("*").alias("held"), leads.alias("leads")).where("held > 1 AND leads = 1").select("key")
     held = materialise(filed.join(several, "key"), "shared")
     for turn in range(PIVOT_ROUNDS + 1):
         label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
-        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)), "digest", "n", "label"))
+        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)), "digest", "n", "at", "label"))
         apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), pivot.alias("pivot")).where("least < most")
         met = materialise(named.join(apart.select("key", "n_held", "pivot"), "key"), "apart")
         if not met.limit(1).count():
             break
         if turn < PIVOT_ROUNDS:
-            other = met.where((F.col("label") != F.col("pivot.label")) & _fits("n", "pivot.n"))
+            other = met.where((F.col("label") != F.col("pivot.label")) & _reach("n", "at", "pivot.n", "pivot.at"))
             pairs = other.groupBy(F.least("digest", "pivot.digest").alias("a"), F.greatest("digest", "pivot.digest").alias("b"), "digest").agg(F.count("*").alias("times"))
             fresh = pairs.join(tried, ["a", "b"], "left_anti").groupBy("digest").agg(F.max(F.struct("times", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
         else:
             blocks = F.ceil(F.col("n_held") / BLOCK).cast("int")
             dealt = met.withColumn("mine", F.pmod(F.xxhash64("digest"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            rows = dealt.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("digest", "n", "label")).alias("members"))
+            rows = dealt.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("digest", "n", "at", "label")).alias("members"))
             fresh = rows.where("size(members) > 1").select("members").mapInArrow(_met, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "met")
         tried = tried.unionByName(fresh)
         edges = edges.unionByName(_checked(fresh, texts, width))
-        held = met.select("key", "digest", "n")
+        held = met.select("key", "digest", "n", "at")
     return edges
 
 
