@@ -38,7 +38,7 @@ BLOCK = 256
 #: At most so many digests are broadcast to find their texts; more are joined by shuffle.
 MOST_BROADCAST = 1_000_000
 #: Rounds in which a text is compared with one pivot only, before all pairs that are still apart.
-PIVOT_ROUNDS = 1
+PIVOT_ROUNDS = 3
 #: Internal columns; a document table never has them.
 _DIGEST, _GONE_ID = "__scriptorium_digest", "__scriptorium_gone"
 
