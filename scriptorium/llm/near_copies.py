@@ -186,7 +186,9 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     for turn in range(PIVOT_ROUNDS + 1):
         label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
-        pivot = F.min(F.struct(F.xxhash64("label", F.lit(turn)), "digest", "n", "at", "label"))
+        # first the member with least before the shingle, as an unchanged original has; then any class's
+        rank = F.col("at") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
+        pivot = F.min(F.struct(rank.alias("rank"), "digest", "n", "at", "label"))
         apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), pivot.alias("pivot")).where("least < most")
         met = materialise(named.join(apart.select("key", "n_held", "pivot"), "key"), "apart")
         if not met.limit(1).count():
