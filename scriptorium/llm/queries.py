@@ -102,13 +102,23 @@ _SHOWN = r"^[ \t]*(On|Le|Am|El)\b.*(wrote|écrit|schrieb|escribió)[ \t]*:[ \t]*
 ORACLES: dict[str, str] = {
     "op4_quote_threads": rf"""
 WITH RECURSIVE m AS (SELECT DISTINCT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations),
-lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM m),
-lv AS (SELECT conv_id, turn, length(regexp_replace(regexp_extract(line, '{_PREFIX}', 1), '[^>]', '', 'g')) AS level,
+nm AS (SELECT row_number() OVER () AS id, * FROM m),
+lines AS (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM nm),
+lv AS (SELECT id, conv_id, turn, pos, length(regexp_replace(regexp_extract(line, '{_PREFIX}', 1), '[^>]', '', 'g')) AS level,
        lower(trim(regexp_replace(regexp_replace(line, '{_PREFIX}', ''), '\s+', ' ', 'g'))) AS line FROM lines),
+edge AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY id ORDER BY pos) THEN 1 ELSE 0 END AS opens FROM lv),
+run AS (SELECT *, sum(opens) OVER (PARTITION BY id ORDER BY pos) AS run FROM edge),
+quoted AS (SELECT id, conv_id, turn, level, run, string_agg(line, ' ' ORDER BY pos) AS passage FROM run
+           WHERE level > 0 AND line <> '' GROUP BY id, conv_id, turn, level, run),
+text AS (SELECT conv_id, turn, string_agg(line, ' ' ORDER BY pos) AS own FROM lv WHERE level = 0 AND line <> '' GROUP BY id, conv_id, turn),
+known AS (SELECT q.id, q.conv_id, q.turn, q.level, q.run, q.passage, min(t.turn) AS source FROM quoted q JOIN text t
+          ON q.conv_id = t.conv_id AND t.turn < q.turn AND contains(' ' || own || ' ', ' ' || passage || ' ')
+          WHERE len(string_split(passage, ' ')) >= 5 GROUP BY ALL),
 own AS (SELECT conv_id, line, min(turn) AS source FROM lv WHERE level = 0 AND line <> '' GROUP BY conv_id, line),
-hit AS (SELECT q.conv_id, q.turn, q.level, o.source, sum(length(q.line)) AS chars
-        FROM lv q JOIN own o ON q.conv_id = o.conv_id AND q.line = o.line
-        WHERE q.level > 0 AND q.line <> '' AND o.source < q.turn GROUP BY ALL),
+hit AS (SELECT conv_id, turn, level, source, sum(chars) AS chars FROM (
+          SELECT conv_id, turn, level, source, length(passage) AS chars FROM known UNION ALL
+          SELECT q.conv_id, q.turn, q.level, o.source, length(q.line) FROM run q ANTI JOIN known USING (id, run) JOIN own o ON q.conv_id = o.conv_id AND q.line = o.line
+          WHERE q.level > 0 AND q.line <> '' AND o.source < q.turn) GROUP BY ALL),
 parent AS (SELECT conv_id, turn, source AS reply_to FROM hit
            QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, chars DESC, source DESC) = 1),
 up AS (SELECT conv_id, turn, reply_to AS root FROM parent

@@ -1,8 +1,9 @@
 """Conversations without quotes, ordered by what each message answers.
 
-Quote levels are the leading > signs of a line. Quoted lines are normalised, hashed and
-joined to the earliest message of the conversation that has the line as its own text; a
-message answers the source of most of its outermost linked quotes.
+Quote levels are the leading > signs of a line. Consecutive quoted lines of one level make a
+passage, which is normalised, hashed in windows of words and joined to the earliest message
+of the conversation whose own text holds it; a message answers the source of most of its
+outermost linked quotes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Words of a window; shorter passages are linked as whole lines only.
+WINDOW = 5
 _PREFIX = r"^[ \t]*((?:>[ \t]?)+)"
 _ATTRIBUTION = r"^[ \t]*(On|Le|Am|El)\b.*(wrote|écrit|schrieb|escribió)[ \t]*:[ \t]*$"
 
@@ -39,14 +42,66 @@ def without_quotes(text: Column) -> Column:
     return F.transform(F.array(F.split(text, "\n")), keep)[0]
 
 
+def _runs(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, row, place, level, lines, passage): maximal runs of lines of one quote level.
+
+    A passage is its lines, normalised and joined by blanks, so other line breaks and blank
+    quoted lines make no difference.
+    """
+    coded = F.transform(F.split("text", "\n"), lambda line: F.struct(quote_level(line).alias("level"), normalise_line(line).alias("line")))
+    rows = messages.where("text IS NOT NULL").select("conv_id", "turn", F.xxhash64("role", "text").alias("row"), coded.alias("all"))
+    level = lambda i: F.get("all", i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: (i == 0) | (level(i) != level(i - 1)))
+    rows = rows.withColumn("starts", starts)
+
+    def run(start: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("starts", k + 1), F.size("all"))
+        lines = F.transform(F.slice("all", start + 1, end - start), lambda x: x["line"])
+        return F.struct(level(start).alias("level"), F.filter(lines, lambda line: line != "").alias("lines"))
+
+    found = rows.select("conv_id", "turn", "row", F.posexplode(F.transform("starts", run)).alias("place", "run"))
+    return found.select("conv_id", "turn", "row", "place", "run.level", "run.lines", F.array_join("run.lines", " ").alias("passage")).where("passage <> ''")
+
+
+def _windows(text: Column) -> Column:
+    """Hashes of a text's distinct windows of WINDOW words; none if it has fewer."""
+    words = F.split(text, " ")
+    at = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - WINDOW + 1))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " "))))
+
+
+def _passage_sources(quoted: DataFrame, own: DataFrame) -> DataFrame:
+    """(conv_id, passage, source): the first message whose own text holds a quoted passage.
+
+    The window of a passage that the fewest texts hold brings its candidates; the texts
+    themselves decide. A passage with a window that no text holds has none.
+    """
+    asked = quoted.select("conv_id", "passage").distinct().select("conv_id", "passage", _windows(F.col("passage")).alias("windows")).where("size(windows) > 0")
+    texts = own.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id", "text").agg(F.min("turn").alias("source")).withColumn("key", F.xxhash64("text"))
+    filed = materialise(texts.select("conv_id", "key", F.explode(_windows(F.col("text"))).alias("window")), "windows")
+    holders = filed.groupBy("conv_id", "window").agg(F.count("*").alias("holders"))
+    met = asked.select("conv_id", "passage", F.size("windows").alias("n"), F.explode("windows").alias("window")).join(holders, ["conv_id", "window"])
+    rarest = met.groupBy("conv_id", "passage", "n").agg(F.count("*").alias("held"), F.min(F.struct("holders", "window")).alias("least")).where("held = n")
+    near = rarest.select("conv_id", "passage", F.col("least.window").alias("window")).join(filed, ["conv_id", "window"]).join(texts, ["conv_id", "key"])
+    holds = F.concat(F.lit(" "), "text", F.lit(" ")).contains(F.concat(F.lit(" "), "passage", F.lit(" ")))
+    return near.where(holds).groupBy("conv_id", "passage").agg(F.min("source").alias("source"))
+
+
 def quote_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, source, chars): sources of quoted lines, by message and level."""
-    lines = messages.select("conv_id", "turn", F.explode(F.split("text", "\n")).alias("line")).select("conv_id", "turn", quote_level(F.col("line")).alias("level"), normalise_line(F.col("line")).alias("line")).where("line <> ''")
-    keyed = lines.withColumn("key", F.xxhash64("line"))
-    quoted = keyed.where("level > 0").groupBy("conv_id", "turn", "level", "key", "line").agg(F.count("*").alias("n"))
-    own = keyed.where("level = 0").groupBy("conv_id", "key", "line").agg(F.min("turn").alias("source"))
-    met = quoted.join(own, ["conv_id", "key", "line"]).where("source < turn")
-    return met.groupBy("conv_id", "turn", "level", "source").agg(F.sum(F.length("line") * F.col("n")).alias("chars"))
+    """(conv_id, turn, level, source, chars): sources of quoted passages, by message and level.
+
+    A passage of WINDOW words or more belongs to the first message whose own text holds it,
+    wherever its lines break; of what is left, shorter ones included, whole lines are linked.
+    """
+    runs = materialise(_runs(messages), "runs")
+    quoted = runs.where("level > 0")
+    own = runs.where("level = 0").groupBy("conv_id", "turn", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "passage"))), lambda x: x["passage"]), " ").alias("text"))
+    known = quoted.drop("row", "place").join(_passage_sources(quoted, own), ["conv_id", "passage"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    whole = known.where("source IS NOT NULL").select("conv_id", "turn", "level", "source", F.length("passage").alias("chars"))
+    lines = known.where("source IS NULL").select("conv_id", "turn", "level", F.explode("lines").alias("line")).groupBy("conv_id", "turn", "level", "line").agg(F.count("*").alias("n"))
+    first = runs.where("level = 0").select("conv_id", "turn", F.explode("lines").alias("line")).groupBy("conv_id", "line").agg(F.min("turn").alias("source"))
+    single = lines.join(first, ["conv_id", "line"]).where("source < turn").select("conv_id", "turn", "level", "source", (F.length("line") * F.col("n")).alias("chars"))
+    return whole.unionByName(single).groupBy("conv_id", "turn", "level", "source").agg(F.sum("chars").alias("chars"))
 
 
 def reply_parents(messages: DataFrame) -> DataFrame:

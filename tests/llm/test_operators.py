@@ -338,6 +338,45 @@ def test_quote_threads(spark):
     assert got[1, 2]["text"] == "And now?" and got[1, 3]["text"] == "Reply" and got[2, 0]["text"] == "other" and got[2, 0]["reply_to"] is None
 
 
+def test_quoted_passages_against_the_oracle(spark):
+    import duckdb
+
+    from scriptorium.llm.queries import ORACLES
+
+    first = "The quick brown fox jumps over the lazy dog and then it\nsleeps in the warm sun until the evening comes"
+    other = "nothing of this is said\nby anyone else in here"
+    data = [
+        (1, 0, "user", first),
+        (1, 1, "assistant", other),
+        (1, 2, "user", "> jumps over the\n> lazy dog and then it sleeps\n>\n> in the warm\nwhy"),  # wrapped anew, cut in lines
+        (1, 3, "assistant", "> of this is said by\n> > jumps over the lazy dog and\nanswer"),
+        (1, 4, "user", "> why\n> by anyone else in here\n> not a line of anyone at all\nlines only"),
+        (1, 5, "user", "> lazy dog and cat then it\nno source"),
+        (1, 6, "user", "> said by anyone else in here and nowhere\n"),
+        (1, 7, None, ""),
+        (5, 0, "user", "one two three\nsix"),
+        (5, 0, "assistant", "four five six"),
+        (5, 1, "user", "> one two three four five six"),
+        (2, 0, "user", "> the quick brown fox jumps\nother conversation"),
+        (None, 1, "user", first),
+        (None, 2, "user", "> the quick brown fox jumps"),
+        (3, None, "user", "> the quick brown fox jumps"),
+    ]
+    rng = random.Random(2)
+    for turn in range(40):  # many near misses: few words, repeated
+        data.append((4, turn, "user", "\n".join(rng.choice(["", "> ", ">> "]) + " ".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6)))))
+    conversations = spark.createDataFrame(data, "conv_id long, turn int, role string, text string")
+    got = {tuple(r) for r in quote_threads.reply_ordered(conversations).collect()}
+    db = duckdb.connect()
+    db.register("conversations", conversations.toArrow())
+    assert got == set(db.execute(ORACLES["op4_quote_threads"]).fetchall())
+    to = {(r[0], r[2]): r[5] for r in got}
+    assert [to[1, k] for k in range(7)] == [None, None, 0, 1, 1, None, None]
+    assert to[5, 1] is None
+    assert sum(to[4, k] is not None for k in range(40)) > 5
+    assert quote_threads.reply_ordered(conversations.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
