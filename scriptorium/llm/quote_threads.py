@@ -93,7 +93,8 @@ def quote_links(messages: DataFrame) -> DataFrame:
     A passage of WINDOW words or more belongs to the first message whose own text holds it,
     wherever its lines break; of what is left, shorter ones included, whole lines are linked.
     """
-    runs = materialise(_runs(messages), "runs")
+    quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>")).select("conv_id").distinct()  # no other conversation has links
+    runs = materialise(_runs(messages.join(quoting, "conv_id", "left_semi")), "runs")
     quoted = runs.where("level > 0")
     own = runs.where("level = 0").groupBy("conv_id", "turn", "row").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "passage"))), lambda x: x["passage"]), " ").alias("text"))
     known = quoted.drop("row", "place").join(_passage_sources(quoted, own), ["conv_id", "passage"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
