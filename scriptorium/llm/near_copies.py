@@ -171,20 +171,26 @@ def _fingerprint_pairs(keys: DataFrame) -> DataFrame:
     return named.join(group, "root").where((F.col("digest") != F.col("pivot.digest")) & _fits("n", "pivot.n")).select(F.col("pivot.digest").alias("a"), F.col("digest").alias("b"))
 
 
+def _merged(edges: DataFrame) -> DataFrame:
+    """The components of the edges as stars (a, b) around their smallest members."""
+    return components(edges).where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """Edges (a, b) between digests whose components are those of all similar pairs.
 
+    They are stars: every round merges those of the round before by its new edges only.
     keys(digest, n, fp, prefix) has one row per digest, texts(digest, text) at least one.
     """
     tried = materialise(_fingerprint_pairs(keys), "met")
-    edges = _checked(tried, texts, width)
+    stars = _merged(_checked(tried, texts, width))
     filed = keys.select("digest", "n", F.posexplode("prefix").alias("at", "key"))
     # of two sets the smaller has the first common shingle in its first ninth, or _reach fails
     leads = F.max((F.col("at") * (PART + WHOLE) <= F.col("n") * (WHOLE - PART)).cast("int"))
     several = filed.groupBy("key").agg(F.count("*").alias("held"), leads.alias("leads")).where("held > 1 AND leads = 1").select("key")
     held = materialise(filed.join(several, "key"), "shared")
     for turn in range(PIVOT_ROUNDS + 1):
-        label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
+        label = stars.select(F.col("a").alias("digest"), F.col("b").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
         # first the member with least before the shingle, as an unchanged original has; then any class's
         rank = F.col("at") / F.col("n") if turn == 0 else F.xxhash64("label", F.lit(turn)).cast("double")
@@ -204,9 +210,9 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
             fresh = rows.where("size(members) > 1").select("members").mapInArrow(_met, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
         fresh = materialise(fresh, "met")
         tried = tried.unionByName(fresh)
-        edges = edges.unionByName(_checked(fresh, texts, width))
+        stars = _merged(stars.unionByName(_checked(fresh, texts, width)))
         held = met.select("key", "digest", "n", "at")
-    return edges
+    return stars
 
 
 def near_copy_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
