@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialise, prepare
 from .decision_list import quality_rules
 from .decontam import contamination_report
 from .lang_mixture import identify_languages
 from .line_align import dedup_lines
 from .packing import pack_documents
+from .periodic_runs import periodic_runs, run_digests
 from .preference_quality import score_documents
 from .quote_threads import reply_ordered
 from .simhash import simhash_groups
+from .spelling import count_words, spelling_variants
 from .token_blocks import token_digests
 from .url_filter import filter_urls, host_of, path_of
 
@@ -80,6 +83,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def one_letter_lost(doc_id: int | None, run: bytes) -> bytes:
+    """One run in 199 of a document without one of its letters."""
+    h = zlib.crc32(run, zlib.crc32(b"%d:" % doc_id if doc_id is not None else b":"))
+    if h % 199:
+        return run
+    word = run.decode()
+    at = h % len(word)
+    return (word[:at] + word[at + 1 :]).encode()
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(materialise(count_words(_table(spark, sf_dir, "documents"), one_letter_lost), "words"))
+
+
+def repeated_from_within(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """One document in ten goes on, from some word, with copies of the words that follow there."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(_table(spark, sf_dir, "documents"), repeated_from_within))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_residual_packing,
         op10_decontamination,
+        op12_spelling_variants,
+        op13_periodic_runs,
     )
 }
 
