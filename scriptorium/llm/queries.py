@@ -19,6 +19,7 @@ from .periodic_runs import periodic_runs, run_digests
 from .preference_quality import score_documents
 from .quote_threads import reply_ordered
 from .simhash import simhash_groups
+from .small_world import build_index, search
 from .spelling import count_words, spelling_variants
 from .token_blocks import token_digests
 from .url_filter import filter_urls, host_of, path_of
@@ -83,6 +84,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the rows whose vec_id is divisible by 100."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return search(build_index(rows), rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def one_letter_lost(doc_id: int | None, run: bytes) -> bytes:
     """One run in 199 of a document without one of its letters."""
     h = zlib.crc32(run, zlib.crc32(b"%d:" % doc_id if doc_id is not None else b":"))
@@ -125,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_url_filter,
         op9_residual_packing,
         op10_decontamination,
+        op11_small_world,
         op12_spelling_variants,
         op13_periodic_runs,
     )
