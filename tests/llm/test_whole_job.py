@@ -26,13 +26,13 @@ def planted():
     return list(enumerate([*out, None, "", " "]))
 
 
-@pytest.mark.parametrize("frequent", [1000, 3])
-def test_near_copies_by_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, listed", [(1000, 10**6), (3, 10**6), (3, 1)])
+def test_near_copies_by_brute_force(spark, monkeypatch, frequent, listed):
     import corpus_pipeline
 
     monkeypatch.setattr(near_copies, "BLOCK", 4)
-    monkeypatch.setattr(near_copies, "SAMPLE", 1)
     monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(near_copies, "MOST_COMMON", listed)
     data = planted()
     sets = {i: shingles(t) for i, t in data}
     label = {i: i for i in sets}
@@ -45,6 +45,50 @@ def test_near_copies_by_brute_force(spark, monkeypatch, frequent):
     assert len(pairs) > 50
 
 
+@pytest.mark.parametrize("frequent, listed", [(16, 10**6), (16, 1), (10**6, 1)])
+def test_common_passage_makes_few_candidates(spark, monkeypatch, frequent, listed):
+    """Texts that share a passage, none of them a copy, whatever the list of frequent shingles holds."""
+    made = []
+
+    def counting(df, name, codec="zstd"):
+        out = near_copies_materialise(df, name, codec)
+        made.extend([out.count()] if name in ("met", "candidates") else [])
+        return out
+
+    near_copies_materialise = near_copies.materialise
+    monkeypatch.setattr(near_copies, "materialise", counting)
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    monkeypatch.setattr(near_copies, "MOST_COMMON", listed)
+    passage = words_of("shared", 60)
+    data = [(k, f"{words_of(f'a{k}', 70)} {passage} {words_of(f'b{k}', 70)}") for k in range(300)]
+    kept = near_copies.keep_one_of_each_group(spark.createDataFrame(data, "doc_id long, text string").repartition(4))
+    assert kept.count() == 300 and sum(made) < 10 * 300
+
+
+def test_one_of_repeated_and_nameless_rows_stays(spark):
+    long, other = words_of("l", 50), words_of("o", 50)
+    data = [(1, long), (1, long), (None, long), (2, long + " end"), (None, other), (None, other), (3, "x"), (3, "y"), (None, None), (4, ""), (4, " ")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS kept", "3 AS rows")
+    kept = near_copies.keep_one_of_each_group(frame)
+    assert kept.columns == frame.columns
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect())
+    assert got[:5] == sorted([(1, long), (0, other), (3, "x"), (3, "y"), (4, got[4][1])]) and len(got) == 5 and not got[4][1].strip()
+    assert near_copies.keep_one_of_each_group(frame.where("false")).collect() == []
+
+
+def test_parity_bits_never_lose_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(400):
+        whole = np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 700)))
+        other = np.unique(np.concatenate([whole[rng.random(len(whole)) > rng.choice([0.0, 0.05, 0.1, 0.3])], rng.integers(-(2**62), 2**62, rng.integers(0, 60))]))
+        common = len(np.intersect1d(whole, other))
+        n = np.array([len(whole), len(other)])
+        ok = near_copies.differ_little([near_copies.parity_bits(whole), near_copies.parity_bits(other)], n, np.array([0]), np.array([1]))[0]
+        assert ok or 5 * common < 4 * (n.sum() - common)
+
+
 def words_of(tag, n):
     return " ".join(f"{tag}x{k}" for k in range(n))
 
