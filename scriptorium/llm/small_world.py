@@ -21,6 +21,8 @@ from .common import materialise
 SHARD_NODES, BLOCK_QUERIES = 8192, 4096
 #: Links of a node in an upper layer (twice that in the lowest), and nodes kept in view while building and searching.
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 160
+#: Tasks that build shards, at most.
+MOST_TASKS = 10_000
 #: Rows inserted or searched at once, and nodes opened in one step of a search.
 AT_ONCE, OPENED = 256, 4
 #: Rows that equal vectors show at most, and so one more than the most neighbours that a query can ask for.
@@ -238,6 +240,8 @@ def build_index(rows: DataFrame, shard_nodes: int = SHARD_NODES) -> dict[str, Da
     nodes = materialise(nodes, "nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_nodes).alias("shards"))
     dealt = nodes.join(shards, "dim").select("dim", F.pmod(F.xxhash64("node", F.lit(11)), "shards").cast("int").alias("shard"), "node", "vec")
+    tasks = min(MOST_TASKS, max(1, -(-nodes.count() // shard_nodes)))  # small rows, long work: a shard a task
+    dealt = dealt.repartition(tasks, "dim", "shard")
     return {"nodes": nodes, "graphs": materialise(dealt.groupBy("dim", "shard").applyInArrow(_built, _GRAPH), "graphs")}
 
 
