@@ -51,7 +51,16 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later result reads."""
+    for df in tables:
+        jvm = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        jvm.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, materialise, slices
+from .common import components, discard, materialise, slices
 from .line_align import FEW_ROWS, MOST_FREQUENT
 
 #: Words of a shingle; similarity as a fraction.
@@ -36,6 +36,8 @@ PART, WHOLE = 4, 5
 FREQUENT = 16
 #: At most so many frequent shingles are sent to every task; more are joined to the texts by shuffle.
 MOST_COMMON = 1_000_000
+#: Letters of text whose shingles are counted in one task.
+LETTERS_OF_PART = 16_000_000
 #: Members of a bucket in one block; blocks are compared in pairs.
 BLOCK = 256
 #: At most so many digests are broadcast to find their texts; more are joined by shuffle.
@@ -70,13 +72,53 @@ def digest_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
+def short_of(s: np.ndarray) -> np.ndarray:
+    """The first 40 bits of hashes, by which they are counted; those that share them share a place in the order by counts."""
+    return (s.view(np.uint64) >> np.uint64(24)).astype(np.int64)
+
+
 def _shingles(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
+        sets = [np.unique(short_of(shingle_set(t, width))) for t in batch.column("text").to_pylist()]
         digest = np.repeat(batch.column("digest").to_numpy(), [len(x) for x in sets])
         yield pa.record_batch([pa.array(digest), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sets]))], names=["digest", "h"])
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Small integers as compressed bytes."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, n).T.copy().view("<u8").ravel().astype(np.int64)
+
+
+def _counts(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """How many texts of a batch hold each short hash, packed by part: sorted hashes as differences, and counts."""
+    for batch in slices(batches, 2000):
+        held = [np.unique(short_of(shingle_set(t, width))) for t in batch.column("text").to_pylist()]
+        h, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *held]), return_counts=True)
+        part = h % parts
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, order[ends[p] : ends[p + 1]]) for p in range(parts) if ends[p] < ends[p + 1]]
+        columns = [pa.array([p for p, _ in rows], pa.int32()), pa.array([len(at) for _, at in rows], pa.int32()), *(pa.array([_squeezed(f(at)) for _, at in rows], pa.binary()) for f in (lambda at: np.diff(h[at] // parts, prepend=0), lambda at: n[at]))]
+        yield pa.record_batch(columns, names=["part", "size", "hashes", "held"])
+
+
+def _frequent(table: pa.Table, parts: int) -> pa.Table:
+    """The hashes of one part that FREQUENT texts or more hold, with their counts."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("size", "hashes", "held"))))
+    h = np.concatenate([np.cumsum(_restored(x, n)) for n, x, _ in rows])
+    held = np.concatenate([_restored(x, n) for n, _, x in rows])
+    order = np.argsort(h, kind="stable")
+    h, held = h[order], held[order]
+    first = np.flatnonzero(np.diff(h, prepend=-1))
+    total = np.add.reduceat(held, first)
+    often = total >= FREQUENT
+    return pa.table([pa.array(h[first[often]] * parts + table.column("part")[0].as_py()), pa.array(total[often])], names=["h", "held"])
+
+
 def parity_bits(s: np.ndarray) -> bytes:
     """A bit for each hash modulo a power of two, at least the size of the set: whether an odd number of hashes fall on it."""
     size = max(64, 1 << max(0, len(s) - 1).bit_length())
@@ -107,11 +149,12 @@ def differ_little(bits: list[bytes], n: np.ndarray, one: np.ndarray, two: np.nda
 
 
 def prefix_of(s: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first hashes of a set in the order of all: rare ones by hash, then common (sorted) ones by count and hash."""
+    """The first hashes of a set in the order of all: rare ones by hash, then those whose short hash is common (sorted) by count and hash."""
     if not len(s):
         return s
-    slot = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-    last = common[slot] == s if len(common) else np.zeros(len(s), dtype=bool)
+    short = short_of(s)
+    slot = np.minimum(np.searchsorted(common, short), max(0, len(common) - 1))
+    last = common[slot] == short if len(common) else np.zeros(len(s), dtype=bool)
     take = len(s) + PART * len(s) // -WHOLE + 1
     rare = s[~last][:take]
     ends = s[last][np.argsort(counts[slot[last]], kind="stable")] if len(common) else s[:0]
@@ -137,14 +180,17 @@ def _prefixes(batches: Iterator[pa.RecordBatch], common: tuple[np.ndarray, np.nd
 
 def _with_prefixes(plain: DataFrame, width: int) -> DataFrame:
     """(doc_id, digest, n, fp, prefix, bits) of every row, in the order by counts over all rows."""
-    shingles = plain.mapInArrow(lambda it: _shingles(it, width), "digest long, h long")
-    common = materialise(shingles.groupBy("h").agg(F.count("*").alias("held")).where(F.col("held") >= FREQUENT), "common")
+    letters = plain.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-letters // LETTERS_OF_PART))
+    counts = plain.mapInArrow(lambda it: _counts(it, width, parts), "part int, size int, hashes binary, held binary")
+    common = materialise(counts.groupBy("part").applyInArrow(lambda t: _frequent(t, parts), "h long, held long"), "common")
     schema = "doc_id long, digest long, n int, fp long, prefix array<long>, bits binary"
     if common.count() <= MOST_COMMON:
         seen = common.orderBy("h").toPandas()
         order = (seen["h"].to_numpy(dtype=np.int64), seen["held"].to_numpy(dtype=np.int64))
         shared = plain.sparkSession.sparkContext.broadcast(order)
         return plain.mapInArrow(lambda it: _prefixes(it, shared.value, width), schema)
+    shingles = plain.mapInArrow(lambda it: _shingles(it, width), "digest long, h long")
     of_text = shingles.distinct().join(common, "h").groupBy("digest").agg(F.collect_list(F.struct("h", "held")).alias("common"))
     return plain.join(of_text, "digest", "left").select("doc_id", "digest", "text", "common").mapInArrow(lambda it: _prefixes(it, None, width), schema)
 
@@ -231,7 +277,9 @@ def _checked(pairs: DataFrame, texts: DataFrame, width: int, keys: DataFrame | N
         wanted = F.broadcast(wanted)
     held = materialise(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")), "candidates")
     both = _with_text(_with_text(pairs, pairs, held, "b", "a", limit), pairs, held, "a", "b", limit)
-    return materialise(both.select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(lambda it: _alike(it, width), "a long, b long"), "alike")
+    alike = materialise(both.select("a", "b", "of_a", "of_b").sortWithinPartitions("a").mapInArrow(lambda it: _alike(it, width), "a long, b long"), "alike")
+    discard(held)
+    return alike
 
 
 def _fingerprint_pairs(keys: DataFrame) -> DataFrame:
@@ -253,7 +301,7 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
     # of two sets the smaller has the first common shingle in its first ninth, or _reach fails
     leads = F.max((F.col("at") * (PART + WHOLE) <= F.col("n") * (WHOLE - PART)).cast("int"))
     several = filed.groupBy("key").agg(F.count("*").alias("held"), leads.alias("leads")).where("held > 1 AND leads = 1").select("key")
-    held = materialise(filed.join(several, "key"), "shared")
+    held = before = materialise(filed.join(several, "key"), "shared")
     for turn in range(PIVOT_ROUNDS + 1):
         label = components(edges).select(F.col("node").alias("digest"), F.col("root").alias("label"))
         named = materialise(held.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "labelled")
@@ -262,6 +310,7 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
         pivot = F.min(F.struct(rank.alias("rank"), "digest", "n", "at", "label"))
         apart = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n_held"), pivot.alias("pivot")).where("least < most")
         met = materialise(named.join(apart.select("key", "n_held", "pivot"), "key"), "apart")
+        discard(named, before)
         if not met.limit(1).count():
             break
         if turn < PIVOT_ROUNDS:
@@ -277,7 +326,7 @@ def links(keys: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFrame:
         fresh = materialise(fresh, "met")
         tried = tried.unionByName(fresh)
         edges = edges.unionByName(_checked(fresh, texts, width, keys if turn < PIVOT_ROUNDS else None))
-        held = met.select("key", "digest", "n", "at")
+        held, before = met.select("key", "digest", "n", "at"), met
     return edges
 
 
