@@ -289,7 +289,7 @@ SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, score FROM rank
 
 @registered(f"WITH {chunks_sql(False)}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def k1_bm25_index(spark, sf_dir):
-    return bm25.keyword_index(chunk_table(spark, sf_dir))["terms"].withColumn("idf", F.round("idf", 6))
+    return bm25.keyword_index(chunk_table(spark, sf_dir))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @registered(f"WITH {chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES} SELECT query_id, source, chunk_index, score FROM scores")

@@ -23,14 +23,6 @@ def candidate_depth(k: int, rerank: bool = False) -> tuple[int, int]:
     return fetch, 3 * fetch
 
 
-def _tenant(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Only hits that the query's user may see."""
-    if "user_id" not in queries.columns or "user_id" not in chunks.columns:
-        return hits
-    owned = hits.join(queries.select("query_id", F.col("user_id").alias("asking")), "query_id").join(chunks.select(*KEY, F.col("user_id").alias("owner")), KEY)
-    return owned.where("asking IS NULL OR asking = '' OR asking = owner").drop("asking", "owner")
-
-
 def _of_source(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Hits from the source that the query asks for, if it does."""
     if "source_filter" not in queries.columns:
@@ -41,8 +33,7 @@ def _of_source(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
 def search_rrf(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, rrf_k: int = 60, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Reciprocal-rank fusion of the 2k best by keyword and by vector; ranks precede the source filter."""
-    scores = _tenant(bm25_scores(queries, index or chunks).withColumn("score", F.round("score", 6)), queries, chunks)
-    words = rank_hits(scores, 2 * k).where("score > 0").select("query_id", "rank", *KEY)
+    words = bm25_topk(queries, index or chunks, 2 * k).select("query_id", "rank", *KEY)
     near = vector_topk(queries, vectors, 2 * k).select("query_id", "rank", *KEY)
     fused = _of_source(words.unionByName(near), queries).groupBy("query_id", *KEY).agg(F.round(F.sum(rrf_score(F.col("rank"), rrf_k)), 6).alias("score"))
     return rank_hits(fused, k).select("query_id", "rank", *KEY, "score")
@@ -69,9 +60,7 @@ def search_weighted(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k
 
 def bm25_fallback(queries: DataFrame, chunks: DataFrame, found: DataFrame, k: int, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Keyword hits of the queries that have no row in found."""
-    left = queries.join(found.select("query_id").distinct(), "query_id", "left_anti")
-    scores = _tenant(bm25_scores(left, index or chunks).withColumn("score", F.round("score", 6)), queries, chunks)
-    return rank_hits(scores, k).where("score > 0").select("query_id", "rank", *KEY, "score")
+    return bm25_topk(queries.join(found.select("query_id").distinct(), "query_id", "left_anti"), index or chunks, k)
 
 
 def hybrid_search(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 5, fusion_type: str = "weighted", alpha: float = 0.7, rrf_k: int = 60, index: dict[str, DataFrame] | None = None) -> DataFrame:

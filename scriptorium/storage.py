@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one below the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a plain local master may go without that setting; it then uses one below the warehouse.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not configured and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all machines")
     return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 

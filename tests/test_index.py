@@ -126,3 +126,94 @@ def test_stream_index(spark, tmp_path):
     chunks = spark.read.parquet(f"{index}/chunks")
     assert sorted(r[0] for r in chunks.select(F.col("content")).collect()) == ["first text", "second text"]
     assert spark.read.parquet(f"{index}/manifest").count() == 2
+
+
+CHUNK = "user_id string, source string, chunk_index int, content string"
+
+
+def indexed(spark, rows):
+    chunks = spark.createDataFrame(rows, CHUNK)
+    return chunks, embed(chunks, "content", hashing_encoder(8)).drop("content")
+
+
+def same_as_rebuilt(spark, path, rows, folder):
+    """Whether the index at path answers, and counts, as one built of these rows."""
+    asked = spark.createDataFrame([(1, "red", None), (2, "red green", "u"), (3, "blue blue sky", None), (4, "grey", "v")], "query_id long, query string, user_id string")
+    index_store.write_index(*indexed(spark, rows), folder)
+    one, two = index_store.read_index(spark, path), index_store.read_index(spark, folder)
+    for table, columns in (("terms", ["term", "df", "idf"]), ("collection", ["n", "avgdl"]), ("chunks", ["user_id", "source", "chunk_index", "content"]), ("vectors", ["user_id", "source", "chunk_index"])):
+        assert sorted(map(str, one[table].select(*columns).collect())) == sorted(map(str, two[table].select(*columns).collect())), table
+    assert sorted(bm25.bm25_topk(asked, one, 3).collect()) == sorted(bm25.bm25_topk(asked, two, 3).collect())
+
+
+ROWS = [("u", "a", 0, "red sky"), ("u", "a", 1, "green"), ("v", "a", 0, "red red grey"), (None, "b", 0, "blue sky blue"), ("u", "c", 0, "green red blue"), ("v", "d", 0, ""), ("v", "e", 0, "red grey sky")]
+
+
+def test_append_delete_replace_equal_a_rebuilt_index(spark, tmp_path):
+    path, folder = str(tmp_path / "index"), lambda n: str(tmp_path / f"again{n}")
+    index_store.write_index(*indexed(spark, ROWS[:4]), path)
+    index_store.append_index(*indexed(spark, ROWS[4:]), path)
+    same_as_rebuilt(spark, path, ROWS, folder(0))
+    gone = spark.createDataFrame([("u", "a"), ("u", "b"), ("v", "zz"), ("u", "a")], "user_id string, source string")
+    index_store.delete_sources(gone, path)  # not v's a, and not b, which is nobody's
+    left = [r for r in ROWS if r[:2] != ("u", "a")]
+    same_as_rebuilt(spark, path, left, folder(1))
+    index_store.delete_sources(gone, path)  # once more changes nothing
+    same_as_rebuilt(spark, path, left, folder(2))
+    back = [("u", "a", 0, "sky"), (None, "b", 0, "blue"), (None, "b", 1, "green")]
+    index_store.replace_sources(*indexed(spark, back), path)
+    now = [r for r in left if r[1] != "b"] + back
+    same_as_rebuilt(spark, path, now, folder(3))
+    index_store.compact_index(spark, path)
+    same_as_rebuilt(spark, path, now, folder(4))
+    assert index_store.versions(spark, path) == [1, 2, 3, 4, 5, 6]
+    assert index_store.read_index(spark, path, 2)["chunks"].count() == len(ROWS)
+
+
+def test_a_run_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index_store.write_index(*indexed(spark, ROWS[:2]), path)
+    pinned = index_store.read_index(spark, path)
+
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(index_store, "_commit", dies)
+        try:
+            index_store.append_index(*indexed(spark, ROWS[2:]), path)
+        except KeyboardInterrupt:
+            pass
+    assert index_store.versions(spark, path) == [1] and index_store.read_index(spark, path)["chunks"].count() == 2
+    (tmp_path / "index" / "versions" / "00000002").write_text('{"parts": ["da')  # a file that was not written to its end
+    assert index_store.versions(spark, path) == [1]
+    assert index_store.append_index(*indexed(spark, ROWS[2:]), path) == 3
+    assert pinned["chunks"].count() == 2 and index_store.read_index(spark, path)["chunks"].count() == len(ROWS)
+    assert len(list((tmp_path / "index" / "data").iterdir())) == 3
+    assert index_store.expire_versions(spark, path, 1, orphan_seconds=0) == [3]
+    assert len(list((tmp_path / "index" / "data").iterdir())) == 2 and index_store.read_index(spark, path)["chunks"].count() == len(ROWS)
+
+
+def test_of_two_writers_the_second_fails(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    index_store.write_index(*indexed(spark, ROWS[:2]), path)
+    monkeypatch.setattr(index_store, "_next", lambda *args: 1)
+    try:
+        index_store.append_index(*indexed(spark, ROWS[2:]), path)
+        raise AssertionError("no conflict")
+    except index_store.VersionConflict:
+        pass
+    assert index_store.read_index(spark, path)["chunks"].count() == 2
+
+
+def test_an_append_counts_the_new_chunks_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    index_store.write_index(*indexed(spark, ROWS[:4]), path)
+    index_store.append_index(*indexed(spark, [("u", "z", 0, "red violet")]), path)
+    newest = max((tmp_path / "index" / "data").iterdir(), key=lambda p: p.name)
+    assert {r["term"] for r in spark.read.parquet(str(newest / "counts")).collect()} == {"red", "violet"}
+    index_store.reset_index(spark, path)
+    empty = index_store.read_index(spark, path)
+    assert all(empty[t].count() == 0 for t in ("chunks", "vectors", "postings", "terms")) and empty["collection"].first()["n"] == 0
+    asked = spark.createDataFrame([(1, "red")], "query_id long, query string")
+    assert bm25.bm25_topk(asked, empty, 1).collect() == []
