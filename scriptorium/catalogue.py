@@ -6,6 +6,7 @@ many documents and stands for the owner of a document where one is needed.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from scriptorium.functions import text as T
 from scriptorium.operators import bm25, chunking, documents, fusion, manifest, vectors
 from scriptorium.plans import answers
 from scriptorium.shipping import ship_package
-from scriptorium.sources import files
-from scriptorium.storage import stored
+from scriptorium.sources import files, index_store
+from scriptorium.storage import shared_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -307,6 +308,34 @@ def k3_bm25_topk_skip(spark, sf_dir):
     return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir, "skip"), 5)
 
 
+def _index_in_steps(spark, sf_dir):
+    """Where an index of the corpus lies, owners as users: written with the even documents, the odd ones appended."""
+    docs = corpus(spark, sf_dir)
+    cut = chunking.split_documents(docs).join(docs.select("source", F.col("owner").alias("user_id")), "source")
+    chunks = stored(cut.select("user_id", "source", "chunk_index", "content"), "chunks")
+    path = f"{shared_dir(spark)}/scriptorium/index-{uuid.uuid4().hex}"
+    for step, odd in ((index_store.write_index, 0), (index_store.append_index, 1)):
+        part = chunks.where(F.col("source").cast("long") % 2 == odd)
+        step(part, part.select("user_id", "source", "chunk_index", F.array(F.lit(1.0)).cast("array<float>").alias("embedding")), path)
+    return path
+
+
+@registered(_topk_sql(False))
+def s5_search_appended_index(spark, sf_dir):
+    """The same hits as from an index that is made at once."""
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), index_store.read_index(spark, _index_in_steps(spark, sf_dir)), 5)
+
+
+@registered(_topk_sql(False).replace("FROM documents)", "FROM documents WHERE NOT (doc_id % 5 = 0 AND source <> 'src3'))", 1))
+def i5_search_after_delete(spark, sf_dir):
+    """Every fifth document is deleted, those of src3 in another user's name; the rest answer as an index of their own."""
+    path, docs = _index_in_steps(spark, sf_dir), corpus(spark, sf_dir)
+    catalog = docs.select(F.col("source").alias("id"), F.col("source").alias("filename"), F.col("owner").alias("user_id"))
+    wanted = catalog.where("cast(id as long) % 5 = 0").select("id", F.when(F.col("user_id") == "src3", "other").otherwise(F.col("user_id")).alias("user_id"))
+    index_store.delete_sources(documents.deleted_sources(catalog, wanted), path)
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), index_store.read_index(spark, path), 5)
+
+
 # ---- vectors and hybrid search: one chunk per document, vector vec_id belongs to document vec_id
 
 
@@ -484,12 +513,46 @@ def m6_build_prompts(spark, sf_dir):
 SELECT query_id, prompt, coalesce(r, '') AS cited, CASE WHEN r IS NULL THEN '{answers.NOTHING_FOUND}' END AS note FROM prompts LEFT JOIN cited USING (query_id)"""
 )
 def m7_answer_requests(spark, sf_dir):
+    return _cited(answers.answer_requests(*_answered(spark, sf_dir)))
+
+
+def _cited(out):
     """The list of references as one text, a line for each."""
-    out = answers.answer_requests(*_answered(spark, sf_dir))
     lines = F.transform("references", lambda r: F.concat_ws(" ", r["source"], F.format_string("%.3f", F.round(r["score"], 3)), r["content"]))
     return out.select("query_id", "prompt", F.array_join(lines, "\n").alias("cited"), "note")
 
 
+@registered(
+    rf"""WITH {_VECS}, asked AS (SELECT item_id || '/' || v AS query_id, item_id AS request_id, v AS variant_no, CASE v WHEN 0 THEN text ELSE regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', ' ', 'g') END AS query,
+  e.embedding AS query_vec, CASE WHEN item_id % 2 = 0 THEN CAST(own.label AS VARCHAR) END AS user_id FROM benchmark CROSS JOIN (VALUES (0), (1)) t(v) LEFT JOIN embeddings e ON e.vec_id = item_id + v LEFT JOIN embeddings own ON own.vec_id = item_id),
+queries AS (SELECT query_id, query FROM asked), chunks AS (SELECT CAST(doc_id AS VARCHAR) AS source, 0 AS chunk_index, text AS content, CAST(label AS VARCHAR) AS user_id FROM documents LEFT JOIN embeddings ON doc_id = vec_id),
+{_BM25}, {_SCORES}, {_NEAR}, {_WEIGHTED.replace("rank <= 15", "rank <= 45")},
+found AS (SELECT s.query_id, s.source, s.chunk_index, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, s.source, s.chunk_index) AS rank FROM scores s JOIN asked q USING (query_id) JOIN chunks c USING (source, chunk_index) WHERE q.user_id IS NULL OR q.user_id = c.user_id),
+pool AS (SELECT DISTINCT request_id, source, chunk_index FROM (SELECT query_id, source, chunk_index FROM best WHERE rank <= 15
+  UNION ALL SELECT query_id, source, chunk_index FROM found WHERE rank <= 15 AND score > 0 AND query_id NOT IN (SELECT query_id FROM near_ranked)) JOIN asked USING (query_id)),
+own AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+p AS (SELECT query_id, source, chunk_index, content, list_distinct(list_filter(regexp_split_to_array(lower(query), '\s+'), lambda x: x <> '')) AS a, list_filter(regexp_split_to_array(lower(content), '\s+'), lambda x: x <> '') AS b FROM pool JOIN own ON request_id = query_id JOIN chunks USING (source, chunk_index)),
+scored AS (SELECT query_id, source, chunk_index, content, round(len(list_intersect(a, b)) / len(a), 6) AS score FROM p),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, chunk_index) AS rank FROM scored) WHERE rank <= 5),
+ctx AS (SELECT query_id, string_agg('--- [Chunk ' || rank || '] (Source: ' || source || ') ---' || chr(10) || content || chr(10), chr(10) ORDER BY rank) AS c FROM top GROUP BY query_id),
+prompts AS (SELECT query_id, '{answers.SYSTEM_TEXT}' || chr(10) || chr(10) || '[Context]' || chr(10) || coalesce(c, '') || chr(10) || chr(10) || '[Question]' || chr(10) || query || chr(10) || chr(10) || '[Answer]' || chr(10) AS prompt FROM own LEFT JOIN ctx USING (query_id)),
+cited AS (SELECT query_id, string_agg(source || ' ' || printf('%.3f', round(score, 3)) || ' ' || substr(content, 1, 500), chr(10) ORDER BY rank) AS r FROM top GROUP BY query_id)
+SELECT query_id, prompt, coalesce(r, '') AS cited, CASE WHEN r IS NULL THEN '{answers.NOTHING_FOUND}' END AS note FROM prompts LEFT JOIN cited USING (query_id)"""
+)
+def m5_ask(spark, sf_dir):
+    """Every benchmark item and one rewrite of it, through hybrid search, merging, reranking and prompts.
+
+    The vector of variant v of an item is the one numbered item + v; even items ask within their label.
+    """
+    b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    rewrite = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", " ")
+    user = F.when(F.col("item_id") % 2 == 0, F.col("label").cast("string"))
+    requests = b.join(e, b["item_id"] == e["vec_id"], "left").select(F.col("item_id").alias("request_id"), F.col("text").alias("query"), F.concat(F.lit("Try: "), F.to_json(F.array(rewrite))).alias("response"), user.alias("user_id"))
+    of_vector = e.select((F.col("vec_id")).alias("wanted"), F.col("embedding").alias("query_vec"))
+    embedded = lambda rows: rows.withColumn("wanted", F.col("request_id") + F.col("variant_no")).join(of_vector, "wanted", "left").drop("wanted")
+    return _cited(answers.ask(requests, _whole(spark, sf_dir), _vectors(spark, sf_dir), embedded, 5, reranked=True))
+
+
 @registered(f"WITH {_TOP} SELECT query_id, CAST(rank AS INT) AS rank, CAST(CAST(CAST(score AS DECIMAL(18, 6)) AS DECIMAL(18, 4)) AS VARCHAR) AS score, replace(substr(content, 1, 100), chr(10), ' ') || '...' AS snippet FROM top")
 def p10_snippets(spark, sf_dir):
     return T.to_snippets(_answered(spark, sf_dir)[1])

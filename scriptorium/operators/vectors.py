@@ -7,14 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from scriptorium.storage import stored
+from pyspark.sql import types as T
 
 KEY = ["source", "chunk_index"]
-#: Query vectors of one broadcast; more queries make more passes over the vectors.
-QUERIES_PER_PASS = 1 << 15
+#: Queries and vectors of a cell, and tasks that work on cells, at most.
+QUERIES_PER_CELL, VECTORS_PER_CELL, MOST_TASKS = 1 << 13, 1 << 15, 10_000
 #: Scores held at once: a tile of queries times a tile of vectors.
 QUERIES_PER_TILE, VECTORS_PER_TILE = 512, 4096
 
@@ -55,73 +55,68 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6)
     """(query_id, rank, source, chunk_index, score): exact top k by inner product.
 
     queries(query_id, query_vec, user_id) and vectors(source, chunk_index, embedding,
-    user_id); a query with a user_id sees that user's vectors only, before the cut. Each
-    task keeps its best k of each query while it goes through its vectors, so only those
-    rows are shuffled. Up to QUERIES_PER_PASS queries are broadcast; more are answered in
-    several passes, each written before the next, so that the driver holds one block.
+    user_id); query_id may be of any type that Spark can hash. A query with a user_id sees
+    that user's vectors only, before the cut. Scores are rounded first; ties go to the smaller
+    source and chunk_index. Queries and vectors without a value, and vectors of another length
+    than the query, take no part. Both sides are dealt into blocks, and each pair of blocks is
+    one task's work, which hands on k rows for each query; nothing passes through the driver.
     """
     if "user_id" not in queries.columns:
         queries = queries.withColumn("user_id", F.lit(None).cast("string"))
     if "user_id" not in vectors.columns:
         vectors = vectors.withColumn("user_id", F.lit(None).cast("string"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query_vec", F.col("user_id").cast("string").alias("user_id")).where("query_vec IS NOT NULL")
-    passes = max(1, -(-asked.count() // QUERIES_PER_PASS))
+    asked = queries.select("query_id", F.col("query_vec").alias("vec"), F.col("user_id").cast("string").alias("user_id")).where("vec IS NOT NULL").withColumn("dim", F.size("vec"))
+    held = vectors.select(*KEY, F.col("embedding").alias("vec"), F.col("user_id").cast("string").alias("user_id")).where("vec IS NOT NULL").withColumn("dim", F.size("vec"))
+    rows, columns = (max(1, -(-df.count() // most)) for df, most in ((asked, QUERIES_PER_CELL), (held, VECTORS_PER_CELL)))
+    block = lambda key, n: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = ["dim", "row", "column"]
+    asked = asked.withColumn("row", block(["query_id"], rows)).withColumn("column", every(columns)).repartition(min(rows * columns, MOST_TASKS), *cell)
+    held = held.withColumn("column", block(KEY, columns)).withColumn("row", every(rows)).repartition(min(rows * columns, MOST_TASKS), *cell)
+    out = T.StructType([queries.schema["query_id"], T.StructField("source", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("score", T.DoubleType())])
+    best = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(lambda q, v: _best_in_cell(q, v, k, digits), out)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *KEY)
-    answers = None
-    for b in range(passes):
-        part = asked if passes == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == b)
-        rows = part.collect()
-        block = (np.array([r["query_id"] for r in rows], dtype=np.int64), np.array([r["user_id"] or "" for r in rows], dtype=object), np.array([r["query_vec"] for r in rows], dtype=np.float64))
-        shared = vectors.sparkSession.sparkContext.broadcast(block)
-        best = _local_topk(vectors, shared, k, digits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", *KEY, "score")
-        if passes > 1:
-            best = stored(best, "nearest")
-            shared.unpersist()
-        answers = best if answers is None else answers.unionByName(best)
-    return answers
-
-
-class _Best:
-    """The k best (score, vector) of each query so far, ties at the last place included."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.floor = k, np.full(n, -np.inf)
-        self.q, self.score, self.source, self.index = (np.zeros(0, dtype=t) for t in (np.int64, np.float64, object, np.int64))
-
-    def add(self, q: np.ndarray, score: np.ndarray, source: np.ndarray, index: np.ndarray) -> None:
-        q, score, source, index = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.source, source), (self.index, index)))
-        order = np.lexsort((-score, q))
-        q, score, source, index = q[order], score[order], source[order], index[order]
-        begins = np.searchsorted(q, np.arange(len(self.floor)))
-        at = begins + self.k - 1
-        full = (at < len(q)) & (q[np.minimum(at, len(q) - 1)] == np.arange(len(self.floor))) if len(q) else np.zeros(len(self.floor), dtype=bool)
-        self.floor[full] = score[at[full]]
-        keep = score >= self.floor[q]
-        self.q, self.score, self.source, self.index = q[keep], score[keep], source[keep], index[keep]
-
-
-def _local_topk(vectors: DataFrame, shared, k: int, digits: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, users, matrix = shared.value
-        best = _Best(len(ids), k)
-        for frame in frames:
-            for lo in range(0, len(frame) if len(ids) else 0, VECTORS_PER_TILE):
-                part = frame.iloc[lo : lo + VECTORS_PER_TILE]
-                stack = np.array(part["embedding"].tolist(), dtype=np.float64).T
-                source, index, owner = part["source"].to_numpy(dtype=object), part["chunk_index"].to_numpy(dtype=np.int64), part["user_id"].fillna("").to_numpy(dtype=object)
-                found = []
-                for a in range(0, len(ids), QUERIES_PER_TILE):
-                    score, asking = np.round(matrix[a : a + QUERIES_PER_TILE] @ stack, digits), users[a : a + QUERIES_PER_TILE]
-                    if (asking != "").any():
-                        score[(asking[:, None] != "") & (asking[:, None] != owner[None, :])] = -np.inf
-                    keep = min(k, score.shape[1])
-                    least = np.maximum(-np.partition(-score, keep - 1, axis=1)[:, keep - 1], best.floor[a : a + QUERIES_PER_TILE])
-                    q, v = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                    found.append((q + a, score[q, v], source[v], index[v]))
-                best.add(*(np.concatenate(x) for x in zip(*found)))
-        yield pd.DataFrame({"query_id": ids[best.q], "source": best.source, "chunk_index": best.index, "score": best.score})
-
-    return vectors.select(*KEY, "embedding", "user_id").where("embedding IS NOT NULL").mapInPandas(run, "query_id long, source string, chunk_index int, score double")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", *KEY, "score")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """List values of one length as rows; missing components are not numbers."""
+    flat = column.combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _owners(column: pa.ChunkedArray) -> np.ndarray:
+    return np.array([u or "" for u in column.to_pylist()], dtype=object)
+
+
+def _best_in_cell(queries: pa.Table, vectors: pa.Table, k: int, digits: int) -> pa.Table:
+    """The k best vectors of a block for each query of a block."""
+    vectors = vectors.sort_by([(c, "ascending") for c in KEY])  # of equal scores the first row then wins
+    taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if queries.num_rows and vectors.num_rows:
+        asked, asking = _matrix(queries.column("vec")).astype(np.float64), _owners(queries.column("user_id"))
+        held, owner = _matrix(vectors.column("vec")), _owners(vectors.column("user_id"))
+        for a in range(0, len(asked), QUERIES_PER_TILE):
+            who = asking[a : a + QUERIES_PER_TILE]
+            q, v, s = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+            floor = np.full(len(who), -np.inf)
+            for b in range(0, len(held), VECTORS_PER_TILE):
+                score = np.round(asked[a : a + QUERIES_PER_TILE] @ held[b : b + VECTORS_PER_TILE].astype(np.float64).T, digits)
+                score[np.isnan(score)] = -np.inf
+                if (who != "").any():
+                    score[(who[:, None] != "") & (who[:, None] != owner[None, b : b + VECTORS_PER_TILE])] = -np.inf
+                least = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+                x, y = np.nonzero((score > floor[:, None]) & (score >= least[:, None]) & np.isfinite(score))
+                q, v, s = np.concatenate([q, x]), np.concatenate([v, y + b]), np.concatenate([s, score[x, y]])
+                order = np.lexsort((v, -s, q))
+                q, v, s = q[order], v[order], s[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                floor[q[place == k - 1]] = s[place == k - 1]
+                q, v, s = (z[place < k] for z in (q, v, s))
+            taken.append((q + a, v, s))
+    q, v, s = (np.concatenate([np.zeros(0, dtype=t), *(x[n] for x in taken)]) for n, t in enumerate((np.int64, np.int64, np.float64)))
+    hits = vectors.select(KEY).take(pa.array(v))
+    return pa.table([queries.column("query_id").take(pa.array(q)), hits.column(0), hits.column(1).cast(pa.int32()), pa.array(s)], names=["query_id", *KEY, "score"])
 
 
 def validate_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
