@@ -6,9 +6,10 @@ owner, the document with the smallest id that has it; a document meets each owne
 runs once, whatever the number of copies. Each line of a block lies in such a run inside
 the block, so no block is missed: the owner of each of its runs holds all lines of the run
 one after the other. The lines of those runs are aligned with the owner's by patience
-diff, and aligned blocks of enough words are deleted from the later document. Where
-repeated lines keep patience from a block, the runs that occur anywhere in both find it. An
-owner's run has no earlier holder, so every block survives somewhere.
+diff, and aligned blocks of enough words are deleted from the later document. Blocks that
+moved, or that repeated lines keep from patience, are found by the runs that occur anywhere
+in both, in time that grows with the lines. An owner's run has no earlier holder, so every
+block survives somewhere.
 """
 
 from __future__ import annotations
@@ -162,13 +163,9 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                 left = sorted((line_no[k], h[k]) for k in at)
                 right = sorted({(n, h[k]) for k in at for n in theirs[k]})
                 sizes = {line_no[k]: words[k] for k in at}
-                whole = left
-                while pairs := patience(left, right):
-                    deleted.update(_blocks(pairs, sizes, least))
-                    done = {a for a, _ in pairs}  # blocks that moved align in a later pass
-                    left = [x for x in left if x[0] not in done]
-                if any(n not in deleted for n in sizes):
-                    deleted |= _common_runs(whole, right, sizes, least)
+                deleted.update(_blocks(patience(left, right), sizes, least))
+                if any(n not in deleted for n in sizes):  # blocks that moved, or whose lines repeat
+                    deleted |= _common_runs(left, right, sizes, least)
             out.append(sorted(deleted))
         yield pa.record_batch([*(batch.column(c) for c in ROW), pa.array(out, pa.list_(pa.int32()))], names=[*ROW, "deleted"])
 
@@ -246,13 +243,13 @@ def deletions(docs: DataFrame, min_block_words: int = MIN_BLOCK_WORDS) -> DataFr
     """
     lines = materialise(numbered_lines(docs), "lines")
     held = materialise(_owned(lines).drop("owner", "owner_h"), "shared")
-    by_doc = held.groupBy(*ROW).agg(F.collect_list(F.struct("line_no", "h", "words")).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select(*ROW, "rows")
-    by_doc = materialise(by_doc, "by_doc")
+    by_doc = held.groupBy(*ROW).agg(F.collect_set(F.struct("line_no", "h", "words")).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_block_words).select(*ROW, "rows")
+    by_doc = materialise(by_doc, "by_doc")  # sets: lines of equal rows are there once
     runs = materialise(by_doc.mapInArrow(lambda it: _run_keys(it, min_block_words), "doc_id long, text_h long, h long, first int, last int"), "runs")
     spans = _owned(runs).where("owner < doc_id").groupBy(*ROW).agg(F.collect_list(F.struct("owner", "owner_h", "first", "last")).alias("spans"))
     pairs = materialise(by_doc.join(spans, ROW).mapInArrow(_spread, "doc_id long, text_h long, owner long, owner_h long, line_no int, h long, words int"), "pairs")
     owners = pairs.select(F.col("owner").alias("doc_id"), F.col("owner_h").alias("text_h")).distinct()
-    theirs = held.join(owners, ROW, "left_semi").groupBy(*ROW, "h").agg(F.sort_array(F.collect_list("line_no")).alias("theirs")).withColumnsRenamed({"doc_id": "owner", "text_h": "owner_h"})
+    theirs = held.join(owners, ROW, "left_semi").groupBy(*ROW, "h").agg(F.sort_array(F.collect_set("line_no")).alias("theirs")).withColumnsRenamed({"doc_id": "owner", "text_h": "owner_h"})
     grouped = _met(pairs, theirs).groupBy(*ROW).agg(F.collect_list(F.struct("owner", "owner_h", "line_no", "h", "words", "theirs")).alias("rows"))
     return grouped.mapInArrow(lambda it: _align(it, min_block_words), "doc_id long, text_h long, deleted array<int>").where("size(deleted) > 0")
 

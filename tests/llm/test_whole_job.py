@@ -153,3 +153,33 @@ def test_block_whose_lines_stand_alone_elsewhere(spark):
     assert got[11] == "" and all(got[i] == t for i, t in data if i < 11)
     kept = line_align.dedup_lines(spark.createDataFrame([*data, (12, ""), (13, None)], "doc_id long, text string"), counted=False, keep_emptied=False)
     assert {r["doc_id"] for r in kept.collect()} == {1, 2, 3, 4, 5, 10, 12, 13}
+
+
+def test_reversed_lines_take_little_time():
+    import time
+
+    import pyarrow as pa
+
+    n = 100_000
+    lines = [{"owner": 1, "owner_h": 1, "line_no": k, "h": k * 7919, "words": 30, "theirs": [n - k]} for k in range(n)]
+    kind = pa.list_(pa.struct([("owner", pa.int64()), ("owner_h", pa.int64()), ("line_no", pa.int32()), ("h", pa.int64()), ("words", pa.int32()), ("theirs", pa.list_(pa.int32()))]))
+    batch = pa.record_batch([pa.array([2], pa.int64()), pa.array([2], pa.int64()), pa.array([lines], kind)], names=["doc_id", "text_h", "rows"])
+    began = time.time()
+    (out,) = line_align._align(iter([batch]), 30)
+    assert out.column("deleted")[0].as_py() == list(range(n)) and time.time() - began < 20
+
+
+def test_repeated_rows_make_one_list(spark, monkeypatch):
+    sizes = []
+    real = line_align.materialise
+
+    def looked_at(df, name, codec="zstd"):
+        out = real(df, name, codec)
+        if name == "by_doc":
+            sizes.extend(len(r["rows"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(line_align, "materialise", looked_at)
+    text = "\n".join(words_of(c, 20) for c in "abc")
+    got = line_align.dedup_lines(spark.createDataFrame([(1, text)] + [(2, text)] * 500, "doc_id long, text string")).groupBy("doc_id", "text").count().collect()
+    assert sorted(map(tuple, got)) == [(1, text, 1), (2, "", 500)] and sizes == [3, 3]
