@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.shipping import ship_package
+from scriptorium.storage import stored
+
 #: Fixed list of file types.
 SUPPORTED = (".txt", ".md", ".pdf")
+#: Entries of a folder handed on at once; files and bytes that one task reads, about.
+ENTRIES_AT_ONCE, FILES_OF_TASK, BYTES_OF_TASK = 10_000, 2_000, 128 << 20
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -51,50 +58,89 @@ def filter_hidden(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("filename").startswith("."))
 
 
-def _listed(spark: SparkSession, path: str) -> list[str]:
-    """Paths of supported files that Spark's own listing leaves out: it skips names with a leading _ or dot.
+def open_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it, for Python tasks; ValueError or ArrowException if Python has none for it."""
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file:{path}")
+
+
+def folder_entries(path: str) -> Iterator[fs.FileInfo]:
+    """What a folder holds, or the file itself; nothing if it is gone."""
+    system, inner = open_system(path)
+    (own,) = system.get_file_info([inner])
+    if own.type == fs.FileType.File:
+        yield own
+    elif own.type == fs.FileType.Directory:
+        yield from system.get_file_info(fs.FileSelector(inner))
 
-    The listing goes through the driver, as Spark's own does; only those paths are kept.
-    """
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, files = [], fs.listFiles(root, True)
-    base = len(fs.makeQualified(root).toString())
-    while files.hasNext():
-        full = files.next().getPath().toString()
-        parts = full[base:].split("/")
-        if any(p[:1] in ("_", ".") for p in parts) and parts[-1].lower().endswith(SUPPORTED) and not parts[-1].startswith("."):
-            found.append(full)
-    return found
-
-
-def _read_by_name(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path) to file rows, for names that no Spark reader opens."""
-    from pyarrow import fs
 
+def read_file(path: str) -> bytes | None:
+    """A file's bytes; None if it cannot be read."""
+    try:
+        system, inner = open_system(path)
+        with system.open_input_stream(inner, compression=None) as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def _entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(path) of folders to the rows of their entries, a folder at a time."""
     for frame in frames:
-        rows = []
-        for path in frame["path"]:
-            system, inner = fs.FileSystem.from_uri(path)
-            info = system.get_file_info(inner)
-            with system.open_input_stream(inner) as f:
-                rows.append((path, info.mtime, info.size, f.read()))
-        yield pd.DataFrame(rows, columns=["path", "modificationTime", "length", "content"])
+        for folder in frame["path"]:
+            prefix = folder[: len(folder) - len(open_system(folder)[1])]
+            rows = [(prefix + e.path, e.mtime, e.size or 0, e.type == fs.FileType.Directory) for e in folder_entries(folder)]
+            for lo in range(0, len(rows), ENTRIES_AT_ONCE):
+                yield pd.DataFrame(rows[lo : lo + ENTRIES_AT_ONCE], columns=["path", "modificationTime", "length", "folder"])
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of every file at or below path, whatever its name.
+
+    Tasks list the folders, level by level; the driver only learns whether a level has more.
+    """
+    ship_package(spark)
+    schema = "path string, modificationTime timestamp, length long, folder boolean"
+    level = spark.createDataFrame([(path.rstrip("/") or "/",)], "path string")
+    found = None
+    while True:
+        entries = stored(level.mapInPandas(_entries, schema), "listed")
+        files = entries.where("NOT folder").drop("folder")
+        found = files if found is None else found.unionByName(files)
+        folders = entries.where("folder").select("path")
+        if not folders.limit(1).count():
+            return found
+        level = folders.repartition(F.xxhash64("path"))
+
+
+def _contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """File rows, one at a time, so that a task holds the bytes of one file."""
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            content = read_file(row.path)
+            if content is not None:
+                yield pd.DataFrame([(row.path, row.modificationTime, row.length, content)], columns=["path", "modificationTime", "length", "content"])
 
 
 def file_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content) of every supported file at or below path."""
+    """(path, modificationTime, length, content) of every supported file at or below path.
+
+    Files are listed and read by tasks, one file in memory at a time, and dealt by their number
+    and bytes; those that cannot be read are left out. A store that only Spark opens goes
+    through Spark's own reader, which leaves out names with a leading _ or dot.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(hadoop):
         return spark.createDataFrame([], FILES)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    skipped = _listed(spark, path)
-    found = read.load(path)
-    if inside := [p for p in skipped if not p.rsplit("/", 1)[1].startswith("_")]:
-        found = found.unionByName(read.load(inside))
-    if named := [(p,) for p in skipped if p.rsplit("/", 1)[1].startswith("_")]:
-        found = found.unionByName(spark.createDataFrame(named, "path string").mapInPandas(_read_by_name, FILES))
-    return found
+    full = system.makeQualified(hadoop).toString()
+    try:
+        open_system(full)
+    except (ValueError, OSError, pa.ArrowException):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    wanted = filter_supported(list_files(spark, full).withColumn("extension", extension_of(filename_of(F.col("path"))))).drop("extension")
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, -(-n // FILES_OF_TASK), -(-size // BYTES_OF_TASK))
+    return wanted.repartition(tasks, F.xxhash64("path")).mapInPandas(_contents, FILES)
 
 
 def load_documents(spark: SparkSession, path: str, page_extractor: Callable | None = None) -> DataFrame:

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.operators.chunking import chunk_documents
 from scriptorium.operators.manifest import changed_files
-from scriptorium.sources.files import FILES, decode_text, document_metadata, file_rows, filter_hidden, filter_supported
+from scriptorium.shipping import ship_package
+from scriptorium.sources.files import FILES, decode_text, document_metadata, file_rows, filter_hidden, filter_supported, open_system
 from scriptorium.sources.index_store import table_exists
+from scriptorium.streaming.changes import SETTLE_SECONDS, ChangedFiles
 
-def arriving_files(spark: SparkSession, path: str) -> DataFrame:
-    """A stream of the files below path with their hashes. A path that Spark has seen is not
-    read again, so a changed file must arrive under a new name or through index_files."""
-    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(path)
-    return hashed(files)
+
+def arriving_files(spark: SparkSession, path: str, settle: float = SETTLE_SECONDS) -> DataFrame:
+    """A stream of the files below path with their hashes; a file that is written again comes again.
+
+    In a store that only Spark opens, paths that it has seen are not read again; there a
+    changed file must arrive under a new name or through index_files.
+    """
+    ship_package(spark)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    try:
+        open_system(full)
+    except (ValueError, OSError, pa.ArrowException):
+        return hashed(spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(path))
+    spark.dataSource.register(ChangedFiles)
+    return hashed(spark.readStream.format("changed_files").option("path", full).option("settle", str(settle)).load())
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -68,9 +82,9 @@ def index_batches(index_path: str, chunker: Callable[[DataFrame], DataFrame] = c
     return run
 
 
-def stream_index(spark: SparkSession, path: str, index_path: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame] = chunk_documents) -> StreamingQuery:
-    """Index what is there and what arrived since, then stop (availableNow)."""
-    return arriving_files(spark, path).writeStream.foreachBatch(index_batches(index_path, chunker)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_index(spark: SparkSession, path: str, index_path: str, checkpoint: str, chunker: Callable[[DataFrame], DataFrame] = chunk_documents, settle: float = SETTLE_SECONDS) -> StreamingQuery:
+    """Index what is there and what arrived or changed since, then stop (availableNow)."""
+    return arriving_files(spark, path, settle).writeStream.foreachBatch(index_batches(index_path, chunker)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def index_files(spark: SparkSession, path: str, index_path: str, chunker: Callable[[DataFrame], DataFrame] = chunk_documents) -> None:

@@ -128,6 +128,42 @@ def test_stream_index(spark, tmp_path):
     assert spark.read.parquet(f"{index}/manifest").count() == 2
 
 
+def test_stream_rereads_changed_files(spark, tmp_path):
+    inbox, index = tmp_path / "in", str(tmp_path / "index")
+    (inbox / "_sub").mkdir(parents=True)
+    run = lambda: ingest.stream_index(spark, str(inbox), index, str(tmp_path / "ckpt"), settle=0.0).awaitTermination()
+    shown = lambda: sorted(r["content"] for r in ingest.current_chunks(spark, index).collect())
+    (inbox / "a.txt").write_text("one")
+    (inbox / "_sub" / "b.md").write_text("same")
+    (inbox / "c.py").write_text("no")
+    run()
+    assert shown() == ["one", "same"]
+    (inbox / "a.txt").write_text("two, longer")
+    (inbox / "_sub" / "b.md").write_text("same")  # written again, not changed
+    run()
+    run()
+    assert shown() == ["same", "two, longer"] and spark.read.parquet(f"{index}/manifest").count() == 3
+
+
+def test_stream_dedupe(spark):
+    rows = spark.createDataFrame([("a", "1", 0), ("a", "1", 1), ("a", "2", 2), ("b", "1", 3)], "source string, hash string, n int")
+    assert sorted(map(tuple, ingest.stream_dedupe(rows).select("source", "hash").collect())) == [("a", "1"), ("a", "2"), ("b", "1")]
+
+
+def test_many_files_in_many_folders(spark, tmp_path):
+    for k in range(10_000):
+        folder = tmp_path / f"f{k % 20}" / f"_g{k % 7}"
+        if k < 140:
+            folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.txt").write_text(f"text {k}")
+    (tmp_path / "f0" / "skip.bin").write_text("no")
+    listed = files.list_files(spark, f"file:{tmp_path}")
+    assert listed.count() == 10_001
+    got = files.load_documents(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 5
+    assert got.select(F.count("*"), F.countDistinct("source"), F.sum(F.substring("content", 6, 9).cast("long"))).first() == (10_000, 10_000, 10_000 * 9_999 // 2)
+
+
 CHUNK = "user_id string, source string, chunk_index int, content string"
 
 
