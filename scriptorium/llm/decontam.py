@@ -30,6 +30,8 @@ from .common import materialise, slices
 WINDOW = 13
 #: Benchmark words that are broadcast, some 80 bytes each; a larger benchmark is joined by shuffle.
 MOST_WORDS = 1_000_000
+#: And so many bytes of text.
+MOST_BYTES = 32 << 20
 
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isdigit() or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 _WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
@@ -198,9 +200,10 @@ def _joined_hits(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, fields: list[str], build, schema) -> DataFrame:
     """build(batch, found, fields) over all rows; the benchmark's words decide how hits are found."""
-    items = _items(benchmark)
-    size = items.agg(F.sum(F.regexp_count("text", F.lit(_WORD)))).first()[0] or 0
-    if size <= MOST_WORDS:
+    items = _items(benchmark).withColumn("n", F.regexp_count("text", F.lit(_WORD))).where("n > 0")  # others have no window
+    size = items.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    items = items.drop("n")
+    if size[0] <= MOST_WORDS and size[1] <= MOST_WORDS and size[2] <= MOST_BYTES:
         shared = docs.sparkSession.sparkContext.broadcast(WindowSet([(r["item_id"], r["text"]) for r in items.collect()], window))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

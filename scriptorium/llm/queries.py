@@ -174,7 +174,7 @@ plain AS (SELECT conv_id, turn, role, text IS NULL AS none,
   CAST(len(list_filter(lvls, lambda v: v > 0)) AS BIGINT) AS n FROM marked)
 SELECT p.conv_id, coalesce(r.root, p.turn) AS thread, p.turn, p.role, CASE WHEN none THEN NULL ELSE body END AS text, q.reply_to,
   coalesce(n, 0) AS n_quoted_lines,
-  '<|' || coalesce(p.role, 'user') || '|>' || chr(10) || coalesce(body, '') || chr(10) || '<|end|>' || chr(10) AS formatted
+  '<|' || regexp_replace(coalesce(p.role, 'user'), '[^\w.-]', '_', 'g') || '|>' || chr(10) || replace(coalesce(body, ''), '<|', '< |') || chr(10) || '<|end|>' || chr(10) AS formatted
 FROM plain p LEFT JOIN parent q ON p.conv_id = q.conv_id AND p.turn = q.turn LEFT JOIN root r ON p.conv_id = r.conv_id AND p.turn = r.turn
 """,
     "op8_url_filter": r"""

@@ -133,7 +133,9 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     quotation opens its own), and rows are sorted by conv_id, thread and turn, so a reply
     follows what it answers. Rows equal in conv_id, turn, role and text count once. Rows
     without conv_id or turn link to nothing and form threads of their own; a null text
-    stays null, an empty one empty. An empty table gives an empty result.
+    stays null, an empty one empty. An empty table gives an empty result. In formatted, marks
+    that a text holds are broken up (`< |`), and signs of a role that no name needs become `_`,
+    so that no message can pass for another turn.
     """
     messages = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
     parents = materialise(reply_parents(messages), "replies")
@@ -141,9 +143,9 @@ def reply_ordered(conversations: DataFrame) -> DataFrame:
     linked = parents.join(roots, ["conv_id", "turn"])
     own = without_quotes(F.col("text"))
     quoted = F.size(F.filter(F.split("text", "\n"), lambda line: quote_level(line) > 0))
-    named = F.coalesce("role", F.lit("user"))
+    named = F.regexp_replace(F.coalesce("role", F.lit("user")), r"[^\w.-]", "_")
     out = messages.join(linked, ["conv_id", "turn"], "left").select(
         "conv_id", F.coalesce("root", "turn").alias("thread"), "turn", "role", own.alias("text"), "reply_to", F.coalesce(quoted, F.lit(0)).cast("long").alias("n_quoted_lines")
     )
-    body = F.concat(F.lit("<|"), named, F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
+    body = F.concat(F.lit("<|"), named, F.lit("|>\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("\n<|end|>\n"))
     return out.withColumn("formatted", body).sort("conv_id", "thread", "turn", "role", "text")

@@ -75,11 +75,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed_urls: DataFrame) -> D
     starts with its path; the longest host and path together win, of equals the greatest
     in order; a rule listed with both actions blocks. Pages without a fitting rule are
     blocked if listed_urls(host, path) has the same canonical URL, else allowed. A null url
-    or one without :// has empty host and path and is allowed. Rules with null host count
-    as absent. Extra columns are ignored.
+    or one without :// has empty host and path and is allowed, as listed URLs without a host
+    count as absent, and rules with a null host too. Repeated rows get the same verdict each;
+    a URL of any length is compared whole; an empty table gives an empty result. Extra
+    columns are ignored.
     """
     rule_keys = rules.where("host IS NOT NULL").select(F.concat(F.lit("r:"), "host", F.coalesce("path", F.lit(""))).alias("key"), "action").groupBy("key").agg(F.max("action").alias("action"))
-    url_keys = listed_urls.where("host IS NOT NULL").select(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.coalesce("path", F.lit("")))).alias("key")).distinct().withColumn("action", F.lit("block"))
+    url_keys = listed_urls.where("host <> ''").select(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.coalesce("path", F.lit("")))).alias("key")).distinct().withColumn("action", F.lit("block"))
     listed = rule_keys.unionByName(url_keys)
     lengths = sorted(r[0] for r in rules.select(F.length(F.coalesce("path", F.lit("")))).distinct().collect())
     split = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -87,7 +89,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed_urls: DataFrame) -> D
     hosts = _let(F.split("host", r"\."), labels)
     fitting = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("path")) if lengths else F.array().cast("array<int>")
     prefixes = F.flatten(F.transform(hosts, lambda h: F.transform(fitting, lambda n: F.concat(F.lit("r:"), h, F.substring("path", F.lit(1), n)))))
-    whole = F.array(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.col("path"))))
+    whole = F.when(F.col("host") != "", F.array(F.concat(F.lit("u:"), canonical_url(F.col("host"), F.col("path"))))).otherwise(F.array().cast("array<string>"))
     urls = split.select("host", "path").distinct()
     keys = urls.select("host", "path", F.explode(F.concat(prefixes, whole)).alias("key"))
     is_rule = F.col("key").startswith("r:")
