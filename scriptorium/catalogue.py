@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +123,28 @@ def t8_sentences(spark, sf_dir):
     return chunking.sentences(corpus(spark, sf_dir))
 
 
+def _cut_long(most: int) -> str:
+    """CTEs that cut the long ones of sentences(source, pos, sentence); the last one is cut_sentences. To follow WITH RECURSIVE."""
+    return rf"""clauses AS MATERIALIZED (SELECT source, pos, sentence, regexp_extract_all(sentence, '[,;]|[^,;]+') AS x FROM sentences WHERE length(sentence) > {most}),
+clause_walk AS (SELECT source, pos, x, 1 AS i, 1 AS g, length(x[1]) AS used FROM clauses
+  UNION ALL SELECT source, pos, x, i + 1, CASE WHEN used + length(x[i + 1]) <= {most} THEN g ELSE g + 1 END, CASE WHEN used + length(x[i + 1]) <= {most} THEN used ELSE 0 END + length(x[i + 1]) FROM clause_walk WHERE i < len(x)),
+packed AS (SELECT source, pos, g, string_agg(x[i], '' ORDER BY i) AS part FROM clause_walk GROUP BY ALL),
+tails AS (SELECT source, pos, max(g) AS last, arg_max(part, g) AS tail, list_filter(regexp_split_to_array(arg_max(part, g), '\s+'), lambda w: w <> '') AS x FROM packed GROUP BY ALL),
+word_walk AS (SELECT source, pos, x, 1 AS i, 1 AS g, length(x[1]) AS used FROM tails WHERE length(tail) > {most} AND len(x) > 0
+  UNION ALL SELECT source, pos, x, i + 1, CASE WHEN used + 1 + length(x[i + 1]) <= {most} THEN g ELSE g + 1 END, CASE WHEN used + 1 + length(x[i + 1]) <= {most} THEN used + 1 ELSE 0 END + length(x[i + 1]) FROM word_walk WHERE i < len(x)),
+parts_of_long AS (SELECT source, pos, g AS a, 0 AS b, regexp_replace(part, '^\s+|\s+$', '', 'g') AS sentence FROM packed JOIN tails USING (source, pos) WHERE g < last AND regexp_replace(part, '\s+', '', 'g') <> ''
+  UNION ALL SELECT source, pos, last, 0, CASE WHEN length(tail) > {most} THEN tail ELSE regexp_replace(tail, '^\s+|\s+$', '', 'g') END FROM tails WHERE len(x) > 0
+  UNION ALL SELECT source, pos, 1000000, g, string_agg(x[i], ' ' ORDER BY i) FROM word_walk GROUP BY source, pos, g),
+cut_sentences AS MATERIALIZED (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY pos, a, b) - 1 AS INT) AS pos, sentence FROM (SELECT source, pos, 0 AS a, 0 AS b, sentence FROM sentences WHERE length(sentence) <= {most}
+  UNION ALL SELECT * FROM parts_of_long UNION ALL SELECT source, pos, 0, 0, sentence FROM clauses ANTI JOIN parts_of_long USING (source, pos)))"""
+
+
+@registered(f"WITH RECURSIVE {_CORPUS}, {_SENTENCES}, {_cut_long(60)} SELECT source, pos, sentence FROM cut_sentences")
+def t9_long_sentences(spark, sf_dir):
+    """With 60 characters as the most, so that many sentences are too long."""
+    return chunking.long_sentences(chunking.sentences(corpus(spark, sf_dir)), 60)
+
+
 @registered(r"""SELECT doc_id, CAST(len(w) AS INT) AS n_tokens, array_to_string(w, ' ') AS tokens FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents)""")
 def t10_tokenize(spark, sf_dir):
     tokens = T.tokenize(F.col("text"))
@@ -250,6 +273,29 @@ def c9_split_semantic(spark, sf_dir):
     return chunking.split_semantic(corpus(spark, sf_dir), vectors.hashing_encoder(), threshold=0.2)
 
 
+def by_length(texts: list[str]) -> np.ndarray:
+    """A stand-in encoder of whole numbers: three directions, by the length of a sentence."""
+    return np.eye(3)[[len(t) % 3 for t in texts]] if texts else np.zeros((0, 3))
+
+
+@registered(
+    rf"""WITH RECURSIVE {_CORPUS}, {_SENTENCES}, {_cut_long(2000)}, short AS (SELECT source, content FROM corpus WHERE length(content) < 50), {windows_sql(False, "cuts", "short")},
+told AS MATERIALIZED (SELECT s.*, length(s.sentence) AS size, length(s.sentence) % 3 AS kind, count(*) OVER (PARTITION BY s.source) AS n FROM cut_sentences s JOIN corpus c ON s.source = c.source WHERE length(content) >= 50),
+fold AS (SELECT source, pos, 0 AS g, CASE WHEN kind = 0 THEN 1 ELSE 0 END AS a, CASE WHEN kind = 1 THEN 1 ELSE 0 END AS b, CASE WHEN kind = 2 THEN 1 ELSE 0 END AS c, size AS used FROM told WHERE pos = 0 AND n > 1
+  UNION ALL SELECT source, pos, CASE WHEN near THEN g ELSE g + 1 END, CASE WHEN near THEN a ELSE 0 END + CASE WHEN kind = 0 THEN 1 ELSE 0 END, CASE WHEN near THEN b ELSE 0 END + CASE WHEN kind = 1 THEN 1 ELSE 0 END,
+    CASE WHEN near THEN c ELSE 0 END + CASE WHEN kind = 2 THEN 1 ELSE 0 END, CASE WHEN near THEN used + size + 1 ELSE size END
+    FROM (SELECT t.source, t.pos, kind, size, g, a, b, c, used, (CASE kind WHEN 0 THEN a WHEN 1 THEN b ELSE c END) / sqrt(a * a + b * b + c * c) >= 0.65 AND used + size + 1 <= 1000 AS near FROM fold f JOIN told t ON t.source = f.source AND t.pos = f.pos + 1)),
+groups AS (SELECT source, g, string_agg(sentence, ' ' ORDER BY pos) AS content, count(*) AS n, max(a) AS a, max(b) AS b, max(c) AS c FROM fold JOIN told USING (source, pos) GROUP BY source, g),
+placed AS (SELECT *, sum(length(content) + 1) OVER (PARTITION BY source ORDER BY g) - 1 AS ends FROM groups)
+SELECT source, CAST(g AS INT) AS chunk_index, CAST(ends - length(content) AS INT) AS start_char, CAST(ends AS INT) AS end_char, content, 'semantic' AS chunking_strategy, CAST(n AS INT) AS sentence_count, CASE WHEN n = 1 THEN 0.0 ELSE round_even(sqrt(a * a + b * b + c * c) / n, 3) END AS avg_similarity FROM placed
+UNION ALL SELECT t.source, 0, 0, CAST(length(content) AS INT), regexp_replace(content, '^\s+|\s+$', '', 'g'), 'semantic', 1, 1.0 FROM told t JOIN corpus c ON t.source = c.source WHERE n = 1
+UNION ALL SELECT source, chunk_index, start_char, end_char, content, NULL, NULL, NULL FROM cuts"""
+)
+def c5_semantic_groups(spark, sf_dir):
+    """Semantic chunks without overlap, by an encoder whose sums SQL can follow."""
+    return chunking.split_semantic(corpus(spark, sf_dir), by_length, overlap=0, threshold=0.65)
+
+
 @registered(
     rf"""WITH RECURSIVE corpus AS (SELECT CAST(doc_id AS VARCHAR) AS source, replace(text, '#', '+') AS content, source AS owner FROM documents), {windows_sql(False)}
 SELECT c.source, c.chunk_index, c.start_char, c.end_char, CASE WHEN owner = 'src1' AND length(d.content) <= 1000 THEN d.content ELSE c.content END AS content, '' AS header_path FROM chunks c JOIN corpus d ON c.source = d.source"""

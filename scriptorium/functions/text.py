@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WS = r"[\s\x1c-\x1f]"
+WHITE_SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(text, rf"(?U)^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def _nfkc(text: pd.Series) -> pd.Series:
@@ -53,8 +53,8 @@ def normalize_pdf_text(text: Column) -> Column:
 
     Paragraphs are what lies between runs of white space with two newlines or more.
     """
-    unbroken = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)-{_WS}*\n{_WS}*", "")
-    paragraphs = F.split(unbroken, rf"(?U) *\n{_WS}*\n *", -1)
+    unbroken = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)-{WHITE_SPACE}*\n{WHITE_SPACE}*", "")
+    paragraphs = F.split(unbroken, rf"(?U) *\n{WHITE_SPACE}*\n *", -1)
     return strip(F.array_join(F.transform(paragraphs, lambda p: F.regexp_replace(p, r"[ \n]+", " ")), "\n\n"))
 
 
@@ -80,7 +80,7 @@ def detect_language(text: Column, threshold: float = 0.3) -> Column:
 
 def split_sentences(text: Column) -> Column:
     """Sentences: cut after . ? ! before a capital or at a line end; stripped, blanks dropped."""
-    parts = F.split(F.coalesce(text, F.lit("")), rf"(?Umd)(?<=[.!?]){_WS}+(?=[A-Z])|(?<=[.!?])$", -1)
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?Umd)(?<=[.!?]){WHITE_SPACE}+(?=[A-Z])|(?<=[.!?])$", -1)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
@@ -88,7 +88,7 @@ def tokenize(text: Column, analyser: Callable[[Column], Column] | None = None) -
     """Lower-cased words between white space, duplicates kept; or what an analyser plug-in gives."""
     if analyser is not None:
         return analyser(text)
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?U){_WS}+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"(?U){WHITE_SPACE}+"), lambda t: t != "")
 
 
 def file_hash(content: Column) -> Column:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import normalize_pdf_text, split_sentences, strip
+from scriptorium.functions.text import WHITE_SPACE, normalize_pdf_text, split_sentences, strip
 
 from .vectors import hashing_encoder
 
@@ -308,14 +308,29 @@ def sentences(docs: DataFrame, splitter: Callable[[Column], Column] | None = Non
     return docs.select("source", F.posexplode((splitter or split_sentences)(F.col("content"))).alias("pos", "sentence"))
 
 
-def long_sentences(table: DataFrame, most: int = LONGEST_SENTENCE) -> DataFrame:
-    """(source, pos, sentence) with the parts of sentences that are too long, numbered anew."""
+def _packed(items: Column, most: int, gap: str) -> Column:
+    """Neighbouring strings joined while they fit `most`, folded in order; an over-long one stands alone."""
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    closed = lambda a: F.when(a["open"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["open"])))
+    fits = lambda a, x: F.length(a["open"]) + len(gap) + F.length(x) <= most
+
+    def step(a: Column, x: Column) -> Column:
+        return F.when(fits(a, x), F.struct(a["done"].alias("done"), F.concat(a["open"], F.lit(gap), x).alias("open"))).otherwise(F.struct(closed(a).alias("done"), x.alias("open")))
+
+    return F.aggregate(items, empty, step, closed)
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else split_long_sentence(t, most))
 
-    cut = F.when(F.length("sentence") > most, parts(F.when(F.length("sentence") > most, F.col("sentence")))).otherwise(F.array("sentence"))
+def long_sentences(table: DataFrame, most: int = LONGEST_SENTENCE) -> DataFrame:
+    """(source, pos, sentence) with the parts of sentences that are too long, numbered anew.
+
+    The parts are those of split_long_sentence, folded by Spark itself.
+    """
+    short = table.where(F.coalesce(F.length("sentence") <= most, F.lit(True))).select("source", "pos", F.lit(0).alias("sub"), "sentence")
+    packed = table.where(F.length("sentence") > most).select("source", "pos", "sentence", _packed(F.regexp_extract_all("sentence", F.lit("[,;]|[^,;]+"), F.lit(0)), most, "").alias("parts"))
+    split = packed.select("source", "pos", "sentence", F.slice("parts", 1, F.size("parts") - 1).alias("first"), F.element_at("parts", -1).alias("tail"))
+    words = split.withColumn("words", F.filter(F.split("tail", rf"(?U){WHITE_SPACE}+"), lambda w: w != ""))
+    ending = F.when(F.size("words") == 0, F.array().cast("array<string>")).when(F.length("tail") > most, F.concat(F.array("tail"), _packed(F.col("words"), most, " "))).otherwise(F.array(strip(F.col("tail"))))
+    found = words.select("source", "pos", "sentence", F.concat(F.filter(F.transform("first", strip), lambda p: p != ""), ending).alias("parts"))
+    cut = found.select("source", "pos", F.posexplode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(F.array("sentence"))).alias("sub", "sentence"))
     order = Window.partitionBy("source").orderBy("pos", "sub")
-    rows = table.select("source", "pos", F.posexplode(cut).alias("sub", "sentence"))
-    return rows.select("source", (F.row_number().over(order) - 1).cast("int").alias("pos"), "sentence")
+    return short.unionByName(cut).select("source", (F.row_number().over(order) - 1).cast("int").alias("pos"), "sentence")
