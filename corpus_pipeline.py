@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's
 result as Parquet in the shared folder and hands the reader of it to the next.
+
+In every stage an empty table gives an empty result, a text of any length is taken whole, and
+columns of any other name pass through, up to the packing.
 """
 
 from __future__ import annotations
@@ -18,13 +21,21 @@ from scriptorium.llm.preference_quality import keep_good_documents
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ranking rejects go."""
+    """Documents that the ranking rejects go.
+
+    Null and empty texts are scored as texts without words. Rows are judged each by its own
+    text, so repeated ones stand or fall together, as ties do. Without labels all stay.
+    """
     prepare(spark)
     return keep_good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned blocks of lines go from the later document; documents of nothing else go."""
+    """Aligned blocks of lines go from the later document; documents of nothing else go.
+
+    Null and empty texts stay, rows without a doc_id do not change, and rows that share a
+    doc_id are none the later one.
+    """
     prepare(spark)
     return dedup_lines(docs, counted=False, keep_emptied=False)
 
@@ -33,20 +44,29 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the first document stays.
 
     SimHash groups come first, checked on whole shingle sets; the links that fingerprints
-    cannot show are completed exactly.
+    cannot show are completed exactly. Texts without words are copies of each other; rows
+    without a doc_id go if another row is a copy; of equal rows one stays.
     """
     prepare(spark)
     return keep_one_of_each_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark passages go."""
+    """Documents that hold benchmark passages go.
+
+    Null and empty texts hold none and stay; each row is judged by its own text. Without
+    benchmark items all stay.
+    """
     prepare(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 2048."""
+    """Token pieces and their places in sequences of 2048.
+
+    A null or empty text is its end id alone; repeated rows are packed each; pieces of equal
+    length are placed in a fixed order.
+    """
     prepare(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 

@@ -65,9 +65,12 @@ def _runs(messages: DataFrame) -> DataFrame:
 
 def _windows(text: Column) -> Column:
     """Hashes of a text's distinct windows of WINDOW words; none if it has fewer."""
-    words = F.split(text, " ")
-    at = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - WINDOW + 1))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " "))))
+
+    def hashes(words: Column) -> Column:
+        at = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - WINDOW + 1))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " "))))
+
+    return F.transform(F.array(F.split(text, " ")), hashes)[0]  # split once, not for each window
 
 
 def _passage_sources(quoted: DataFrame, own: DataFrame) -> DataFrame:
