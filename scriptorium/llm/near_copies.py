@@ -37,7 +37,7 @@ FREQUENT = 16
 #: At most so many frequent shingles are sent to every task; more are joined to the texts by shuffle.
 MOST_COMMON = 1_000_000
 #: Letters of text whose shingles are counted in one task.
-LETTERS_OF_PART = 16_000_000
+LETTERS_OF_PART = 5_000_000
 #: Members of a bucket in one block; blocks are compared in pairs.
 BLOCK = 256
 #: At most so many digests are broadcast to find their texts; more are joined by shuffle.
