@@ -18,7 +18,7 @@ from scriptorium.operators import bm25, chunking, documents, fusion, manifest, v
 from scriptorium.plans import answers
 from scriptorium.shipping import ship_package
 from scriptorium.sources import files, index_store
-from scriptorium.storage import shared_dir, stored
+from scriptorium.storage import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, content, owner."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("source"), F.col("text").alias("content"), F.col("source").alias("owner"))
 
 
@@ -82,7 +82,7 @@ def t1_normalize_unicode(spark, sf_dir):
     r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || 'ABC1', '(?m)[^\S\n]+$', '', 'g'), '[^\S\n]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS out FROM documents"""
 )
 def t4_normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.concat(F.lit("  "), "text", F.lit("ＡＢＣ①\n"))).alias("out"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", T.normalize_text(F.concat(F.lit("  "), "text", F.lit("ＡＢＣ①\n"))).alias("out"))
 
 
 _PDF = r"regexp_replace(replace(replace(text, '. ', '.' || chr(10) || chr(10)), 'tion ', 'ti-' || chr(10) || 'on '), '-\s*\n\s*', '', 'g')"
