@@ -69,14 +69,15 @@ def words(rng, n):
     return " ".join(f"w{int(40 * rng.random() ** 3)}" if rng.random() < 0.7 else f"r{rng.randrange(400)}" for _ in range(n))
 
 
-@pytest.mark.parametrize("k", [1, 4, 1000])
-def test_pruned_search_is_the_whole_search(spark, k, monkeypatch):
-    """Frequent and rare words, owners, repeated chunks and ties; with a deep k nothing can be skipped."""
+@pytest.mark.parametrize("k, few", [(1, 500_000), (4, 500_000), (4, 3), (1000, 500_000)])
+def test_pruned_search_is_the_whole_search(spark, k, few, monkeypatch):
+    """Frequent and rare words, owners, repeated chunks and ties, with and without broadcasts; with a deep k nothing can be skipped."""
     import random
 
     rng = random.Random(k)
     monkeypatch.setattr(bm25, "BLOCK_CHUNKS", 2)
     monkeypatch.setattr(bm25, "SEED_POSTINGS", 20)
+    monkeypatch.setattr(bm25, "MOST_BROADCAST_TERMS", few)
     rows = [(f"s{k}", j, words(rng, rng.randint(0, 30)), f"u{k % 3}") for k in range(60) for j in range(rng.randint(1, 5))]
     rows += [(f"t{k}", 0, rows[5][2], None) for k in range(10)]
     chunks = spark.createDataFrame(rows, "source string, chunk_index int, content string, user_id string")
@@ -87,6 +88,18 @@ def test_pruned_search_is_the_whole_search(spark, k, monkeypatch):
     assert sorted(bm25.bm25_topk(asked, index, k).collect()) == sorted(want.collect())
 
 
+def test_spread(spark):
+    """Few splits become as many as there are cores, many stay, and no row is lost or doubled."""
+    from scriptorium.storage import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    one, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores + 1)
+    assert spread(one).rdd.getNumPartitions() == cores
+    assert spread(many).rdd.getNumPartitions() == cores + 1
+    assert sorted(r.id for r in spread(one).collect()) == list(range(100))
+    assert spread(one.where("false")).count() == 0
+
+
 def test_most_pairs_are_not_scored(spark):
     """Of the pairs that share a term under a tenth is scored, and the hits are the same."""
     from scriptorium import catalogue
