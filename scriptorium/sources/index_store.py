@@ -22,9 +22,9 @@ from scriptorium.operators import bm25
 from scriptorium.operators.vectors import KEY
 
 #: Tables that read_index gives.
-TABLES = ("chunks", "vectors", "postings", "blocks", "collection", "terms")
+TABLES = ("chunks", "vectors", "postings", "collection", "terms")
 #: Tables of a part whose rows a deletion takes away.
-_ROWS = ("chunks", "vectors", "postings", "blocks")
+_ROWS = ("chunks", "vectors", "postings")
 _DELETED = "user_id string, source string, version long"
 #: Unlisted parts younger than this may belong to a writer that has not finished.
 ORPHAN_SECONDS = 7 * 24 * 3600
@@ -112,9 +112,8 @@ def _write_part(path: str, version: int, chunks: DataFrame, vectors: DataFrame,
     kept = _written(_owned(chunks, version), f"{at}/chunks")
     _owned(vectors, version).write.parquet(f"{at}/vectors")
     post = _written(_owned(bm25.postings(kept) if post is None else post, version), f"{at}/postings")
-    blocks = _written(bm25.posting_blocks(post).withColumn("version", F.lit(version).cast("long")), f"{at}/blocks")
-    bm25.term_counts(blocks).write.parquet(f"{at}/counts")
-    bm25.collection_counts(kept, post).write.parquet(f"{at}/totals")
+    bm25.term_counts(post).write.parquet(f"{at}/counts")
+    bm25.collection_counts(post).write.parquet(f"{at}/totals")
     spark.createDataFrame([], _DELETED).write.parquet(f"{at}/deleted")
     return part
 
@@ -124,10 +123,9 @@ def _write_deletion(path: str, version: int, index: dict[str, DataFrame], gone:
     spark, part = gone.sparkSession, f"data/{version:08d}-{uuid.uuid4().hex}"
     at = f"{path}/{part}"
     gone = _written(_owned(gone.select(*(c for c in ("user_id", "source") if c in gone.columns)), version).select("user_id", "source", "version").distinct(), f"{at}/deleted")
-    hit = lambda t: _matched(index[t], gone.drop("version"), "left_semi")
-    lost = hit("blocks").groupBy("term").agg((-F.sum("n")).alias("df"))
-    lost.select("term", "df", F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("long").alias("min_dl")).write.parquet(f"{at}/counts")
-    bm25.collection_counts(hit("chunks"), hit("postings")).select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens")).write.parquet(f"{at}/totals")
+    lost = _matched(index["postings"], gone.drop("version"), "left_semi")
+    bm25.term_counts(lost).select("term", (-F.col("df")).alias("df")).write.parquet(f"{at}/counts")
+    bm25.collection_counts(lost).select((-F.col("n")).alias("n"), (-F.col("tokens")).alias("tokens")).write.parquet(f"{at}/totals")
     return part
 
 
@@ -161,7 +159,7 @@ def read_index(spark: SparkSession, path: str, version: int | None = None) -> di
     if deleted.limit(1).count():
         tables = {t: _matched(df, deleted, "left_anti") for t, df in tables.items()}
     whole = bm25.mean_length(_read(spark, path, parts, "totals").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens")))
-    counts = _read(spark, path, parts, "counts").groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+    counts = _read(spark, path, parts, "counts").groupBy("term").agg(F.sum("df").alias("df"))
     tables = {t: df.drop("version") for t, df in tables.items()}
     return tables | {"collection": whole, "terms": bm25.term_statistics(counts.where("df > 0"), whole)}
 
