@@ -396,6 +396,12 @@ def _whole(spark, sf_dir):
     return keyed.select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("label").cast("string").alias("user_id"))
 
 
+def _contents(spark, sf_dir):
+    """Every document as one chunk, without its user."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+
+
 def _vector_queries(spark, sf_dir):
     """Every vector whose id is divisible by 20; the even ones ask within their own label."""
     e = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
@@ -518,8 +524,7 @@ def m2_dedupe_first(spark, sf_dir):
 r AS (SELECT request_id, variant_no, source, chunk_index, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, source, chunk_index) AS INT) AS rank FROM g WHERE n = 1) SELECT * FROM r WHERE rank <= 5"""
 )
 def m3_merge_max(spark, sf_dir):
-    hits = _variants(spark, sf_dir).join(_whole(spark, sf_dir).select("source", "chunk_index", "content"), ["source", "chunk_index"])
-    return fusion.merge_max(hits, 5).drop("content")
+    return fusion.merge_max(_with_content(_variants(spark, sf_dir), _contents(spark, sf_dir)), 5).drop("content")
 
 
 @registered(
@@ -531,16 +536,20 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 def m4_rerank(spark, sf_dir):
     queries, chunks = _hybrid_queries(spark, sf_dir), _whole(spark, sf_dir)
     hits = fusion.bm25_fallback(queries, chunks, queries.select("query_id").where("false"), 15)
-    full = hits.join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"]).join(queries.select("query_id", "query"), "query_id")
+    full = _with_content(hits, _contents(spark, sf_dir)).join(queries.select("query_id", "query"), "query_id")
     return fusion.rerank(full, 5).select("query_id", "rank", "source", "chunk_index", "score")
 
 
+def _with_content(hits, chunks):
+    """Hits with the content of their chunks; few hits go to where the chunks are."""
+    return chunks.select("source", "chunk_index", "content").join(bm25.small(stored(hits, "hits")), ["source", "chunk_index"])
+
+
 def _answered(spark, sf_dir):
     """The benchmark items and their five best chunks, which are few, so they are found once."""
     chunks = chunk_table(spark, sf_dir)
     queries = benchmark_queries(spark, sf_dir)
-    hits = bm25.bm25_topk(queries, chunks, 5).join(chunks.select("source", "chunk_index", "content"), ["source", "chunk_index"])
-    return queries, stored(hits, "hits")
+    return queries, stored(_with_content(bm25.bm25_topk(queries, chunks, 5), chunks), "hits")
 
 
 _TOP = f"""{chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES}, {_RANKED},

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import parse_query_list, references
-from scriptorium.operators.bm25 import KEY, keyword_index
+from scriptorium.operators.bm25 import KEY, keyword_index, small
 from scriptorium.operators.fusion import candidate_depth, dedupe_first, hybrid_search, merge_max, rerank, token_overlap
 from scriptorium.storage import stored
 
@@ -73,12 +73,12 @@ def ask(
     named = variants.withColumn("query_id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("variant_no").cast("string")))
     asked = stored(embedded(named), "variants")
     found = hybrid_search(asked, chunks, vectors, fetch, fusion_type, alpha, index=index or keyword_index(chunks))
-    hits = found.join(asked.select("query_id", "request_id", "variant_no"), "query_id").drop("query_id")
-    held = chunks.select(*KEY, "content")
+    hits = stored(found.join(asked.select("query_id", "request_id", "variant_no"), "query_id").drop("query_id"), "hits")
+    held = chunks.select(*KEY, "content")  # few hits go to where the chunks are
     if merge == "max":
-        merged = merge_max(hits.join(held, KEY), fetch * (rewrites + 1))
+        merged = merge_max(held.join(small(hits), KEY), fetch * (rewrites + 1))
     else:
-        merged = dedupe_first(hits).join(held, KEY)
+        merged = held.join(small(stored(dedupe_first(hits), "hits")), KEY)
     merged = merged.withColumnRenamed("request_id", "query_id")
     own = requests.select(F.col("request_id").alias("query_id"), "query")
     best = rerank(merged.join(own, "query_id"), k, scorer) if reranked else merged.where(F.col("rank") <= k)

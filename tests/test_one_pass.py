@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from scriptorium import catalogue
 from scriptorium.operators import bm25
 from scriptorium.sources import index_store
 
@@ -67,3 +68,15 @@ def test_an_index_part_holds_no_second_copy_of_its_postings(spark, tmp_path):
     (part,) = (tmp_path / "index" / "data").iterdir()
     assert {p.name for p in part.iterdir()} == {"chunks", "vectors", "postings", "counts", "totals", "deleted"}
     assert spark.read.parquet(f"{part}/postings").count() == 2 and spark.read.parquet(f"{part}/totals").first().asDict() == {"n": 2, "tokens": 2}
+
+
+def test_few_hits_go_to_the_chunks(spark, monkeypatch):
+    """The chunks are not shuffled to look up the content of a few hits."""
+    monkeypatch.setattr(bm25, "MOST_BROADCAST_TERMS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chunks = spark.range(100).selectExpr("cast(id AS string) AS source", "0 AS chunk_index", "'x' AS content")
+        joined = catalogue._with_content(spark.createDataFrame([(1, "3", 0)], "query_id long, source string, chunk_index int"), chunks)
+        assert "SortMergeJoin" not in plan(joined) and [r["source"] for r in joined.collect()] == ["3"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
