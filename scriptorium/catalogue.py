@@ -356,9 +356,9 @@ def k3_bm25_topk_skip(spark, sf_dir):
 
 def _index_in_steps(spark, sf_dir):
     """Where an index of the corpus lies, owners as users: written with the even documents, the odd ones appended."""
-    docs = corpus(spark, sf_dir)
-    cut = chunking.split_documents(docs).join(docs.select("source", F.col("owner").alias("user_id")), "source")
-    chunks = stored(cut.select("user_id", "source", "chunk_index", "content"), "chunks")
+    owned = corpus(spark, sf_dir).select(F.struct("source", "owner").alias("source"), "content")  # the owner travels with the source, without a join
+    cut = chunking.split_documents(owned)
+    chunks = stored(cut.select(F.col("source.owner").alias("user_id"), "source.source", "chunk_index", "content"), "chunks")
     path = f"{shared_dir(spark)}/scriptorium/index-{uuid.uuid4().hex}"
     for step, odd in ((index_store.write_index, 0), (index_store.append_index, 1)):
         part = chunks.where(F.col("source").cast("long") % 2 == odd)

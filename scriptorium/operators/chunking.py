@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from scriptorium.functions.text import WHITE_SPACE, normalize_pdf_text, split_sentences, strip
 
@@ -20,6 +23,8 @@ CHUNK = "array<struct<chunk_index:int,start_char:int,end_char:int,content:string
 SHORTEST_SEMANTIC, LONGEST_SENTENCE = 50, 2000
 #: Sentences of a call to an encoder, at least, while documents last.
 SENTENCES_AT_ONCE = 4096
+#: Chunks that a task hands on at once.
+CHUNKS_AT_ONCE = 4096
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -61,15 +66,33 @@ def split_text(text: Column, size: int = 1000, overlap: int = 150, short_cut: st
     return cut(text)
 
 
-def chunk_text(docs: DataFrame, size: int | None = None, overlap: int | None = None, short_cut: str = "burst") -> DataFrame:
-    """(source, content) to chunks, whatever the extension; zero or None means the default."""
-    out = docs.select("source", F.explode(split_text(F.col("content"), size or 1000, overlap or 150, short_cut)).alias("c"))
-    return out.select("source", "c.*").withColumn("header_path", F.lit(""))
+def _cut_in_batches(batches: Iterator[pa.RecordBatch], size: int, overlap: int, short_cut: str, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The chunks of each batch of (source, content), handed on CHUNKS_AT_ONCE at a time, or a text's own if they are more."""
+    columns: list[list] = [[] for _ in shape]
+    for batch in batches:
+        for at in range(batch.num_rows):
+            source, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+            for row in chunk_rows(text, size, overlap, short_cut):
+                for column, value in zip(columns, (source, *row.values())):
+                    column.append(value)
+            if len(columns[0]) >= CHUNKS_AT_ONCE:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+                columns = [[] for _ in shape]
+    if columns[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
 
 
 def split_documents(docs: DataFrame, size: int = 1000, overlap: int = 150, short_cut: str = "burst") -> DataFrame:
     """(source, content) to character chunks; an overlap of 0 is kept."""
-    return docs.select("source", F.explode(split_text(F.col("content"), size, overlap, short_cut)).alias("c")).select("source", "c.*").withColumn("header_path", F.lit(""))
+    out = T.StructType([docs.schema["source"], *(T.StructField(n, T.IntegerType()) for n in ("chunk_index", "start_char", "end_char")), T.StructField("content", T.StringType())])
+    shape = to_arrow_schema(out)
+    cut = docs.select("source", "content").mapInArrow(lambda batches: _cut_in_batches(batches, size, overlap, short_cut, shape), out)
+    return cut.withColumn("header_path", F.lit(""))
+
+
+def chunk_text(docs: DataFrame, size: int | None = None, overlap: int | None = None, short_cut: str = "burst") -> DataFrame:
+    """(source, content) to chunks, whatever the extension; zero or None means the default."""
+    return split_documents(docs, size or 1000, overlap or 150, short_cut)
 
 
 _HEADER = re.compile(r"^(#{1,6})\s+(.+)$", re.MULTILINE)
@@ -255,8 +278,8 @@ def split_semantic(docs: DataFrame, encode: Encoder, size: int = 1000, overlap:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["source", *[f.split()[0] for f in SEMANTIC.split(", ")]]
         for frame in frames:
-            texts = [(s, t) for s, t in zip(frame["source"], frame["content"]) if t and t.strip()]
-            for part in _parts([(s, t, sentence_list(t) if len(t) >= SHORTEST_SEMANTIC else []) for s, t in texts]):
+            texts = ((s, t) for s, t in zip(frame["source"], frame["content"]) if t and t.strip())
+            for part in _parts((s, t, sentence_list(t) if len(t) >= SHORTEST_SEMANTIC else []) for s, t in texts):
                 some = [x for _, _, x in part if len(x) > 1]
                 vectors = iter(_encoded(some, encode) if some else [])
                 rows = [(s, *r) for s, t, x in part for r in semantic_rows(t, x, next(vectors) if len(x) > 1 else None, size, overlap, threshold)]
@@ -267,11 +290,12 @@ def split_semantic(docs: DataFrame, encode: Encoder, size: int = 1000, overlap:
     return docs.select("source", "content").mapInPandas(run, f"source string, {SEMANTIC}")
 
 
-def _parts(documents: list[tuple[str, str, list[str]]]) -> Iterator[list[tuple[str, str, list[str]]]]:
+def _parts(documents: Iterable[tuple[str, str, list[str]]]) -> Iterator[list[tuple[str, str, list[str]]]]:
+    """Neighbouring documents with SENTENCES_AT_ONCE sentences, or as many documents; one part is held at a time."""
     held, n = [], 0
     for d in documents:
         held.append(d)
-        n += len(d[2])
+        n += max(1, len(d[2]))
         if n >= SENTENCES_AT_ONCE:
             yield held
             held, n = [], 0

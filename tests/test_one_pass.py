@@ -80,3 +80,40 @@ def test_few_hits_go_to_the_chunks(spark, monkeypatch):
         assert "SortMergeJoin" not in plan(joined) and [r["source"] for r in joined.collect()] == ["3"]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_chunks_leave_a_task_in_bounded_batches(monkeypatch):
+    """Many chunks are handed on a few at a time, whatever the number of texts in a batch; a source may be a struct."""
+    import pyarrow as pa
+
+    from scriptorium.operators import chunking
+
+    monkeypatch.setattr(chunking, "CHUNKS_AT_ONCE", 5)
+    names = ["source", "chunk_index", "start_char", "end_char", "content"]
+    owned = pa.struct([("source", pa.string()), ("owner", pa.string())])
+    shape = pa.schema(list(zip(names, (owned, pa.int32(), pa.int32(), pa.int32(), pa.string()))))
+    texts = ["word " * n for n in range(60)] + [None, " "]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"source": str(n), "owner": "u"} for n in range(62)], owned), pa.array(texts)], names=["source", "content"])
+    out = list(chunking._cut_in_batches(iter([batch, batch]), 40, 5, "burst", shape))
+    most = max(len(chunking.chunk_rows(t, 40, 5)) for t in texts)
+    assert len(out) > 2 and all(b.num_rows < 5 + most for b in out)
+    got = [(r["source"]["source"], r["chunk_index"], r["content"]) for b in out for r in b.to_pylist()]
+    assert got == 2 * [(str(n), c["chunk_index"], c["content"]) for n, t in enumerate(texts) for c in chunking.chunk_rows(t, 40, 5)]
+
+
+def test_semantic_parts_are_read_as_they_are_needed(monkeypatch):
+    from scriptorium.operators import chunking
+
+    monkeypatch.setattr(chunking, "SENTENCES_AT_ONCE", 3)
+    read = []
+    texts = ((read.append(n), (str(n), "x", ["x"] * (n % 2)))[1] for n in range(9))
+    first = next(chunking._parts(texts))
+    assert [d[0] for d in first] == ["0", "1", "2"] and read == [0, 1, 2]
+
+
+def test_owners_travel_without_a_join(spark, monkeypatch):
+    """The chunks that are indexed are not shuffled to learn their owner."""
+    seen = []
+    monkeypatch.setattr(catalogue, "stored", lambda df, name: (seen.append(plan(df)), df)[1])
+    catalogue._index_in_steps(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 1 and "Join" not in seen[0]
