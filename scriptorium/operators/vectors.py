@@ -17,6 +17,8 @@ KEY = ["source", "chunk_index"]
 QUERIES_PER_CELL, VECTORS_PER_CELL, MOST_TASKS = 1 << 13, 1 << 15, 10_000
 #: Scores held at once: a tile of queries times a tile of vectors.
 QUERIES_PER_TILE, VECTORS_PER_TILE = 512, 4096
+#: Characters of texts that are encoded in one call, at most, if they are more than one.
+CHARACTERS_AT_ONCE = 1 << 20
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
@@ -35,18 +37,32 @@ def hashing_encoder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
+def _encoded_at_once(texts: pd.Series) -> Iterator[list[str]]:
+    """Neighbouring texts of CHARACTERS_AT_ONCE characters together, or a longer one alone; missing ones are empty."""
+    held, size = [], 0
+    for text in texts:
+        text = "" if text is None or text is pd.NA or text != text else text
+        if held and size + len(text) > CHARACTERS_AT_ONCE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def embed(df: DataFrame, text_col: str, encode: Callable[[list[str]], np.ndarray], out_col: str = "embedding") -> DataFrame:
     """df with normalised float vectors of a text column, encoded in Arrow batches."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            if not len(texts):
-                yield pd.Series([], dtype=object)
-                continue
-            v = np.asarray(encode(texts.fillna("").tolist()), dtype=np.float32)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            yield pd.Series(list(np.divide(v, norm, out=v.copy(), where=norm > 0)))
+            yield pd.Series([v for part in _encoded_at_once(texts) for v in _normalised(part)], dtype=object)
+
+    def _normalised(texts: list[str]) -> np.ndarray:
+        v = np.asarray(encode(texts), dtype=np.float32)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, norm, out=v.copy(), where=norm > 0)
 
     return df.withColumn(out_col, run(text_col))
 

@@ -117,3 +117,17 @@ def test_owners_travel_without_a_join(spark, monkeypatch):
     monkeypatch.setattr(catalogue, "stored", lambda df, name: (seen.append(plan(df)), df)[1])
     catalogue._index_in_steps(spark, "/root/testdata/sf0.001")
     assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_texts_are_encoded_some_at_a_time(spark, monkeypatch):
+    """A call to an encoder is bounded by characters, not by the rows of a batch."""
+    import pandas as pd
+
+    from scriptorium.operators import vectors
+
+    monkeypatch.setattr(vectors, "CHARACTERS_AT_ONCE", 10)
+    parts = list(vectors._encoded_at_once(pd.Series(["abc", None, "x" * 30, "defg", "hijklm", "n"])))
+    assert parts == [["abc", ""], ["x" * 30], ["defg", "hijklm"], ["n"]] and list(vectors._encoded_at_once(pd.Series([], dtype=object))) == []
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(["a b", None, "", "c"])], "n long, text string")
+    got = [r["embedding"] for r in vectors.embed(rows, "text", vectors.hashing_encoder(4)).orderBy("n").collect()]
+    assert got[1] == got[2] == [0.0] * 4 and all(abs(sum(x * x for x in got[k]) - 1) < 1e-6 for k in (0, 3))
