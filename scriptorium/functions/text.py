@@ -9,11 +9,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE_SPACE = r"[\s\x1c-\x1f]"
+#: Texts of a batch that are normalised together.
+TEXTS_AT_ONCE = 256
 
 
 def strip(text: Column) -> Column:
@@ -21,14 +23,16 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
-def _nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _nfkc(text: pa.Array) -> pa.Array:
+    """Each text in NFKC; only TEXTS_AT_ONCE of them are Python strings at a time."""
+    some = (text.slice(at, TEXTS_AT_ONCE).to_pylist() for at in range(0, len(text), TEXTS_AT_ONCE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in texts], pa.string()) for texts in some)])
 
 
 def normalize_unicode(text: Column) -> Column:
     """NFKC; Spark has no built-in for it. ASCII texts are in that form and stay in the JVM."""
     odd = text.rlike(r"[^\x00-\x7f]")
-    return F.when(odd, F.pandas_udf(_nfkc, "string")(F.when(odd, text))).otherwise(text)
+    return F.when(odd, F.arrow_udf(_nfkc, "string")(F.when(odd, text))).otherwise(text)
 
 
 def normalize_whitespace(text: Column) -> Column:

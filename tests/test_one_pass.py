@@ -131,3 +131,14 @@ def test_texts_are_encoded_some_at_a_time(spark, monkeypatch):
     rows = spark.createDataFrame([(n, t) for n, t in enumerate(["a b", None, "", "c"])], "n long, text string")
     got = [r["embedding"] for r in vectors.embed(rows, "text", vectors.hashing_encoder(4)).orderBy("n").collect()]
     assert got[1] == got[2] == [0.0] * 4 and all(abs(sum(x * x for x in got[k]) - 1) < 1e-6 for k in (0, 3))
+
+
+def test_texts_are_normalised_some_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from scriptorium.functions import text
+
+    monkeypatch.setattr(text, "TEXTS_AT_ONCE", 2)
+    assert text._nfkc(pa.array(["①", None, "é", "a", "ﬁ"])).to_pylist() == ["1", None, "é", "a", "fi"] and text._nfkc(pa.array([], pa.string())).to_pylist() == []
+    rows = spark.createDataFrame([(0, "Ａ①"), (1, None), (2, "plain")], "n long, text string")
+    assert [r["t"] for r in rows.select("n", text.normalize_unicode(rows["text"]).alias("t")).orderBy("n").collect()] == ["A1", None, "plain"]
