@@ -50,9 +50,14 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def chunks_of(spark: SparkSession, sf_dir: str, short_cut: str = "burst") -> DataFrame:
+    """The corpus in character windows, for the queries that read it once."""
+    return chunking.split_documents(corpus(spark, sf_dir), short_cut=short_cut)
+
+
 def chunk_table(spark: SparkSession, sf_dir: str, short_cut: str = "burst") -> DataFrame:
     """The corpus in character windows, written once for the queries that read it more than once."""
-    return stored(chunking.split_documents(corpus(spark, sf_dir), short_cut=short_cut), "chunks")
+    return stored(chunks_of(spark, sf_dir, short_cut), "chunks")
 
 
 # ---- text functions
@@ -336,22 +341,22 @@ SELECT query_id, CAST(rank AS INT) AS rank, source, chunk_index, score FROM rank
 
 @registered(f"WITH {chunks_sql(False)}, {_BM25} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def k1_bm25_index(spark, sf_dir):
-    return bm25.keyword_index(chunk_table(spark, sf_dir))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.keyword_index(chunks_of(spark, sf_dir))["terms"].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @registered(f"WITH {chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES} SELECT query_id, source, chunk_index, score FROM scores")
 def k2_bm25_scores(spark, sf_dir):
-    return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @registered(_topk_sql(False))
 def k3_bm25_topk(spark, sf_dir):
-    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir), 5)
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir), 5)
 
 
 @registered(_topk_sql(True))
 def k3_bm25_topk_skip(spark, sf_dir):
-    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunk_table(spark, sf_dir, "skip"), 5)
+    return bm25.bm25_topk(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir, "skip"), 5)
 
 
 def _index_in_steps(spark, sf_dir):

@@ -142,3 +142,21 @@ def test_texts_are_normalised_some_at_a_time(spark, monkeypatch):
     assert text._nfkc(pa.array(["①", None, "é", "a", "ﬁ"])).to_pylist() == ["1", None, "é", "a", "fi"] and text._nfkc(pa.array([], pa.string())).to_pylist() == []
     rows = spark.createDataFrame([(0, "Ａ①"), (1, None), (2, "plain")], "n long, text string")
     assert [r["t"] for r in rows.select("n", text.normalize_unicode(rows["text"]).alias("t")).orderBy("n").collect()] == ["A1", None, "plain"]
+
+
+def test_chunks_that_are_read_once_are_not_stored(spark, monkeypatch):
+    """The keyword index reads its chunks once, so only its own tables are written."""
+    names, write = [], bm25.stored
+    for module in (catalogue, bm25):
+        monkeypatch.setattr(module, "stored", lambda df, name: (names.append(name), write(df, name))[1])
+    assert catalogue.k1_bm25_index(spark, "/root/testdata/sf0.001").limit(1).count() == 1 and sorted(names) == ["collection", "counts", "postings"]
+
+
+def test_terms_and_the_collection_are_counted_in_one_pass(spark):
+    """Tasks hand on a row for each term, not for each posting; chunks without tokens count, missing tokens are no terms."""
+    rows = [(["a", "a", "b"],), ([],), (["b"],), (["b", None],), (["a", "c"],)]
+    counts = bm25.counted(spark.createDataFrame(rows, "tokens array<string>").coalesce(1))
+    assert "Generate" not in plan(counts)
+    assert {r["term"]: (r["df"], r["tokens"]) for r in counts.collect()} == {None: (5, 8), "a": (2, None), "b": (3, None), "c": (1, None)}
+    empty = bm25.keyword_index(spark.createDataFrame([], CHUNK))
+    assert empty["collection"].first().asDict() == {"n": 0, "avgdl": None} and empty["terms"].count() == 0
