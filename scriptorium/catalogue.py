@@ -21,6 +21,8 @@ from scriptorium.sources import files, index_store
 from scriptorium.storage import shared_dir, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Labels of vectors that are broadcast, at most; two numbers a row.
+MOST_LABELS = 2_000_000
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -394,9 +396,15 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), "embedding", F.col("label").cast("string").alias("user_id"))
 
 
+def _labels(spark, sf_dir):
+    """(vec_id, label) of every vector, to be sent to where the documents are unless they are too many."""
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return F.broadcast(labels) if labels.count() <= MOST_LABELS else labels
+
+
 def _whole(spark, sf_dir):
-    """Every document as one chunk; the label of its vector, if it has one, is its user."""
-    docs, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    """Every document as one chunk; the label of its vector, if it has one, is its user. The texts are not shuffled for it."""
+    docs, e = spread(table(spark, sf_dir, "documents")), _labels(spark, sf_dir)
     keyed = docs.join(e, docs["doc_id"] == e["vec_id"], "left")
     return keyed.select(F.col("doc_id").cast("string").alias("source"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"), F.col("label").cast("string").alias("user_id"))
 
@@ -415,6 +423,7 @@ def _vector_queries(spark, sf_dir):
 
 def _hybrid_queries(spark, sf_dir):
     b, e = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
+    e = e.join(bm25.small(b.select("item_id")), e["vec_id"] == b["item_id"], "left_semi")  # few vectors are asked with, so few meet the items
     joined = b.join(e, b["item_id"] == e["vec_id"], "left")
     return joined.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vec"), F.when(F.col("item_id") % 2 == 0, F.col("label").cast("string")).alias("user_id"))
 

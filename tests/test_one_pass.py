@@ -160,3 +160,19 @@ def test_terms_and_the_collection_are_counted_in_one_pass(spark):
     assert {r["term"]: (r["df"], r["tokens"]) for r in counts.collect()} == {None: (5, 8), "a": (2, None), "b": (3, None), "c": (1, None)}
     empty = bm25.keyword_index(spark.createDataFrame([], CHUNK))
     assert empty["collection"].first().asDict() == {"n": 0, "avgdl": None} and empty["terms"].count() == 0
+
+
+def test_texts_are_not_shuffled_for_their_labels(spark, monkeypatch):
+    """Labels go to the documents, whatever Spark thinks of the size of the vectors; too many are joined, with the same rows."""
+    sf = "/root/testdata/sf0.001"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = catalogue._whole(spark, sf)
+        assert "BroadcastHashJoin" in plan(sent) and "SortMergeJoin" not in plan(sent)
+        monkeypatch.setattr(catalogue, "MOST_LABELS", 1)
+        dealt = catalogue._whole(spark, sf)
+        assert "SortMergeJoin" in plan(dealt)
+        assert sorted(sent.collect(), key=repr) == sorted(dealt.collect(), key=repr)
+        assert sent.where("user_id IS NOT NULL").count() == spark.read.parquet(f"{sf}/embeddings.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id AS vec_id"), "vec_id").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
