@@ -348,7 +348,7 @@ def k1_bm25_index(spark, sf_dir):
 
 @registered(f"WITH {chunks_sql(False)}, {_ASKED}, {_BM25}, {_SCORES} SELECT query_id, source, chunk_index, score FROM scores")
 def k2_bm25_scores(spark, sf_dir):
-    return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return bm25.bm25_scores(benchmark_queries(spark, sf_dir), chunks_of(spark, sf_dir), digits=6)
 
 
 @registered(_topk_sql(False))

@@ -70,6 +70,35 @@ def test_blocks_without_a_shared_term_have_the_schema_of_others():
     assert [str(b.schema.field("score").type) for b in bm25._all_hits(iter(post.to_batches(1)), asked)] == ["double", "double"]
 
 
+def test_scores_are_rounded_as_by_round(spark):
+    """Ties, neighbours of ties, negative and large values, with and without candidates."""
+    import numpy as np
+
+    rng = random.Random(5)
+    values = [0.0, -0.0, 5e-7, -5e-7, 1.0000005, 2.5e-6, 0.1234565, 4e-7, -4e-7, 123456789.1234565, 1e15 + 0.5, 3e17, -2.0000015] + [rng.uniform(-40, 40) for _ in range(3000)]
+    values += [float(np.nextafter(n / 1e6 + 5e-7, way)) for n in range(300) for way in (-1e9, 1e9)] + [n / 1e6 + 5e-7 for n in range(300)]
+    frame = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("v", "round(v, 6) AS want").collect()
+    got = bm25._half_up(np.array([r["v"] for r in frame]), 6).tolist()
+    assert [(r["v"], repr(r["want"])) for r in frame] == [(r["v"], repr(g)) for r, g in zip(frame, got)]
+    chunks = spark.createDataFrame([("a", 0, "red sky", "u"), ("b", 0, "red", None), ("c", 1, "blue", None)], CHUNK)
+    asked, index = spark.createDataFrame([(1, "red", None), (2, "red blue", None)], ASKED), bm25.keyword_index(chunks)
+    for pairs in (None, spark.createDataFrame([(1, "a", 0), (2, "c", 1)], "query_id long, source string, chunk_index int")):
+        whole = bm25.bm25_scores(asked, index, pairs).selectExpr("query_id", "source", "chunk_index", "round(score, 3) AS score")
+        assert sorted(bm25.bm25_scores(asked, index, pairs, digits=3).collect()) == sorted(whole.collect())
+
+
+def test_pairs_of_plain_chunks_write_no_postings(spark, monkeypatch):
+    """Only counts are written for a single search of plain chunks; the pairs are those of a written index."""
+    written, store = [], bm25.stored
+    chunks = spark.createDataFrame([("a", 0, "red sky", "u"), ("b", 0, "red", None), ("c", 0, "blue", None), ("c", 1, "", None)], CHUNK)
+    asked = spark.createDataFrame([(1, "red", None), (2, "red", "u"), (3, "blue sky", None)], ASKED)
+    want = bm25.bm25_scores(asked, bm25.keyword_index(chunks))
+    monkeypatch.setattr(bm25, "stored", lambda df, name: (written.append(name), store(df, name))[1])
+    got = bm25.bm25_scores(asked, chunks)
+    assert "Exchange" not in plan(got) and sorted(got.collect()) == sorted(want.collect()) and got.count() == 5
+    assert set(written) == {"counts", "collection", "wanted"}
+
+
 def test_an_index_part_holds_no_second_copy_of_its_postings(spark, tmp_path):
     chunks = spark.createDataFrame([("a", 0, "red sky", "u"), ("b", 0, "", "u")], CHUNK)
     path = str(tmp_path / "index")
